@@ -86,3 +86,108 @@ def instalment_lateness(spark: SparkSession, sf: str) -> DataFrame:
     """P1/P3/P4 per instalment row."""
     inst = L.with_lateness(B.instalments(spark, sf))
     return inst.select("id_contrato", "numero_parcela", "data_prevista_pagamento", "data_real_pagamento", "atraso")
+
+
+# --- joins, dedup and assembly (JN1–JN7, W1, W2, W4, M1–M3, D1, P9–P18) --------------
+
+from lendwise.functions import features as X  # noqa: E402
+from lendwise.functions.dates import age_floor_days, calendar_age, year_difference  # noqa: E402
+from lendwise.operators import dedup as W  # noqa: E402
+from lendwise.operators import joins as J  # noqa: E402
+from lendwise.plans import assemble as A  # noqa: E402
+
+APP_ORDER = ("data_solicitacao", "event_id")
+
+
+@query("training_set")
+def training_set(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 (JN1 + JN2 + JN4 over A4)."""
+    return _round(A.training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf),
+                                 B.applications(spark, sf), application_order=APP_ORDER))
+
+
+@query("notebook_training_set")
+def notebook_training_set(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 (JN2 + JN1 over A2)."""
+    return _round(A.notebook_training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf)))
+
+
+@query("credit_features")
+def credit_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 on the M2 frame (encoder fit on the same frame)."""
+    df = A.notebook_training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf))
+    return _round(A.credit_features(df))
+
+
+@query("latest_application")
+def latest_application(spark: SparkSession, sf: str) -> DataFrame:
+    """Last application per client by (data_solicitacao, event_id)."""
+    return W.keep_last(B.applications(spark, sf), "id_cliente", APP_ORDER)
+
+
+@query("first_instalment")
+def first_instalment(spark: SparkSession, sf: str) -> DataFrame:
+    """First instalment row per contract by (numero_parcela, due, paid, valor_pago)."""
+    inst = B.instalments(spark, sf)
+    return W.keep_first(inst, "id_contrato", ["numero_parcela", "data_prevista_pagamento", "data_real_pagamento", "valor_pago"])
+
+
+@query("applications_merged")
+def applications_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 with applications as the base (JN3 on client; contract joins skipped: no contract key)."""
+    return _round(A.merge_lending_tables(B.applications(spark, sf), B.profile(spark, sf),
+                                         B.contracts(spark, sf), B.instalments(spark, sf)))
+
+
+@query("contracts_merged")
+def contracts_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 with contracts as the base: JN3 profile + JN6 instalment means."""
+    return _round(A.merge_lending_tables(B.contracts(spark, sf), B.profile(spark, sf),
+                                         None, B.instalments(spark, sf)), 6)
+
+
+@query("instalment_means")
+def instalment_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of every numeric instalment column per contract."""
+    return _round(J.numeric_means(B.instalments(spark, sf), "id_contrato"), 6)
+
+
+@query("label_union")
+def label_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered distinct union of two label columns."""
+    s = B.scored_labels(spark, sf)
+    return W.ordered_union_labels(s, "quality", s, "toxic")
+
+
+REF_DAY = "2024-01-01"
+
+
+@query("profile_features")
+def profile_features(spark: SparkSession, sf: str) -> DataFrame:
+    """P9, P10, P12, P14, P15 on the client profile."""
+    p = B.profile(spark, sf)
+    ref = F.lit(REF_DAY).cast("date")
+    return _round(p.select(
+        "id_cliente",
+        X.yes_no_flag("possui_carro").alias("possui_carro_flag"),
+        X.yes_no_flag("possui_carro", other=0).alias("feat_possui_carro"),
+        X.monthly_income("renda_anual").alias("renda_mensal"),
+        X.income_per_member("renda_anual", "qtd_membros_familia").alias("feat_renda_per_capita"),
+        calendar_age("data_nascimento", ref).alias("idade"),
+        year_difference("data_nascimento", ref).alias("idade_por_ano"),
+        X.fill_constant("possui_carro", "Unknown").alias("possui_carro_filled"),
+    ))
+
+
+@query("contract_features")
+def contract_features(spark: SparkSession, sf: str) -> DataFrame:
+    """P11, P13, P16, P17, P18 on contracts ⟕ profile."""
+    df = J.left_join_if_keyed(B.contracts(spark, sf), B.profile(spark, sf), "id_cliente")
+    return _round(df.select(
+        "id_contrato",
+        X.instalment_to_income("valor_parcela", "renda_anual").alias("feat_comprometimento_renda"),
+        age_floor_days("data_decisao", "data_nascimento").alias("feat_idade"),
+        X.loan_to_value("valor_credito", "valor_bem").alias("feat_ltv"),
+        X.risk_hour_flag("hora_solicitacao").alias("feat_hora_pico_fraude"),
+        X.granted_ratio_pct("valor_credito", "valor_solicitado").alias("pct_concedido"),
+    ))

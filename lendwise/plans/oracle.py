@@ -84,3 +84,153 @@ ORACLE["instalment_lateness"] = with_views(
     FROM instalments""",
     "instalments",
 )
+
+
+def _r(expr: str, places: int = 10) -> str:
+    return f"ROUND({expr}, {places})"
+
+
+LATEST_APP_CTE = (
+    "latest_app",
+    """
+    SELECT id_cliente, data_solicitacao, tipo_contrato, valor_credito, event_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY id_cliente ORDER BY data_solicitacao DESC, event_id DESC) AS rn
+      FROM applications WHERE id_cliente IS NOT NULL) WHERE rn = 1""",
+)
+
+CONTRACT_COLS = """c.id_contrato, c.id_cliente, c.data_decisao, c.tipo_contrato, c.status_contrato,
+       ROUND(c.valor_credito, 10) AS valor_credito, ROUND(c.valor_solicitado, 10) AS valor_solicitado,
+       ROUND(c.valor_bem, 10) AS valor_bem, ROUND(c.valor_parcela, 10) AS valor_parcela, c.hora_solicitacao"""
+PROFILE_COLS = """p.tipo_renda, ROUND(p.renda_anual, 10) AS renda_anual, p.qtd_membros_familia, p.possui_carro,
+       p.data_nascimento"""
+
+ORACLE["training_set"] = with_views(
+    f"""
+    SELECT {CONTRACT_COLS}, l.target_fpd, l.target_ever30mob03, l.target_over60mob06, {PROFILE_COLS},
+           a.data_solicitacao, a.tipo_contrato AS tipo_contrato_submissao,
+           ROUND(a.valor_credito, 10) AS valor_credito_submissao, a.event_id
+    FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato
+    LEFT JOIN profile p ON c.id_cliente = p.id_cliente
+    LEFT JOIN latest_app a ON c.id_cliente = a.id_cliente""",
+    "instalments", "contracts", "profile", "applications",
+    ctes=[LABELS_CTE, LATEST_APP_CTE],
+)
+
+OVER60_CTE = (
+    "over60",
+    f"""
+    SELECT id_contrato,
+           CAST(COALESCE(SUM(CASE WHEN {LATE_FILLED} > 0 THEN {LATE_FILLED} END), 0) > 60 AS INTEGER)
+             AS target_over60mob06
+    FROM instalments WHERE id_contrato IS NOT NULL AND numero_parcela <= 6
+    GROUP BY id_contrato""",
+)
+
+ORACLE["notebook_training_set"] = with_views(
+    f"""
+    SELECT {CONTRACT_COLS}, {PROFILE_COLS}, o.target_over60mob06
+    FROM contracts c LEFT JOIN profile p ON c.id_cliente = p.id_cliente
+    JOIN over60 o ON c.id_contrato = o.id_contrato""",
+    "instalments", "contracts", "profile",
+    ctes=[OVER60_CTE],
+)
+
+ORACLE["credit_features"] = with_views(
+    """
+    SELECT ROUND(c.valor_credito, 10) AS valor_credito, ROUND(c.valor_solicitado, 10) AS valor_solicitado,
+           ROUND(c.valor_bem, 10) AS valor_bem, ROUND(c.valor_parcela, 10) AS valor_parcela,
+           c.hora_solicitacao, o.target_over60mob06,
+           CAST(floor(datediff('day', p.data_nascimento, c.data_decisao) / 365.0) AS INTEGER) AS feat_idade,
+           ROUND(c.valor_credito / CASE WHEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) <> 0
+                 THEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) END, 10) AS feat_ltv,
+           CASE WHEN c.hora_solicitacao < 7 OR c.hora_solicitacao > 21 THEN 1 ELSE 0 END AS feat_hora_pico_fraude,
+           CAST(dense_rank() OVER (ORDER BY COALESCE(c.tipo_contrato, 'Missing')) - 1 AS DOUBLE) AS feat_tipo_contrato_enc,
+           CAST(dense_rank() OVER (ORDER BY COALESCE(c.status_contrato, 'Missing')) - 1 AS DOUBLE) AS feat_status_contrato_enc
+    FROM contracts c LEFT JOIN profile p ON c.id_cliente = p.id_cliente
+    JOIN over60 o ON c.id_contrato = o.id_contrato""",
+    "instalments", "contracts", "profile",
+    ctes=[OVER60_CTE],
+)
+
+ORACLE["latest_application"] = with_views(
+    "SELECT * FROM latest_app", "applications", ctes=[LATEST_APP_CTE]
+)
+
+ORACLE["first_instalment"] = with_views(
+    """
+    SELECT id_contrato, id_cliente, numero_parcela, data_prevista_pagamento, data_real_pagamento, valor_pago FROM (
+      SELECT *, row_number() OVER (PARTITION BY id_contrato
+                                   ORDER BY numero_parcela ASC NULLS FIRST, data_prevista_pagamento ASC NULLS FIRST,
+                                            data_real_pagamento ASC NULLS FIRST, valor_pago ASC NULLS FIRST) AS rn
+      FROM instalments WHERE id_contrato IS NOT NULL) WHERE rn = 1""",
+    "instalments",
+)
+
+ORACLE["applications_merged"] = with_views(
+    """
+    SELECT a.id_cliente, a.data_solicitacao, a.tipo_contrato, ROUND(a.valor_credito, 10) AS valor_credito, a.event_id,
+           p.tipo_renda, ROUND(p.renda_anual, 10) AS renda_anual, p.qtd_membros_familia, p.possui_carro, p.data_nascimento
+    FROM applications a LEFT JOIN profile p ON a.id_cliente = p.id_cliente""",
+    "applications", "profile",
+)
+
+MEANS_CTE = (
+    "inst_means",
+    """
+    SELECT id_contrato, ROUND(AVG(id_cliente), 6) AS id_cliente_parcelas_mean,
+           ROUND(AVG(numero_parcela), 6) AS numero_parcela_parcelas_mean,
+           ROUND(AVG(valor_pago), 6) AS valor_pago_parcelas_mean
+    FROM instalments WHERE id_contrato IS NOT NULL GROUP BY id_contrato""",
+)
+
+ORACLE["contracts_merged"] = with_views(
+    """
+    SELECT c.id_contrato, c.id_cliente, c.data_decisao, c.tipo_contrato, c.status_contrato,
+           ROUND(c.valor_credito, 6) AS valor_credito, ROUND(c.valor_solicitado, 6) AS valor_solicitado,
+           ROUND(c.valor_bem, 6) AS valor_bem, ROUND(c.valor_parcela, 6) AS valor_parcela, c.hora_solicitacao,
+           p.tipo_renda, ROUND(p.renda_anual, 6) AS renda_anual, p.qtd_membros_familia, p.possui_carro, p.data_nascimento,
+           m.id_cliente_parcelas_mean, m.numero_parcela_parcelas_mean, m.valor_pago_parcelas_mean
+    FROM contracts c LEFT JOIN profile p ON c.id_cliente = p.id_cliente
+    LEFT JOIN inst_means m ON c.id_contrato = m.id_contrato""",
+    "contracts", "profile", "instalments",
+    ctes=[MEANS_CTE],
+)
+
+ORACLE["instalment_means"] = with_views("SELECT * FROM inst_means", "instalments", ctes=[MEANS_CTE])
+
+ORACLE["label_union"] = with_views(
+    "SELECT DISTINCT label FROM (SELECT quality AS label FROM scored_labels UNION ALL SELECT toxic FROM scored_labels)",
+    "scored_labels",
+)
+
+ORACLE["profile_features"] = with_views(
+    """
+    SELECT id_cliente,
+           CASE WHEN possui_carro = 'Y' THEN 1 WHEN possui_carro = 'N' THEN 0 END AS possui_carro_flag,
+           CASE WHEN possui_carro = 'Y' THEN 1 WHEN possui_carro = 'N' THEN 0 ELSE 0 END AS feat_possui_carro,
+           ROUND(renda_anual / 12.0, 10) AS renda_mensal,
+           ROUND(renda_anual / CASE WHEN qtd_membros_familia <> 0 THEN CAST(qtd_membros_familia AS DOUBLE) END, 10)
+             AS feat_renda_per_capita,
+           CAST(year(DATE '2024-01-01') - year(data_nascimento)
+             - CASE WHEN month(DATE '2024-01-01') < month(data_nascimento)
+                      OR (month(DATE '2024-01-01') = month(data_nascimento) AND day(DATE '2024-01-01') < day(data_nascimento))
+                    THEN 1 ELSE 0 END AS INTEGER) AS idade,
+           CAST(year(DATE '2024-01-01') - year(data_nascimento) AS INTEGER) AS idade_por_ano,
+           COALESCE(possui_carro, 'Unknown') AS possui_carro_filled
+    FROM profile""",
+    "profile",
+)
+
+ORACLE["contract_features"] = with_views(
+    """
+    SELECT c.id_contrato,
+           ROUND(c.valor_parcela / CASE WHEN p.renda_anual / 12.0 <> 0 THEN p.renda_anual / 12.0 END, 10)
+             AS feat_comprometimento_renda,
+           CAST(floor(datediff('day', p.data_nascimento, c.data_decisao) / 365.0) AS INTEGER) AS feat_idade,
+           ROUND(c.valor_credito / CASE WHEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) <> 0
+                 THEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) END, 10) AS feat_ltv,
+           CASE WHEN c.hora_solicitacao < 7 OR c.hora_solicitacao > 21 THEN 1 ELSE 0 END AS feat_hora_pico_fraude,
+           ROUND(CASE WHEN c.valor_solicitado <> 0 THEN c.valor_credito / c.valor_solicitado END * 100.0, 10) AS pct_concedido
+    FROM contracts c LEFT JOIN profile p ON c.id_cliente = p.id_cliente""",
+    "contracts", "profile",
+)
