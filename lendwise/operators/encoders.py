@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = "Missing"
@@ -31,19 +31,24 @@ def quantile_row(df: DataFrame, cols: Sequence[str], q: float = 0.5, exact: bool
     return df.agg(*[agg(c) for c in cols])
 
 
+def scalar_row(one_row: DataFrame) -> Column:
+    """A one-row aggregate as a struct-valued scalar subquery.
+
+    Catalyst runs the subquery once and inlines its value; no join is
+    planned, and a filter on it can even reach the parquet scan.
+    """
+    return one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s")).scalar()
+
+
 def fill_with_quantile(df: DataFrame, cols: Sequence[str], q: float = 0.5, fitted: DataFrame | None = None,
                        exact: bool = True) -> DataFrame:
     """Replace NULLs by the column median (fit on ``fitted`` if given, else on ``df``).
 
-    The statistics row is joined as a one-row broadcast (size 1 × len(cols)).
+    The statistics are one row, read back as a scalar subquery.
     """
-    stats = quantile_row(fitted if fitted is not None else df, cols, q, exact=exact, suffix="__q")
-    joined = df.crossJoin(F.broadcast(stats))
-    out = [
-        F.coalesce(F.col(c).cast("double"), F.col(f"{c}__q")).alias(c) if c in cols else F.col(c)
-        for c in df.columns
-    ]
-    return joined.select(*out)
+    stats = scalar_row(quantile_row(fitted if fitted is not None else df, cols, q, exact=exact))
+    out = [F.coalesce(F.col(c).cast("double"), stats[c]).alias(c) if c in cols else F.col(c) for c in df.columns]
+    return df.select(*out)
 
 
 def mode_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -64,11 +69,8 @@ def fill_with_mode(df: DataFrame, cols: Sequence[str], fitted: DataFrame | None
     """M5 apply: NULL → the fitted mode of the column (as text)."""
     modes = mode_table(fitted if fitted is not None else df, cols)
     wide = modes.groupBy().pivot("column", list(cols)).agg(F.first("mode"))
-    wide = wide.select(*[F.col(c).alias(f"{c}__mode") for c in cols])
-    joined = df.crossJoin(F.broadcast(wide))
-    return joined.select(
-        *[F.coalesce(F.col(c).cast("string"), F.col(f"{c}__mode")).alias(c) if c in cols else F.col(c) for c in df.columns]
-    )
+    m = scalar_row(wide)
+    return df.select(*[F.coalesce(F.col(c).cast("string"), m[c]).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def ordinal_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> DataFrame:

@@ -191,3 +191,185 @@ def contract_features(spark: SparkSession, sf: str) -> DataFrame:
         X.risk_hour_flag("hora_solicitacao").alias("feat_hora_pico_fraude"),
         X.granted_ratio_pct("valor_credito", "valor_solicitado").alias("pct_concedido"),
     ))
+
+
+# --- profiling (A7–A22, F2–F6, P6) ------------------------------------------------------
+
+from lendwise.operators import encoders as E  # noqa: E402
+from lendwise.operators import profile as PR  # noqa: E402
+
+
+def _lateness(spark: SparkSession, sf: str) -> DataFrame:
+    return L.with_lateness(B.instalments(spark, sf))
+
+
+@query("contracts_null_pct")
+def contracts_null_pct(spark, sf):
+    """A7 on contracts."""
+    return PR.null_pct(B.contracts(spark, sf))
+
+
+@query("profile_null_pct")
+def profile_null_pct(spark, sf):
+    """A7 on the client profile."""
+    return PR.null_pct(B.profile(spark, sf))
+
+
+@query("contracts_shape")
+def contracts_shape(spark, sf):
+    """Rows, columns, distinct and non-null client ids of contracts."""
+    return PR.shape(B.contracts(spark, sf), "id_cliente")
+
+
+@query("contract_type_counts")
+def contract_type_counts(spark, sf):
+    """A9 on one column."""
+    return PR.value_counts(B.contracts(spark, sf), "tipo_contrato")
+
+
+@query("profile_value_counts")
+def profile_value_counts(spark, sf):
+    """A9 on many columns in one pass."""
+    return PR.value_counts_many(B.profile(spark, sf), ["tipo_renda", "possui_carro", "qtd_membros_familia"])
+
+
+@query("term_counts")
+def term_counts(spark, sf):
+    """Rows per instalment number."""
+    return PR.value_counts(B.instalments(spark, sf), "numero_parcela")
+
+
+@query("describe_amounts")
+def describe_amounts(spark, sf):
+    """A10 on three contract amounts."""
+    return PR.describe(B.contracts(spark, sf), ["valor_credito", "valor_parcela", "valor_bem"])
+
+
+@query("income_histogram")
+def income_histogram(spark, sf):
+    """Annual income in bins of 20 000 from the minimum."""
+    return PR.fixed_width_histogram(B.profile(spark, sf), "renda_anual", 20000.0)
+
+
+@query("instalment_value_histogram")
+def instalment_value_histogram(spark, sf):
+    """F3 + A11: instalment value clipped at its P99, bins of 2 000 from 0."""
+    clipped = PR.clip_at_quantile(B.contracts(spark, sf), "valor_parcela", 0.99)
+    return PR.fixed_width_histogram(clipped, "valor_parcela", 2000.0, origin=0.0)
+
+
+@query("age_histogram")
+def age_histogram(spark, sf):
+    """A11 with width 1 on calendar ages."""
+    ages = B.profile(spark, sf).select(calendar_age("data_nascimento", F.lit(REF_DAY).cast("date")).alias("idade"))
+    return PR.fixed_width_histogram(ages, "idade", 1.0)
+
+
+@query("lateness_equal_bins")
+def lateness_equal_bins(spark, sf):
+    """F3 + A12: days late clipped at P99 in 40 equal bins."""
+    return PR.equal_bins_histogram(PR.clip_at_quantile(_lateness(spark, sf), "atraso", 0.99), "atraso", 40)
+
+
+@query("monthly_decisions")
+def monthly_decisions(spark, sf):
+    """A13 (month-end labels) of contract decision dates."""
+    return PR.monthly_counts(B.contracts(spark, sf), "data_decisao", label="end")
+
+
+@query("monthly_payments")
+def monthly_payments(spark, sf):
+    """F2 + A13 (month-start labels) of actual payment dates."""
+    paid = PR.drop_null_rows(B.instalments(spark, sf), ["data_real_pagamento"])
+    return PR.monthly_counts(paid, "data_real_pagamento", label="start")
+
+
+@query("goods_value_null_fraction")
+def goods_value_null_fraction(spark, sf):
+    """A14."""
+    return PR.null_fraction(B.contracts(spark, sf), "valor_bem")
+
+
+@query("paid_early_fraction")
+def paid_early_fraction(spark, sf):
+    """Share of instalments paid before due; unpaid counts as false."""
+    return PR.predicate_fraction(B.instalments(spark, sf),
+                                 F.col("data_real_pagamento") < F.col("data_prevista_pagamento"), "fraction")
+
+
+@query("credit_by_contract_type")
+def credit_by_contract_type(spark, sf):
+    """Contracts and median credit per type."""
+    return _round(PR.category_count_median(B.contracts(spark, sf), "tipo_contrato", "valor_credito", "id_contrato"), 6)
+
+
+@query("credit_box_by_type")
+def credit_box_by_type(spark, sf):
+    """A17 per contract type."""
+    return _round(PR.box_stats(B.contracts(spark, sf), "valor_credito", ["tipo_contrato"]), 6)
+
+
+@query("lateness_box")
+def lateness_box(spark, sf):
+    """A17 overall, on days late."""
+    return _round(PR.box_stats(_lateness(spark, sf), "atraso"), 6)
+
+
+@query("lateness_summary")
+def lateness_summary(spark, sf):
+    """A18."""
+    return PR.lateness_summary(_lateness(spark, sf), "atraso")
+
+
+@query("contract_status_values")
+def contract_status_values(spark, sf):
+    """A19."""
+    return PR.distinct_values(B.contracts(spark, sf), "status_contrato")
+
+
+@query("profile_missingness")
+def profile_missingness(spark, sf):
+    """A20."""
+    return PR.missingness_patterns(B.profile(spark, sf))
+
+
+@query("lateness_kde")
+def lateness_kde(spark, sf):
+    """A21 on days late clipped at P99."""
+    return PR.kde_grid(PR.clip_at_quantile(_lateness(spark, sf), "atraso", 0.99), "atraso")
+
+
+@query("top_clients")
+def top_clients(spark, sf):
+    """the 20 clients with most contracts, pct over all contracts."""
+    return PR.top_categories(B.contracts(spark, sf), "id_cliente", 20)
+
+
+@query("complete_profiles")
+def complete_profiles(spark, sf):
+    """profiles with income and car flag present."""
+    return _round(PR.drop_null_rows(B.profile(spark, sf), ["renda_anual", "possui_carro"]))
+
+
+@query("contracts_head")
+def contracts_head(spark, sf):
+    """first five contracts by id."""
+    return _round(PR.head(B.contracts(spark, sf), ["id_contrato"], 5))
+
+
+@query("predictions_first_n")
+def predictions_first_n(spark, sf):
+    """first 1 000 prediction events by (event_ts, event_id)."""
+    return _round(PR.head(B.predictions(spark, sf), ["event_ts", "event_id"], 1000))
+
+
+@query("income_median_fill")
+def income_median_fill(spark, sf):
+    """NULL income replaced by the median income."""
+    return _round(E.fill_with_quantile(B.profile(spark, sf), ["renda_anual"], 0.5))
+
+
+@query("income_clip_p99")
+def income_clip_p99(spark, sf):
+    """profiles with income ≤ its P99."""
+    return _round(PR.clip_at_quantile(B.profile(spark, sf), "renda_anual", 0.99))

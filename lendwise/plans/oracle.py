@@ -234,3 +234,256 @@ ORACLE["contract_features"] = with_views(
     FROM contracts c LEFT JOIN profile p ON c.id_cliente = p.id_cliente""",
     "contracts", "profile",
 )
+
+
+# --- profiling -------------------------------------------------------------------------
+
+def _null_pct_sql(view: str, cols: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", ROUND(AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100.0, 2) AS null_pct FROM {view}"
+        for c in cols
+    )
+    return parts
+
+
+CONTRACT_NAMES = ["id_contrato", "id_cliente", "data_decisao", "tipo_contrato", "status_contrato", "valor_credito",
+                  "valor_solicitado", "valor_bem", "valor_parcela", "hora_solicitacao"]
+PROFILE_NAMES = ["id_cliente", "tipo_renda", "renda_anual", "qtd_membros_familia", "possui_carro", "data_nascimento"]
+
+ORACLE["contracts_null_pct"] = with_views(_null_pct_sql("contracts", CONTRACT_NAMES), "contracts")
+ORACLE["profile_null_pct"] = with_views(_null_pct_sql("profile", PROFILE_NAMES), "profile")
+
+ORACLE["contracts_shape"] = with_views(
+    f"""SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, {len(CONTRACT_NAMES)} AS n_columns,
+           CAST(COUNT(DISTINCT id_cliente) AS BIGINT) AS n_distinct_ids, CAST(COUNT(id_cliente) AS BIGINT) AS n_ids
+    FROM contracts""",
+    "contracts",
+)
+
+
+def _value_counts_sql(view: str, col: str) -> str:
+    return f"""
+    SELECT {col}, CAST(COUNT(*) AS BIGINT) AS count,
+           ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 6) AS pct
+    FROM {view} WHERE {col} IS NOT NULL GROUP BY {col}"""
+
+
+ORACLE["contract_type_counts"] = with_views(_value_counts_sql("contracts", "tipo_contrato"), "contracts")
+ORACLE["term_counts"] = with_views(_value_counts_sql("instalments", "numero_parcela"), "instalments")
+
+ORACLE["profile_value_counts"] = with_views(
+    """
+    SELECT "column", value, CAST(COUNT(*) AS BIGINT) AS count,
+           ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY "column"), 6) AS pct
+    FROM (SELECT 'tipo_renda' AS "column", tipo_renda AS value FROM profile
+          UNION ALL SELECT 'possui_carro', possui_carro FROM profile
+          UNION ALL SELECT 'qtd_membros_familia', CAST(qtd_membros_familia AS VARCHAR) FROM profile)
+    WHERE value IS NOT NULL GROUP BY "column", value""",
+    "profile",
+)
+
+
+def _describe_sql(view: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(COUNT({c}) AS BIGINT) AS count, ROUND(AVG({c}), 6) AS mean,
+               ROUND(STDDEV_SAMP({c}), 6) AS std, CAST(MIN({c}) AS DOUBLE) AS min,
+               ROUND(QUANTILE_CONT({c}, 0.25), 6) AS p25, ROUND(QUANTILE_CONT({c}, 0.5), 6) AS p50,
+               ROUND(QUANTILE_CONT({c}, 0.75), 6) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM {view}"""
+        for c in cols
+    )
+
+
+ORACLE["describe_amounts"] = with_views(_describe_sql("contracts", ["valor_credito", "valor_parcela", "valor_bem"]),
+                                        "contracts")
+
+
+def _histogram_sql(src: str, col: str, width: float, origin: str | None = None) -> str:
+    lo = origin if origin is not None else f"MIN({col})"
+    w = f"{float(width)}::DOUBLE"
+    return f"""
+    WITH src AS ({src}),
+    b AS (SELECT lo, CAST(ceil((hi - lo) / {w}) - 1 AS BIGINT) AS nb
+          FROM (SELECT CAST({lo} AS DOUBLE) AS lo, CAST(MAX({col}) AS DOUBLE) + {w} AS hi FROM src)),
+    binned AS (SELECT least(CAST(floor((CAST({col} AS DOUBLE) - b.lo) / {w}) AS BIGINT), b.nb - 1) AS bin
+               FROM src, b WHERE {col} IS NOT NULL AND CAST({col} AS DOUBLE) >= b.lo
+                 AND CAST({col} AS DOUBLE) <= b.lo + b.nb * {w}),
+    counts AS (SELECT bin, COUNT(*) AS n FROM binned GROUP BY bin),
+    grid AS (SELECT CAST(generate_series AS BIGINT) AS bin FROM b, generate_series(0, b.nb - 1)),
+    full_ AS (SELECT g.bin, CAST(COALESCE(c.n, 0) AS BIGINT) AS count FROM grid g LEFT JOIN counts c ON g.bin = c.bin)
+    SELECT f.bin, ROUND(b.lo + f.bin * {w}, 6) AS bin_start, ROUND(b.lo + (f.bin + 1) * {w}, 6) AS bin_end, f.count,
+           ROUND(CASE WHEN SUM(f.count) OVER () > 0 THEN f.count * 100.0 / SUM(f.count) OVER () END, 6) AS pct
+    FROM full_ f, b"""
+
+
+ORACLE["income_histogram"] = with_views(
+    "SELECT * FROM (" + _histogram_sql("SELECT renda_anual FROM profile", "renda_anual", 20000.0) + ")", "profile"
+)
+
+ORACLE["instalment_value_histogram"] = with_views(
+    "SELECT * FROM (" + _histogram_sql(
+        "SELECT valor_parcela FROM contracts WHERE valor_parcela <= (SELECT QUANTILE_CONT(valor_parcela, 0.99) FROM contracts)",
+        "valor_parcela", 2000.0, origin="0.0") + ")",
+    "contracts",
+)
+
+AGE_SQL = """
+    SELECT CAST(year(DATE '2024-01-01') - year(data_nascimento)
+             - CASE WHEN month(DATE '2024-01-01') < month(data_nascimento)
+                      OR (month(DATE '2024-01-01') = month(data_nascimento) AND day(DATE '2024-01-01') < day(data_nascimento))
+                    THEN 1 ELSE 0 END AS INTEGER) AS idade FROM profile"""
+
+ORACLE["age_histogram"] = with_views("SELECT * FROM (" + _histogram_sql(AGE_SQL, "idade", 1.0) + ")", "profile")
+
+LATENESS_CTE = ("lateness", f"SELECT *, CAST({LATE_FILLED} AS INTEGER) AS atraso FROM instalments")
+CLIPPED_CTE = ("clipped", "SELECT * FROM lateness WHERE atraso <= (SELECT QUANTILE_CONT(atraso, 0.99) FROM lateness)")
+
+ORACLE["lateness_equal_bins"] = with_views(
+    """
+    SELECT bin, ROUND(lo + bin * (hi - lo) / 40.0, 6) AS bin_start, CAST(COUNT(*) AS BIGINT) AS count FROM (
+      SELECT least(CAST(CASE WHEN hi - lo > 0 THEN floor((CAST(atraso AS DOUBLE) - lo) / (hi - lo) * 40) ELSE 0 END AS BIGINT), 39)
+               AS bin, lo, hi
+      FROM clipped, (SELECT CAST(MIN(atraso) AS DOUBLE) AS lo, CAST(MAX(atraso) AS DOUBLE) AS hi FROM clipped)
+      WHERE atraso IS NOT NULL)
+    GROUP BY bin, lo, hi""",
+    "instalments",
+    ctes=[LATENESS_CTE, CLIPPED_CTE],
+)
+
+
+def _monthly_sql(view: str, col: str, end: bool) -> str:
+    label = "last_day(m.month)" if end else "m.month"
+    return f"""
+    WITH counts AS (SELECT CAST(date_trunc('month', {col}) AS DATE) AS month, COUNT(*) AS n
+                    FROM {view} WHERE {col} IS NOT NULL GROUP BY 1),
+    months AS (SELECT CAST(generate_series AS DATE) AS month
+               FROM (SELECT MIN(month) AS a, MAX(month) AS b FROM counts), generate_series(a, b, INTERVAL 1 MONTH))
+    SELECT CAST({label} AS DATE) AS month, CAST(COALESCE(c.n, 0) AS BIGINT) AS count
+    FROM months m LEFT JOIN counts c ON m.month = c.month"""
+
+
+ORACLE["monthly_decisions"] = with_views("SELECT * FROM (" + _monthly_sql("contracts", "data_decisao", True) + ")",
+                                         "contracts")
+ORACLE["monthly_payments"] = with_views(
+    "SELECT * FROM (" + _monthly_sql("instalments", "data_real_pagamento", False) + ")", "instalments"
+)
+
+ORACLE["goods_value_null_fraction"] = with_views(
+    "SELECT AVG(CASE WHEN valor_bem IS NULL THEN 1.0 ELSE 0.0 END) AS null_fraction FROM contracts", "contracts"
+)
+
+ORACLE["paid_early_fraction"] = with_views(
+    """SELECT AVG(CASE WHEN COALESCE(data_real_pagamento < data_prevista_pagamento, false) THEN 1.0 ELSE 0.0 END)
+         AS fraction FROM instalments""",
+    "instalments",
+)
+
+ORACLE["credit_by_contract_type"] = with_views(
+    """SELECT tipo_contrato, CAST(COUNT(id_contrato) AS BIGINT) AS quantidade,
+              ROUND(QUANTILE_CONT(valor_credito, 0.5), 6) AS valor_mediano
+       FROM contracts GROUP BY tipo_contrato""",
+    "contracts",
+)
+
+
+def _box_sql(src: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    join = " AND ".join(f"s.{x} = q.{x}" for x in keys) or "TRUE"
+    sk = ", ".join(f"s.{x}" for x in keys)
+    skc = (sk + ", ") if keys else ""
+    return f"""
+    WITH s AS ({src}),
+    q AS (SELECT {kc}QUANTILE_CONT(x, 0.25) AS q1, QUANTILE_CONT(x, 0.5) AS median, QUANTILE_CONT(x, 0.75) AS q3
+          FROM s {"GROUP BY " + k if keys else ""}),
+    j AS (SELECT {skc}s.x, q.q1, q.median, q.q3,
+                 (s.x >= q.q1 - 1.5 * (q.q3 - q.q1) AND s.x <= q.q3 + 1.5 * (q.q3 - q.q1)) AS inside
+          FROM s JOIN q ON {join})
+    SELECT {kc}ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
+           ROUND(MIN(CASE WHEN inside THEN x END), 6) AS whisker_low, ROUND(MAX(CASE WHEN inside THEN x END), 6) AS whisker_high,
+           CAST(COUNT(CASE WHEN NOT inside THEN 1 END) AS BIGINT) AS n_outliers, CAST(COUNT(*) AS BIGINT) AS n
+    FROM j GROUP BY {kc}q1, median, q3"""
+
+
+ORACLE["credit_box_by_type"] = with_views(
+    "SELECT * FROM (" + _box_sql("SELECT tipo_contrato, CAST(valor_credito AS DOUBLE) AS x FROM contracts WHERE valor_credito IS NOT NULL",
+                                 ["tipo_contrato"]) + ")",
+    "contracts",
+)
+ORACLE["lateness_box"] = with_views(
+    "SELECT * FROM (" + _box_sql("SELECT CAST(atraso AS DOUBLE) AS x FROM lateness WHERE atraso IS NOT NULL", []) + ")",
+    "instalments",
+    ctes=[LATENESS_CTE],
+)
+
+ORACLE["lateness_summary"] = with_views(
+    """SELECT CAST(COUNT(*) AS BIGINT) AS total,
+              CAST(COUNT(CASE WHEN NOT (atraso > 0) OR atraso IS NULL THEN 1 END) AS BIGINT) AS em_dia,
+              CAST(COUNT(CASE WHEN atraso > 0 THEN 1 END) AS BIGINT) AS atrasados,
+              ROUND(COUNT(CASE WHEN atraso > 0 THEN 1 END) * 100.0 / COUNT(*), 6) AS taxa_atraso,
+              ROUND(AVG(CAST(atraso AS DOUBLE)), 6) AS media, ROUND(QUANTILE_CONT(CAST(atraso AS DOUBLE), 0.5), 6) AS mediana
+       FROM lateness""",
+    "instalments",
+    ctes=[LATENESS_CTE],
+)
+
+ORACLE["contract_status_values"] = with_views("SELECT DISTINCT status_contrato FROM contracts", "contracts")
+
+ORACLE["profile_missingness"] = with_views(
+    """SELECT concat(""" + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in PROFILE_NAMES) + """) AS pattern,
+              CAST(COUNT(*) AS BIGINT) AS count
+       FROM profile GROUP BY 1""",
+    "profile",
+)
+
+ORACLE["lateness_kde"] = with_views(
+    """
+    SELECT g.i AS grid_index, ROUND(st.g0 + g.i * st.step, 6) AS x,
+           ROUND(SUM(v.w * exp(-0.5 * ((st.g0 + g.i * st.step - v.v) / st.h) * ((st.g0 + g.i * st.step - v.v) / st.h)))
+                 / (st.n * st.h * sqrt(2 * pi())), 12) AS density
+    FROM (SELECT CAST(atraso AS DOUBLE) AS v, COUNT(*) AS w FROM clipped WHERE atraso IS NOT NULL GROUP BY 1) v,
+         (SELECT n, h, lo AS g0, (hi - lo) / 199.0 AS step FROM (
+             SELECT COUNT(atraso) AS n, STDDEV_SAMP(atraso) * pow(CAST(COUNT(atraso) AS DOUBLE), -0.2) AS h,
+                    CAST(MIN(atraso) AS DOUBLE) AS lo, CAST(MAX(atraso) AS DOUBLE) AS hi FROM clipped)) st,
+         (SELECT CAST(generate_series AS INTEGER) AS i FROM generate_series(0, 199)) g
+    GROUP BY g.i, st.g0, st.step, st.n, st.h""",
+    "instalments",
+    ctes=[LATENESS_CTE, CLIPPED_CTE],
+)
+
+ORACLE["top_clients"] = with_views(
+    """SELECT id_cliente, CAST(COUNT(*) AS BIGINT) AS count,
+              ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM contracts), 6) AS pct
+       FROM contracts WHERE id_cliente IS NOT NULL GROUP BY id_cliente
+       ORDER BY count DESC, id_cliente ASC LIMIT 20""",
+    "contracts",
+)
+
+ORACLE["complete_profiles"] = with_views(
+    """SELECT id_cliente, tipo_renda, ROUND(renda_anual, 10) AS renda_anual, qtd_membros_familia, possui_carro,
+              data_nascimento FROM profile WHERE renda_anual IS NOT NULL AND possui_carro IS NOT NULL""",
+    "profile",
+)
+
+ORACLE["contracts_head"] = with_views(
+    f"SELECT {CONTRACT_COLS} FROM contracts c ORDER BY c.id_contrato LIMIT 5", "contracts"
+)
+
+ORACLE["predictions_first_n"] = with_views(
+    """SELECT event_id, event_ts, ROUND(probability, 10) AS probability, event_type, target, id_cliente
+       FROM predictions ORDER BY event_ts, event_id LIMIT 1000""",
+    "predictions",
+)
+
+ORACLE["income_median_fill"] = with_views(
+    """SELECT id_cliente, tipo_renda,
+              ROUND(COALESCE(renda_anual, (SELECT QUANTILE_CONT(renda_anual, 0.5) FROM profile)), 10) AS renda_anual,
+              qtd_membros_familia, possui_carro, data_nascimento FROM profile""",
+    "profile",
+)
+
+ORACLE["income_clip_p99"] = with_views(
+    """SELECT id_cliente, tipo_renda, ROUND(renda_anual, 10) AS renda_anual, qtd_membros_familia, possui_carro,
+              data_nascimento FROM profile
+       WHERE renda_anual <= (SELECT QUANTILE_CONT(renda_anual, 0.99) FROM profile)""",
+    "profile",
+)
