@@ -373,3 +373,152 @@ def income_median_fill(spark, sf):
 def income_clip_p99(spark, sf):
     """profiles with income ≤ its P99."""
     return _round(PR.clip_at_quantile(B.profile(spark, sf), "renda_anual", 0.99))
+
+
+# --- metrics, ordering and monitoring (M14–M17, M19, M20, W3, D2–D8, J2) ---------------
+
+from lendwise.operators import checks as C  # noqa: E402
+from lendwise.operators import drift as D  # noqa: E402
+from lendwise.operators import metrics as M  # noqa: E402
+from lendwise.operators.ordering import chunk_numbers as _chunks  # noqa: E402
+
+EVENT_ORDER = ["event_ts", "event_id"]
+DRIFT_FEATURES = ["value", "event_type", "hora"]
+
+
+@query("auc_scored_labels")
+def auc_scored_labels(spark, sf):
+    """Exact AUC of the length score for both document labels."""
+    s = B.scored_labels(spark, sf)
+    q = M.auc_table(s, "quality", "score").select(F.lit("quality").alias("target"), "*")
+    t = M.auc_table(s, "toxic", "score").select(F.lit("toxic").alias("target"), "*")
+    return _round(q.unionByName(t), 10)
+
+
+@query("auc_by_lang")
+def auc_by_lang(spark, sf):
+    """M14 per group (language)."""
+    return _round(M.auc_table(B.scored_labels(spark, sf), "quality", "score", by=["lang"]), 10)
+
+
+@query("auc_predictions")
+def auc_predictions(spark, sf):
+    """M14 on the prediction log (continuous scores, many ties)."""
+    return _round(M.auc_table(B.predictions(spark, sf), "target", "probability"), 10)
+
+
+@query("class_report_05")
+def class_report_05(spark, sf):
+    """Per-class precision / recall / F1 at probability > 0.5."""
+    p = B.predictions(spark, sf).withColumn("pred", (F.col("probability") > 0.5).cast("int"))
+    return _round(M.per_class_prf(p, "target", "pred"), 10)
+
+
+@query("confusion_03")
+def confusion_03(spark, sf):
+    """Confusion matrix at probability > 0.3."""
+    return M.confusion_matrix(B.predictions(spark, sf), "target", "probability", 0.3)
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, sf):
+    """Thresholds 0.3 / 0.5 / 0.9 with >=."""
+    return _round(M.threshold_sweep(B.predictions(spark, sf), "target", "probability"), 10)
+
+
+def _runs(spark, sf):
+    s = B.scored_labels(spark, sf).withColumn("version", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
+    runs = M.auc_table(s, "quality", "score", by=["lang", "version"])
+    return runs.select(
+        F.col("lang").alias("model"), "version",
+        F.when(F.col("version") % 7 == 0, F.lit("Production")).otherwise(F.lit("None")).alias("stage"),
+        F.col("auc").alias("valid_auc"),
+    )
+
+
+@query("champion_runs")
+def champion_runs(spark, sf):
+    """M19 over run metrics derived per (language, source) from the scored labels."""
+    return _round(C.champion(_runs(spark, sf)), 10)
+
+
+@query("promotion_gate")
+def promotion_gate(spark, sf):
+    """Each language's overall AUC gated against its champion run."""
+    cand = M.auc_table(B.scored_labels(spark, sf), "quality", "score", by=["lang"]).select(
+        F.col("lang").alias("model"), F.col("auc").alias("new_auc"))
+    joined = cand.join(C.champion(_runs(spark, sf)), "model", "left")
+    return _round(C.promotion_gate(joined, min_auc=0.4), 10)
+
+
+@query("event_chunks")
+def event_chunks(spark, sf):
+    """500-row chunks of the prediction log in time order."""
+    return _chunks(B.predictions(spark, sf).select("event_id", "event_ts"), EVENT_ORDER, 500)
+
+
+@query("univariate_drift")
+def univariate_drift(spark, sf):
+    """D3: Jensen-Shannon drift per feature and 500-row chunk."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    return D.univariate_drift(ref, ana, DRIFT_FEATURES, EVENT_ORDER)
+
+
+@query("drift_alert_summary")
+def drift_alert_summary(spark, sf):
+    """D4."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    return _round(D.alert_summary(D.univariate_drift(ref, ana, DRIFT_FEATURES, EVENT_ORDER)), 10)
+
+
+@query("reconstruction_drift")
+def reconstruction_drift(spark, sf):
+    """PCA reconstruction error per chunk (ML fit: rows-only check)."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    return D.reconstruction_drift(ref, ana, ["value", "hora"], EVENT_ORDER)
+
+
+@query("auc_decay")
+def auc_decay(spark, sf):
+    """Reference vs analysis AUC."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    return _round(C.auc_decay(ref, ana, "target", "probability"), 10)
+
+
+@query("denied_rate")
+def denied_rate(spark, sf):
+    """D6 with the documented defaults (threshold 0.5, no offset)."""
+    return _round(C.denied_rate(B.predictions(spark, sf)), 10)
+
+
+@query("denied_rate_as_coded")
+def denied_rate_as_coded(spark, sf):
+    """D6 with the as-coded pair (threshold 0.1, denominator + 10)."""
+    return _round(C.denied_rate(B.predictions(spark, sf), threshold=0.1, denominator_offset=10), 10)
+
+
+@query("mean_score")
+def mean_score(spark, sf):
+    """D7."""
+    return _round(C.mean_score(B.predictions(spark, sf)), 10)
+
+
+def _decision(spark, sf):
+    ref, ana = B.monitoring_frames(spark, sf)
+    drift = D.alert_summary(D.univariate_drift(ref, ana, DRIFT_FEATURES, EVENT_ORDER))
+    return C.retrain_decision(drift, C.auc_decay(ref, ana, "target", "probability"),
+                              C.denied_rate(B.predictions(spark, sf)), C.mean_score(B.predictions(spark, sf)))
+
+
+@query("retrain_decision")
+def retrain_decision(spark, sf):
+    """OR of drift, decay, denied-rate and mean-score flags."""
+    return _round(_decision(spark, sf), 10)
+
+
+@query("decision_report_json")
+def decision_report_json(spark, sf):
+    """The decision row as JSON (booleans and counts only, stable text)."""
+    d = _decision(spark, sf).select("should_retrain", "drift_detected", "decay_detected", "n_alerts",
+                                    "negado_count", "negado_denominator")
+    return C.decision_report(d)

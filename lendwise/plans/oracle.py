@@ -487,3 +487,237 @@ ORACLE["income_clip_p99"] = with_views(
        WHERE renda_anual <= (SELECT QUANTILE_CONT(renda_anual, 0.99) FROM profile)""",
     "profile",
 )
+
+
+# --- metrics and monitoring ---------------------------------------------------------------
+
+def _auc_sql(src: str, label: str, score: str, keys: list[str] | None = None, places: int = 10) -> str:
+    keys = keys or []
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    part = f"PARTITION BY {k} " if keys else ""
+    return f"""
+    SELECT {kc}ROUND(CASE WHEN SUM(p) > 0 AND SUM(n) > 0
+                      THEN SUM(p * (below + n / 2.0)) / (CAST(SUM(p) AS DOUBLE) * CAST(SUM(n) AS DOUBLE)) END, {places}) AS auc,
+           CAST(SUM(p) AS BIGINT) AS n_pos, CAST(SUM(n) AS BIGINT) AS n_neg
+    FROM (SELECT {kc}s, p, n,
+                 COALESCE(SUM(n) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+          FROM (SELECT {kc}CAST({score} AS DOUBLE) AS s,
+                       SUM(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS p,
+                       SUM(CASE WHEN {label} <> 1 THEN 1 ELSE 0 END) AS n
+                FROM ({src}) WHERE {label} IS NOT NULL AND {score} IS NOT NULL
+                GROUP BY {kc}CAST({score} AS DOUBLE)))
+    {"GROUP BY " + k if keys else ""}"""
+
+
+ORACLE["auc_scored_labels"] = with_views(
+    f"""SELECT 'quality' AS target, * FROM ({_auc_sql('SELECT * FROM scored_labels', 'quality', 'score')})
+        UNION ALL
+        SELECT 'toxic' AS target, * FROM ({_auc_sql('SELECT * FROM scored_labels', 'toxic', 'score')})""",
+    "scored_labels",
+)
+
+ORACLE["auc_by_lang"] = with_views(_auc_sql("SELECT * FROM scored_labels", "quality", "score", ["lang"]), "scored_labels")
+
+ORACLE["auc_predictions"] = with_views(_auc_sql("SELECT * FROM predictions", "target", "probability"), "predictions")
+
+ORACLE["class_report_05"] = with_views(
+    """
+    WITH b AS (SELECT target AS y, CAST(probability > 0.5 AS INTEGER) AS p FROM predictions
+               WHERE target IS NOT NULL AND probability IS NOT NULL),
+    c AS (SELECT cls, SUM(tp) AS tp, SUM(pr) AS n_pred, SUM(ac) AS support FROM (
+            SELECT y AS cls, CAST(y = p AS INTEGER) AS tp, 0 AS pr, 1 AS ac FROM b
+            UNION ALL SELECT p, 0, 1, 0 FROM b) GROUP BY cls),
+    m AS (SELECT cls, COALESCE(CASE WHEN n_pred <> 0 THEN tp * 1.0 / n_pred END, 0.0) AS prec,
+                 COALESCE(CASE WHEN support <> 0 THEN tp * 1.0 / support END, 0.0) AS rec, support FROM c)
+    SELECT cls AS class, ROUND(prec, 10) AS precision, ROUND(rec, 10) AS recall,
+           ROUND(COALESCE(CASE WHEN prec + rec <> 0 THEN 2.0 * prec * rec / (prec + rec) END, 0.0), 10) AS f1,
+           CAST(support AS BIGINT) AS support
+    FROM m""",
+    "predictions",
+)
+
+ORACLE["confusion_03"] = with_views(
+    """
+    WITH b AS (SELECT CAST(target AS INTEGER) AS y, CAST(probability > 0.3 AS INTEGER) AS p FROM predictions
+               WHERE target IS NOT NULL AND probability IS NOT NULL),
+    cells AS (SELECT a.a AS actual, pp.b AS predicted FROM (VALUES (0), (1)) a(a), (VALUES (0), (1)) pp(b))
+    SELECT c.actual, c.predicted, CAST(COUNT(b.y) AS BIGINT) AS count
+    FROM cells c LEFT JOIN b ON b.y = c.actual AND b.p = c.predicted
+    GROUP BY c.actual, c.predicted""",
+    "predictions",
+)
+
+ORACLE["threshold_sweep"] = with_views(
+    """
+    WITH t AS (SELECT * FROM (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(threshold)),
+    c AS (SELECT t.threshold,
+                 COUNT(CASE WHEN y = 0 AND s < t.threshold THEN 1 END) AS c00,
+                 COUNT(CASE WHEN y = 0 AND s >= t.threshold THEN 1 END) AS c01,
+                 COUNT(CASE WHEN y = 1 AND s < t.threshold THEN 1 END) AS c10,
+                 COUNT(CASE WHEN y = 1 AND s >= t.threshold THEN 1 END) AS c11
+          FROM (SELECT CAST(target AS INTEGER) AS y, probability AS s FROM predictions
+                WHERE target IS NOT NULL AND probability IS NOT NULL) b, t
+          GROUP BY t.threshold),
+    k AS (SELECT threshold, 0 AS class, c00 AS tp, c10 AS fp, c01 AS fn, c00 + c01 + c10 + c11 AS total, c00 + c11 AS ok FROM c
+          UNION ALL
+          SELECT threshold, 1, c11, c01, c10, c00 + c01 + c10 + c11, c00 + c11 FROM c),
+    m AS (SELECT *, COALESCE(CASE WHEN tp + fp <> 0 THEN tp * 1.0 / (tp + fp) END, 0.0) AS prec,
+                    COALESCE(CASE WHEN tp + fn <> 0 THEN tp * 1.0 / (tp + fn) END, 0.0) AS rec FROM k)
+    SELECT threshold, class, ROUND(prec, 10) AS precision, ROUND(rec, 10) AS recall,
+           ROUND(COALESCE(CASE WHEN prec + rec <> 0 THEN 2.0 * prec * rec / (prec + rec) END, 0.0), 10) AS f1,
+           CAST(tp + fn AS BIGINT) AS support,
+           ROUND(COALESCE(CASE WHEN total <> 0 THEN ok * 1.0 / total END, 0.0), 10) AS accuracy
+    FROM m""",
+    "predictions",
+)
+
+RUNS_CTE = (
+    "runs",
+    f"""
+    SELECT lang AS model, version,
+           CASE WHEN version % 7 = 0 THEN 'Production' ELSE 'None' END AS stage, auc AS valid_auc
+    FROM ({_auc_sql("SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS version FROM scored_labels",
+                    "quality", "score", ["lang", "version"], places=17)})""",
+)
+
+CHAMPION_CTE = (
+    "champ",
+    """
+    SELECT model, version AS champion_version, stage AS champion_stage, valid_auc AS champion_auc FROM (
+      SELECT *, row_number() OVER (PARTITION BY model
+                                   ORDER BY CASE WHEN stage = 'Production' THEN 1 ELSE 0 END DESC, version DESC) AS rn
+      FROM runs WHERE version IS NOT NULL) WHERE rn = 1""",
+)
+
+ORACLE["champion_runs"] = with_views(
+    """SELECT model, CAST(champion_version AS BIGINT) AS champion_version, champion_stage,
+              ROUND(champion_auc, 10) AS champion_auc FROM champ""",
+    "scored_labels", ctes=[RUNS_CTE, CHAMPION_CTE],
+)
+
+ORACLE["promotion_gate"] = with_views(
+    f"""
+    SELECT c.model, ROUND(c.new_auc, 10) AS new_auc, CAST(h.champion_version AS BIGINT) AS champion_version,
+           h.champion_stage, ROUND(h.champion_auc, 10) AS champion_auc,
+           CASE WHEN c.new_auc < 0.4 THEN false WHEN h.champion_auc IS NULL THEN true
+                WHEN c.new_auc < h.champion_auc - 0.005 THEN false ELSE true END AS passed,
+           CASE WHEN c.new_auc < 0.4 THEN 'below minimum valid_auc' WHEN h.champion_auc IS NULL THEN 'no champion'
+                WHEN c.new_auc < h.champion_auc - 0.005 THEN 'below champion floor' ELSE 'passed vs champion' END AS reason
+    FROM (SELECT lang AS model, auc AS new_auc FROM ({_auc_sql('SELECT * FROM scored_labels', 'quality', 'score', ['lang'], places=17)})) c
+    LEFT JOIN champ h ON c.model = h.model""",
+    "scored_labels", ctes=[RUNS_CTE, CHAMPION_CTE],
+)
+
+ORACLE["event_chunks"] = with_views(
+    """SELECT event_id, event_ts, CAST(floor((row_number() OVER (ORDER BY event_ts, event_id) - 1) / 500) AS BIGINT) AS chunk
+       FROM predictions""",
+    "predictions",
+)
+
+DRIFT_CTES = [
+    ("ref", "SELECT * FROM monitoring WHERE is_reference"),
+    ("ana", """SELECT *, CAST(floor((row_number() OVER (ORDER BY event_ts, event_id) - 1) / 500) AS BIGINT) AS chunk
+               FROM monitoring WHERE NOT is_reference"""),
+    ("ref_long", """SELECT 'value' AS feature, CAST(value AS DOUBLE) AS num, NULL::VARCHAR AS cat FROM ref
+                    UNION ALL SELECT 'event_type', NULL::DOUBLE, event_type FROM ref
+                    UNION ALL SELECT 'hora', CAST(hora AS DOUBLE), NULL::VARCHAR FROM ref"""),
+    ("ana_long", """SELECT chunk, 'value' AS feature, CAST(value AS DOUBLE) AS num, NULL::VARCHAR AS cat FROM ana
+                    UNION ALL SELECT chunk, 'event_type', NULL::DOUBLE, event_type FROM ana
+                    UNION ALL SELECT chunk, 'hora', CAST(hora AS DOUBLE), NULL::VARCHAR FROM ana"""),
+    ("rng", "SELECT feature, MIN(num) AS lo, MAX(num) AS hi FROM ref_long GROUP BY feature"),
+    ("ref_b", """SELECT r.feature, CASE WHEN cat IS NOT NULL THEN cat WHEN num IS NOT NULL THEN CAST(greatest(0, least(
+                   CAST(CASE WHEN hi - lo > 0 THEN floor((num - lo) / (hi - lo) * 10) ELSE 0 END AS BIGINT), 9)) AS VARCHAR)
+                   ELSE '__null__' END AS bin FROM ref_long r JOIN rng g ON r.feature = g.feature"""),
+    ("p", """SELECT feature, bin, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY feature) AS p
+             FROM ref_b GROUP BY feature, bin"""),
+    ("ana_b", """SELECT a.chunk, a.feature, CASE WHEN cat IS NOT NULL THEN cat WHEN num IS NOT NULL THEN CAST(greatest(0, least(
+                   CAST(CASE WHEN hi - lo > 0 THEN floor((num - lo) / (hi - lo) * 10) ELSE 0 END AS BIGINT), 9)) AS VARCHAR)
+                   ELSE '__null__' END AS bin FROM ana_long a JOIN rng g ON a.feature = g.feature"""),
+    ("q", """SELECT feature, chunk, bin, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY feature, chunk) AS q
+             FROM ana_b GROUP BY feature, chunk, bin"""),
+    ("js", """SELECT feature, chunk, ROUND(sqrt(greatest(SUM(
+                  CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2.0)) ELSE 0.0 END
+                + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2.0)) ELSE 0.0 END) + 0.5 * (1.0 - SUM(p)), 0.0)), 9)
+                AS js_distance
+             FROM (SELECT q.feature, q.chunk, q.q, COALESCE(p.p, 0.0) AS p FROM q LEFT JOIN p ON q.feature = p.feature AND q.bin = p.bin)
+             GROUP BY feature, chunk"""),
+    ("drift", "SELECT feature, chunk, js_distance, js_distance > 0.1 AS alert FROM js"),
+    ("drift_sum", """SELECT CAST(SUM(CAST(alert AS INTEGER)) AS BIGINT) AS n_alerts, AVG(CAST(alert AS DOUBLE)) AS alert_rate,
+                     AVG(CAST(alert AS DOUBLE)) >= 0.7 AS drift_detected FROM drift"""),
+]
+
+ORACLE["univariate_drift"] = with_views("SELECT * FROM drift", "monitoring", ctes=DRIFT_CTES)
+ORACLE["drift_alert_summary"] = with_views(
+    "SELECT n_alerts, ROUND(alert_rate, 10) AS alert_rate, drift_detected FROM drift_sum", "monitoring", ctes=DRIFT_CTES
+)
+
+DECAY_CTES = [
+    ("ref_auc", _auc_sql("SELECT * FROM monitoring WHERE is_reference", "target", "probability", places=17)),
+    ("ana_auc", _auc_sql("SELECT * FROM monitoring WHERE NOT is_reference", "target", "probability", places=17)),
+    ("decay", """SELECT true AS decay_checked, r.auc AS reference_auc, a.auc AS analysis_auc, r.auc - a.auc AS auc_drop,
+                 COALESCE(r.auc - a.auc >= 0.03, false) AS decay_detected FROM ref_auc r, ana_auc a"""),
+]
+
+ORACLE["auc_decay"] = with_views(
+    """SELECT decay_checked, ROUND(reference_auc, 10) AS reference_auc, ROUND(analysis_auc, 10) AS analysis_auc,
+              ROUND(auc_drop, 10) AS auc_drop, decay_detected FROM decay""",
+    "monitoring", ctes=DECAY_CTES,
+)
+
+
+def _denied_sql(threshold: float, offset: int) -> str:
+    return f"""
+    SELECT negado_count, negado_denominator,
+           CASE WHEN negado_denominator > 0 THEN negado_count * 1.0 / negado_denominator END AS negado_fraction,
+           COALESCE(CASE WHEN negado_denominator > 0 THEN negado_count * 1.0 / negado_denominator END < 0.9, false)
+             AS negado_below_threshold_retrain
+    FROM (SELECT CAST(COUNT(CASE WHEN TRY_CAST(probability AS DOUBLE) >= {threshold} THEN 1 END) AS BIGINT) AS negado_count,
+                 CAST(COUNT(TRY_CAST(probability AS DOUBLE)) + {offset} AS BIGINT) AS negado_denominator
+          FROM predictions)"""
+
+
+DENIED_CTE = ("denied", _denied_sql(0.5, 0))
+MEAN_CTE = ("mscore", """SELECT AVG(TRY_CAST(probability AS DOUBLE)) AS probability_avg,
+                                COALESCE(AVG(TRY_CAST(probability AS DOUBLE)) > 0.2, false) AS probability_above_threshold_retrain
+                         FROM predictions""")
+
+ORACLE["denied_rate"] = with_views(
+    """SELECT negado_count, negado_denominator, ROUND(negado_fraction, 10) AS negado_fraction,
+              negado_below_threshold_retrain FROM denied""", "predictions", ctes=[DENIED_CTE])
+ORACLE["denied_rate_as_coded"] = with_views(
+    """SELECT negado_count, negado_denominator, ROUND(negado_fraction, 10) AS negado_fraction,
+              negado_below_threshold_retrain FROM denied""", "predictions", ctes=[("denied", _denied_sql(0.1, 10))])
+ORACLE["mean_score"] = with_views(
+    "SELECT ROUND(probability_avg, 10) AS probability_avg, probability_above_threshold_retrain FROM mscore",
+    "predictions", ctes=[MEAN_CTE])
+
+DECISION_CTE = (
+    "decision",
+    """SELECT (COALESCE(s.drift_detected, false) OR COALESCE(d.decay_detected, false)
+               OR COALESCE(n.negado_below_threshold_retrain, false) OR COALESCE(m.probability_above_threshold_retrain, false))
+              AS should_retrain,
+              COALESCE(s.n_alerts, 0) AS n_alerts, COALESCE(s.alert_rate, 0.0) AS alert_rate,
+              COALESCE(s.alert_rate, 0.0) >= 0.7 AS drift_detected,
+              d.decay_checked, d.reference_auc, d.analysis_auc, d.auc_drop, d.decay_detected,
+              n.negado_count, n.negado_denominator, n.negado_fraction, n.negado_below_threshold_retrain,
+              m.probability_avg, m.probability_above_threshold_retrain
+       FROM drift_sum s, decay d, denied n, mscore m""",
+)
+
+ORACLE["retrain_decision"] = with_views(
+    """SELECT should_retrain, n_alerts, ROUND(alert_rate, 10) AS alert_rate, drift_detected, decay_checked,
+              ROUND(reference_auc, 10) AS reference_auc, ROUND(analysis_auc, 10) AS analysis_auc,
+              ROUND(auc_drop, 10) AS auc_drop, decay_detected, negado_count, negado_denominator,
+              ROUND(negado_fraction, 10) AS negado_fraction, negado_below_threshold_retrain,
+              ROUND(probability_avg, 10) AS probability_avg, probability_above_threshold_retrain FROM decision""",
+    "monitoring", "predictions", ctes=DRIFT_CTES + DECAY_CTES + [DENIED_CTE, MEAN_CTE, DECISION_CTE],
+)
+
+ORACLE["decision_report_json"] = with_views(
+    """SELECT CAST(to_json({'should_retrain': should_retrain, 'drift_detected': drift_detected,
+                            'decay_detected': decay_detected, 'n_alerts': n_alerts,
+                            'negado_count': negado_count, 'negado_denominator': negado_denominator}) AS VARCHAR) AS report
+       FROM decision""",
+    "monitoring", "predictions", ctes=DRIFT_CTES + DECAY_CTES + [DENIED_CTE, MEAN_CTE, DECISION_CTE],
+)

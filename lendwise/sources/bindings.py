@@ -211,8 +211,37 @@ ORACLE_VIEWS: dict[str, str] = {
 
 def with_views(sql: str, *names: str, ctes: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``sql`` with a WITH clause: the named oracle views, then ``ctes``."""
+    if sql.lstrip().upper().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     parts = [f"{n} AS ({ORACLE_VIEWS[n]})" for n in names]
     parts += [f"{n} AS ({body})" for n, body in (ctes or [])]
     if not parts:
         return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql
+
+
+# Reference / analysis split of the event stream for monitoring (fixed cut: mid-month).
+DRIFT_CUT = "2024-01-16 00:00:00"
+
+
+def monitoring_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(reference, analysis): events before / from the cut, with model features and score."""
+    ev = _read(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("ts").alias("event_ts"),
+        F.col("value"),
+        F.col("event_type"),
+        F.hour("ts").alias("hora"),
+        F.least(F.col("value") / F.lit(500.0), F.lit(1.0)).alias("probability"),
+        (F.col("event_type") == "purchase").cast("int").alias("target"),
+    )
+    cut = F.lit(DRIFT_CUT).cast("timestamp_ntz")
+    return ev.where(F.col("event_ts") < cut), ev.where(F.col("event_ts") >= cut)
+
+
+ORACLE_VIEWS["monitoring"] = """
+        SELECT event_id, ts AS event_ts, value, event_type, CAST(hour(ts) AS INTEGER) AS hora,
+               least(value / 500.0::DOUBLE, 1.0::DOUBLE) AS probability,
+               CAST(event_type = 'purchase' AS INTEGER) AS target,
+               ts < TIMESTAMP '2024-01-16 00:00:00' AS is_reference
+        FROM events"""
