@@ -522,3 +522,96 @@ def decision_report_json(spark, sf):
     d = _decision(spark, sf).select("should_retrain", "drift_detected", "decay_detected", "n_alerts",
                                     "negado_count", "negado_denominator")
     return C.decision_report(d)
+
+
+# --- requests, decisions and the prediction log (J1–J3, P8, P19–P25, P30, D9, F7, F9, JN8) --
+
+from lendwise.functions.decisions import decision_band, rounded_probability  # noqa: E402
+from lendwise.functions.ids import id_error, id_value  # noqa: E402
+from lendwise.operators import requests as R  # noqa: E402
+
+PROCESSING_DATE = "2024-02-01"
+
+
+def _scored(spark, sf):
+    msgs = B.request_messages(spark, sf)
+    norm = R.normalise(R.decode_envelope(msgs), processing_date=F.lit(PROCESSING_DATE).cast("date"))
+    return R.score_requests(norm, event_ts=F.col("timestamp"))
+
+
+@query("decision_bands")
+def decision_bands(spark, sf):
+    """P19 + P20 on the prediction log."""
+    p = B.predictions(spark, sf)
+    return p.select("event_id", rounded_probability("probability").alias("probability_4"),
+                    decision_band("probability").alias("threshold_decision"))
+
+
+@query("request_envelopes")
+def request_envelopes(spark, sf):
+    """Envelope kind and decode errors per message."""
+    d = R.decode_envelope(B.request_messages(spark, sf))
+    return d.select("key", "envelope", "decode_error",
+                    F.get_json_object("payload", "$.tipo_contrato").alias("tipo_contrato"))
+
+
+@query("request_ids")
+def request_ids(spark, sf):
+    """P8 on the client id text of each request payload."""
+    d = R.decode_envelope(B.request_messages(spark, sf))
+    raw = F.get_json_object("payload", "$.id_cliente")
+    return d.select("key", id_value(raw, 0).alias("id_cliente"), id_error(raw).alias("id_error"))
+
+
+@query("request_normalized")
+def request_normalized(spark, sf):
+    """P21 + P24 + J3: typed requests with rejection reasons."""
+    msgs = B.request_messages(spark, sf)
+    norm = R.normalise(R.decode_envelope(msgs), processing_date=F.lit(PROCESSING_DATE).cast("date"))
+    return norm.select("key", *R.field_names(), "reasons")
+
+
+@query("prediction_events_log")
+def prediction_events_log(spark, sf):
+    """ST7 + P25 + P30: the prediction-events table of a batch replay."""
+    return R.event_log(_scored(spark, sf))
+
+
+@query("prediction_requests_log")
+def prediction_requests_log(spark, sf):
+    """S11 second table: the prediction-requests log."""
+    return R.request_log(_scored(spark, sf))
+
+
+@query("rejected_requests")
+def rejected_requests(spark, sf):
+    """ST4 / F9: rejected messages with reasons (raw value kept in the dead-letter sink)."""
+    return R.dead_letters(_scored(spark, sf)).select("event_id", "key", "offset", "reasons")
+
+
+@query("events_join_requests")
+def events_join_requests(spark, sf):
+    """JN8: events ⋈ requests on event_id, counted per decision."""
+    s = _scored(spark, sf)
+    ev = R.event_log(s).select("event_id", "threshold_decision", "probability")
+    rq = R.request_log(s).select("event_id", "tipo_contrato")
+    j = ev.join(rq, "event_id", "inner")
+    return _round(j.groupBy("threshold_decision", "tipo_contrato").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("avg_probability")), 8)
+
+
+def _evaluator(spark, sf):
+    d = R.decode_envelope(B.request_messages(spark, sf))
+    return R.evaluator_payload(R.payload_columns(d, R.field_names()))
+
+
+@query("evaluator_accounting")
+def evaluator_accounting(spark, sf):
+    """P22 + P23 + D9: evaluator payloads built, scored and dropped."""
+    return R.scoring_accounting(_evaluator(spark, sf))
+
+
+@query("evaluator_top_missing")
+def evaluator_top_missing(spark, sf):
+    """most frequent missing required fields among dropped rows."""
+    return R.top_missing_fields(_evaluator(spark, sf), 8)

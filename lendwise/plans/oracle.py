@@ -721,3 +721,197 @@ ORACLE["decision_report_json"] = with_views(
        FROM decision""",
     "monitoring", "predictions", ctes=DRIFT_CTES + DECAY_CTES + [DENIED_CTE, MEAN_CTE, DECISION_CTE],
 )
+
+
+# --- requests and the prediction log --------------------------------------------------------
+
+from lendwise.functions.payload import (  # noqa: E402
+    API_FLOAT_FIELDS,
+    API_INT_FIELDS,
+    API_OPTIONAL_FIELDS,
+    API_REQUIRED_FIELDS,
+    REQUEST_FIELDS,
+    REQUIRED_FALLBACKS,
+    default_text,
+)
+
+
+def _lit(v) -> str:
+    t = default_text(v)
+    return "NULL::VARCHAR" if t is None else "'" + t.replace("'", "''") + "'"
+
+
+DECODED_CTE = (
+    "decoded",
+    """
+    SELECT *,
+      CASE WHEN value IS NULL THEN 'empty value'
+           WHEN NOT json_valid(value) THEN 'invalid JSON'
+           WHEN json_type(value::JSON) <> 'OBJECT' THEN 'value must be a JSON object' END AS decode_error,
+      CASE WHEN value IS NULL OR NOT json_valid(value) OR json_type(value::JSON) <> 'OBJECT' THEN NULL
+           WHEN json_type(value::JSON, '$.payload') = 'OBJECT' THEN 'payload'
+           WHEN json_type(value::JSON, '$.application') = 'OBJECT' THEN 'application'
+           WHEN json_type(value::JSON, '$.data') = 'OBJECT' THEN 'data'
+           WHEN json_type(value::JSON, '$.body') = 'OBJECT' THEN 'body'
+           ELSE 'bare' END AS envelope
+    FROM request_messages""",
+)
+
+PAYLOAD_CTE = (
+    "pl",
+    """
+    SELECT *, CASE envelope WHEN 'bare' THEN value::JSON
+                            WHEN 'payload' THEN json_extract(value, '$.payload')
+                            WHEN 'application' THEN json_extract(value, '$.application')
+                            WHEN 'data' THEN json_extract(value, '$.data')
+                            WHEN 'body' THEN json_extract(value, '$.body') END AS payload
+    FROM decoded""",
+)
+
+
+def _text(name: str, default) -> str:
+    present = f"json_exists(payload, '$.{name}')"
+    return f"(CASE WHEN {present} THEN json_extract_string(payload, '$.{name}') ELSE {_lit(default)} END)"
+
+
+def _norm_select(processing_date: str) -> tuple[str, str]:
+    cols, reasons = [], []
+    for f in REQUEST_FIELDS:
+        t = _text(f.name, f.default)
+        if f.name == "id_cliente":
+            t = f"COALESCE({t}, '0')"
+        if f.name == "data_decisao":
+            t = f"(CASE WHEN {t} IS NULL OR {t} = '' THEN '{processing_date}' ELSE {t} END)"
+        if f.kind == "id":
+            tt = f"trim({t})"
+            dflt = "NULL::BIGINT" if f.default is None else f"CAST({f.default} AS BIGINT)"
+            cols.append(f"CASE WHEN {tt} IS NULL OR {tt} = '' THEN {dflt} "
+                        f"WHEN regexp_full_match({tt}, '[+-]?[0-9]+') THEN TRY_CAST({tt} AS BIGINT) END AS {f.name}")
+            reasons.append(f"CASE WHEN NOT ({tt} IS NULL OR {tt} = '') AND NOT (regexp_full_match({tt}, '[+-]?[0-9]+') "
+                           f"AND TRY_CAST({tt} AS BIGINT) IS NOT NULL) THEN '{f.name}: numeric id expected' END")
+        elif f.kind == "str":
+            cols.append(f"{t} AS {f.name}")
+            if f.required:
+                reasons.append(f"CASE WHEN {t} IS NULL THEN '{f.name}: required' END")
+        elif f.kind == "float":
+            d = f"TRY_CAST({t} AS DOUBLE)"
+            cols.append(f"{d} AS {f.name}")
+            req = "true" if f.required else "false"
+            reasons.append(f"CASE WHEN ({t} IS NULL AND {req}) OR ({t} IS NOT NULL AND {d} IS NULL) "
+                           f"THEN '{f.name}: number expected' END")
+        else:
+            d = f"TRY_CAST({t} AS DOUBLE)"
+            whole = (f"({d} IS NOT NULL AND {d} = floor({d}) AND "
+                     f"regexp_full_match(trim({t}), '[+-]?[0-9]+(\\.[0-9]*)?([eE][+-]?[0-9]+)?'))")
+            cols.append(f"CASE WHEN {whole} THEN CAST({d} AS INTEGER) END AS {f.name}")
+            req = "true" if f.required else "false"
+            reasons.append(f"CASE WHEN ({t} IS NULL AND {req}) OR ({t} IS NOT NULL AND NOT COALESCE({whole}, false)) "
+                           f"THEN '{f.name}: integer expected' END")
+    rs = ("CASE WHEN decode_error IS NOT NULL THEN [decode_error] ELSE "
+          "list_filter([" + ", ".join(reasons) + "], lambda x: x IS NOT NULL) END AS reasons")
+    return ",\n".join(cols), rs
+
+
+_NCOLS, _NREASONS = _norm_select("2024-02-01")
+NORM_CTE = ("norm", f"SELECT key, value, topic, \"partition\", \"offset\", \"timestamp\", envelope, decode_error,\n{_NCOLS},\n{_NREASONS}\nFROM pl")
+
+SCORED_CTE = (
+    "scored",
+    """
+    SELECT *, CASE WHEN key IS NULL OR key = '' THEN sha256(concat_ws('|', topic, CAST("partition" AS VARCHAR),
+                                                                        CAST("offset" AS VARCHAR))) ELSE key END AS event_id,
+              "timestamp" AS event_ts, 'credit_default' AS model_name, 'Production' AS model_stage,
+              CASE WHEN len(reasons) = 0 THEN least(valor_credito / 500.0, 1.0) END AS p_raw
+    FROM norm""",
+)
+
+REQ_VIEWS = ("request_messages",)
+REQ_CTES = [DECODED_CTE, PAYLOAD_CTE, NORM_CTE, SCORED_CTE]
+FIELD_LIST = ", ".join(f.name for f in REQUEST_FIELDS)
+
+ORACLE["decision_bands"] = with_views(
+    """SELECT event_id, ROUND(probability, 4) AS probability_4,
+              CASE WHEN probability IS NULL THEN NULL WHEN probability > 0.5 THEN 'Negado'
+                   WHEN probability > 0.3 THEN 'Revisão Manual' ELSE 'Aprovado' END AS threshold_decision
+       FROM predictions""",
+    "predictions",
+)
+
+ORACLE["request_envelopes"] = with_views(
+    "SELECT key, envelope, decode_error, json_extract_string(payload, '$.tipo_contrato') AS tipo_contrato FROM pl",
+    *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE],
+)
+
+ORACLE["request_ids"] = with_views(
+    """SELECT key,
+              CASE WHEN trim(t) IS NULL OR trim(t) = '' THEN 0::BIGINT
+                   WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN TRY_CAST(trim(t) AS BIGINT) END AS id_cliente,
+              CASE WHEN trim(t) IS NULL OR trim(t) = '' THEN NULL
+                   WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') AND TRY_CAST(trim(t) AS BIGINT) IS NOT NULL THEN NULL
+                   ELSE 'non-numeric id' END AS id_error
+       FROM (SELECT key, json_extract_string(payload, '$.id_cliente') AS t FROM pl)""",
+    *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE],
+)
+
+ORACLE["request_normalized"] = with_views(f"SELECT key, {FIELD_LIST}, reasons FROM norm", *REQ_VIEWS, ctes=REQ_CTES[:3])
+
+ORACLE["prediction_events_log"] = with_views(
+    f"""SELECT event_id, event_ts, model_name, model_stage, event_id AS request_id, ROUND(p_raw, 4) AS probability,
+               CASE WHEN p_raw IS NULL THEN NULL WHEN p_raw > 0.5 THEN 'Negado' WHEN p_raw > 0.3 THEN 'Revisão Manual'
+                    ELSE 'Aprovado' END AS threshold_decision,
+               'success' AS status, {FIELD_LIST}
+        FROM scored WHERE len(reasons) = 0""",
+    *REQ_VIEWS, ctes=REQ_CTES,
+)
+
+ORACLE["prediction_requests_log"] = with_views(
+    f"SELECT event_id, event_ts, model_name, model_stage, {FIELD_LIST} FROM scored WHERE len(reasons) = 0",
+    *REQ_VIEWS, ctes=REQ_CTES,
+)
+
+ORACLE["rejected_requests"] = with_views(
+    'SELECT event_id, key, "offset", reasons FROM scored WHERE len(reasons) > 0', *REQ_VIEWS, ctes=REQ_CTES,
+)
+
+ORACLE["events_join_requests"] = with_views(
+    """SELECT CASE WHEN p_raw > 0.5 THEN 'Negado' WHEN p_raw > 0.3 THEN 'Revisão Manual' ELSE 'Aprovado' END
+                AS threshold_decision, tipo_contrato, CAST(COUNT(*) AS BIGINT) AS n,
+              ROUND(AVG(ROUND(p_raw, 4)), 8) AS avg_probability
+       FROM scored WHERE len(reasons) = 0 GROUP BY 1, 2""",
+    *REQ_VIEWS, ctes=REQ_CTES,
+)
+
+_ALLOWED = list(API_REQUIRED_FIELDS) + list(API_OPTIONAL_FIELDS)
+
+
+def _evaluator_sql() -> str:
+    bad = []
+    for n in _ALLOWED:
+        v = f"json_extract_string(payload, '$.{n}')"
+        if n in REQUIRED_FALLBACKS:
+            v = f"(CASE WHEN {v} IS NULL OR {v} = '' THEN {_lit(REQUIRED_FALLBACKS[n])} ELSE {v} END)"
+        if n in API_INT_FIELDS:
+            bad.append(f"NOT ({v} IS NULL OR (TRY_CAST({v} AS DOUBLE) IS NOT NULL AND regexp_full_match(trim({v}), '[+-]?[0-9]+')))")
+        elif n in API_FLOAT_FIELDS:
+            bad.append(f"NOT ({v} IS NULL OR TRY_CAST({v} AS DOUBLE) IS NOT NULL)")
+    valid = "NOT (" + " OR ".join(bad) + ")"
+    missing = ("list_filter([" + ", ".join(
+        f"CASE WHEN json_extract_string(payload, '$.{n}') IS NULL OR json_extract_string(payload, '$.{n}') = '' "
+        f"THEN '{n}' END" for n in API_REQUIRED_FIELDS) + "], lambda x: x IS NOT NULL)")
+    return f"SELECT key, {valid} AS payload_valid, {missing} AS missing_fields FROM pl"
+
+
+EVAL_CTE = ("evaluator", _evaluator_sql())
+
+ORACLE["evaluator_accounting"] = with_views(
+    """SELECT CAST(COUNT(CASE WHEN payload_valid THEN 1 END) AS BIGINT) AS scored,
+              CAST(COUNT(CASE WHEN NOT payload_valid THEN 1 END) AS BIGINT) AS dropped FROM evaluator""",
+    *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE, EVAL_CTE],
+)
+
+ORACLE["evaluator_top_missing"] = with_views(
+    """SELECT field, CAST(COUNT(*) AS BIGINT) AS count
+       FROM (SELECT unnest(missing_fields) AS field FROM evaluator WHERE NOT payload_valid)
+       GROUP BY field ORDER BY count DESC, field ASC LIMIT 8""",
+    *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE, EVAL_CTE],
+)

@@ -118,17 +118,20 @@ ENVELOPE_KEYS = ("payload", "application", "data", "body")
 def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kafka-shaped request messages ← events: ``key`` = event_id text, ``value`` = JSON.
 
-    The application object carries client id, amount, type, decision date and
-    the hour; ``event_id % 5`` picks the envelope (payload / application /
-    data / body / bare).
+    The application object carries client id, amount, type, decision date
+    (empty when ``event_id % 7 = 0``), the hour and the planned term as text
+    (non-numeric when ``user_id % 13 = 0``); ``event_id % 5`` picks the
+    envelope (payload / application / data / body / bare).
     """
     ev = _read(spark, sf_dir, "events")
+    uid = F.col("user_id")
     app = F.struct(
-        F.col("user_id").alias("id_cliente"),
+        uid.alias("id_cliente"),
         F.col("event_type").alias("tipo_contrato"),
         F.col("value").alias("valor_credito"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd").alias("data_decisao"),
+        F.when(F.col("event_id") % 7 == 0, F.lit("")).otherwise(F.date_format(F.col("ts"), "yyyy-MM-dd")).alias("data_decisao"),
         F.hour(F.col("ts")).alias("hora_solicitacao"),
+        F.when(uid % 13 == 0, F.lit("doze")).otherwise((uid % 13 + 1).cast("string")).alias("qtd_parcelas_planejadas"),
     )
     body = F.to_json(app)
     m = F.col("event_id") % 5
@@ -203,8 +206,10 @@ ORACLE_VIEWS: dict[str, str] = {
                event_id AS "offset", ts AS "timestamp"
         FROM (SELECT *, CAST(to_json({'id_cliente': user_id, 'tipo_contrato': event_type,
                                       'valor_credito': value,
-                                      'data_decisao': strftime(ts, '%Y-%m-%d'),
-                                      'hora_solicitacao': hour(ts)}) AS VARCHAR) AS body
+                                      'data_decisao': CASE WHEN event_id % 7 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END,
+                                      'hora_solicitacao': hour(ts),
+                                      'qtd_parcelas_planejadas': CASE WHEN user_id % 13 = 0 THEN 'doze'
+                                                                 ELSE CAST(user_id % 13 + 1 AS VARCHAR) END}) AS VARCHAR) AS body
               FROM events)""",
 }
 
