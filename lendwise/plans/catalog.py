@@ -615,3 +615,48 @@ def evaluator_accounting(spark, sf):
 def evaluator_top_missing(spark, sf):
     """most frequent missing required fields among dropped rows."""
     return R.top_missing_fields(_evaluator(spark, sf), 8)
+
+
+# --- sources, sinks and streaming (S1–S3, S6–S8, S10, S11, S14, S15, ST1–ST5) ------------
+
+from lendwise.session import scratch_path  # noqa: E402
+from lendwise.sources import readers as RD  # noqa: E402
+from lendwise.sources import sinks as SK  # noqa: E402
+from lendwise.streaming import scoring as ST  # noqa: E402
+
+REPORT_SCHEMA = ("tipo_contrato string, n_contracts bigint, target_fpd_rate double, target_fpd_sum bigint, "
+                 "target_ever30mob03_rate double, target_ever30mob03_sum bigint, "
+                 "target_over60mob06_rate double, target_over60mob06_sum bigint")
+
+
+@query("csv_report_roundtrip")
+def csv_report_roundtrip(spark, sf):
+    """S8 → S3 → S2: the flagship report written as CSV and read back by suffix dispatch."""
+    uri = scratch_path(spark, "report") + "/bad_rate.csv"
+    SK.write_csv_report(bad_rate_by_contract_type(spark, sf), uri, partitions=1)
+    return RD.read_table(spark, uri, schema=REPORT_SCHEMA)
+
+
+@query("prefix_merged")
+def prefix_merged(spark, sf):
+    """S6 + S7 + S1 + D1: lending tables written under a prefix, discovered by name, merged."""
+    root = scratch_path(spark, "prefix")
+    B.applications(spark, sf).write.parquet(f"{root}/base_submissao_new.parquet")
+    B.profile(spark, sf).write.parquet(f"{root}/base_cadastral_new.parquet")
+    tables = RD.load_prefix_tables(spark, root, "_new.parquet")
+    base = RD.require_non_empty(RD.require_columns(tables["base_submissao"], ["id_cliente"], "base_submissao"))
+    return _round(A.merge_lending_tables(base, tables.get("base_cadastral"), tables.get("historico_emprestimos"),
+                                         tables.get("historico_parcelas")))
+
+
+@query("stream_prediction_events")
+def stream_prediction_events(spark, sf):
+    """ST1–ST4 + S10/S11/S14/S15: request files streamed in micro-batches into the dual log, read back."""
+    root = scratch_path(spark, "stream")
+    B.request_messages(spark, sf).repartition(4, "partition").write.parquet(f"{root}/in")
+    msgs = ST.file_messages(spark, f"{root}/in", max_files_per_trigger=1)
+    scored = ST.scored_stream(msgs, processing_date=F.lit(PROCESSING_DATE).cast("date"), event_ts=F.col("timestamp"))
+    q = ST.start_scoring(scored, f"{root}/ckpt", f"{root}/events", f"{root}/requests", f"{root}/dead",
+                         trigger={"availableNow": True}, partitions=2)
+    q.awaitTermination()
+    return RD.read_parquet(spark, f"{root}/events").drop("batch_id")

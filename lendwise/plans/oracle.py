@@ -915,3 +915,10 @@ ORACLE["evaluator_top_missing"] = with_views(
        GROUP BY field ORDER BY count DESC, field ASC LIMIT 8""",
     *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE, EVAL_CTE],
 )
+
+
+# --- sources, sinks and streaming --------------------------------------------------------------
+
+ORACLE["csv_report_roundtrip"] = ORACLE["bad_rate_by_contract_type"]
+ORACLE["prefix_merged"] = ORACLE["applications_merged"]
+ORACLE["stream_prediction_events"] = ORACLE["prediction_events_log"]

@@ -49,3 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint location (never machine-local on a cluster)."""
+    import uuid
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/lendwise-scratch/{name}-{uuid.uuid4().hex}"
