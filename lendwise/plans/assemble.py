@@ -67,6 +67,7 @@ def credit_features(
     categories: Sequence[str] = ENCODED_CATEGORIES,
     keep_profile_features: bool = False,
     feature_names: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """M3: the feature block (P9–P13, P16, P17, M7), then the drop list and numeric-only.
 
@@ -98,10 +99,11 @@ def credit_features(
     if present:
         d = dictionary if dictionary is not None else ordinal_dictionary(df, present)
         out = ordinal_encode(out, present, d)
-    drop = [c for c in CLEANING_COLUMNS if not (keep_profile_features and c.startswith("feat_"))]
+    drop = [c for c in CLEANING_COLUMNS
+             if c not in keep and not (keep_profile_features and c.startswith("feat_"))]
     out = select_numeric(drop_columns(out, drop))
     if feature_names is not None:
-        out = align_columns(out, feature_names, fill=0)
+        out = align_columns(out, list(keep) + list(feature_names), fill=0)
     return out
 
 

@@ -660,3 +660,82 @@ def stream_prediction_events(spark, sf):
                          trigger={"availableNow": True}, partitions=2)
     q.awaitTermination()
     return RD.read_parquet(spark, f"{root}/events").drop("batch_id")
+
+
+# --- model jobs (M8–M13, M18; rows-only checks) ---------------------------------------------
+
+from lendwise.plans import train as T  # noqa: E402
+
+TARGET = L.OVER60
+LEAKS = ["id_contrato", "event_id", L.FPD, L.EVER30, "is_train"]
+# Tree budget of the registered model queries (the library default is 300).
+CHECK_TREES = 40
+
+
+def _model_frame(spark, sf):
+    ts = A.training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf),
+                        B.applications(spark, sf), application_order=APP_ORDER)
+    feats = A.credit_features(ts, keep=["id_contrato"])
+    return E.hash_split(feats, "id_contrato", 0.8, 42)
+
+
+def _fit(spark, sf):
+    df = _model_frame(spark, sf)
+    pipe, names = T.prepared_pipeline(df, TARGET, exclude=LEAKS, trees=CHECK_TREES, max_depth=4)
+    train = df.where("is_train")
+    return df, pipe.fit(train), names
+
+
+@query("train_split")
+def train_split(spark, sf):
+    """M8: stateless md5 split, seed 42, 80 % train — counts per side and class."""
+    df = _model_frame(spark, sf)
+    return df.groupBy("is_train", TARGET).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gbt_validation_scores")
+def gbt_validation_scores(spark, sf):
+    """Boosted trees fit on the train side, scores on the validation side."""
+    df, model, _ = _fit(spark, sf)
+    return T.score(model, df.where(~F.col("is_train"))).select("id_contrato", TARGET, "probability_1")
+
+
+@query("gbt_validation_metrics")
+def gbt_validation_metrics(spark, sf):
+    """M14 + M15 on the validation scores: AUC and per-class report at 0.5."""
+    df, model, _ = _fit(spark, sf)
+    s = T.score(model, df.where(~F.col("is_train"))).withColumn("pred", (F.col("probability_1") > 0.5).cast("int"))
+    auc = M.auc_table(s, TARGET, "probability_1").select("auc").scalar()
+    return M.per_class_prf(s, TARGET, "pred").select("*", auc.alias("valid_auc"))
+
+
+@query("gbt_feature_importance")
+def gbt_feature_importance(spark, sf):
+    """Top-15 importances."""
+    df, model, _ = _fit(spark, sf)
+    return T.feature_importance(model, df, 15)
+
+
+@query("hpo_search")
+def hpo_search(spark, sf):
+    """5 seeded random trials × 3-fold CV (trees 10–40 here to bound the check)."""
+    df = _model_frame(spark, sf).where("is_train")
+    cv = T.random_search(df, TARGET, exclude=LEAKS, trials=5, folds=3, trees=(10, 40), depth=(3, 6))
+    rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
+    return spark.createDataFrame(rows, "trial int, mean_auc double")
+
+
+@query("local_model_scores")
+def local_model_scores(spark, sf):
+    """A fitted logistic link shipped to executors and applied on Arrow batches."""
+    from pyspark.ml.classification import LogisticRegression
+
+    df = _model_frame(spark, sf)
+    feats = ["valor_credito", "valor_parcela", "hora_solicitacao", "feat_ltv"]
+    from pyspark.ml.feature import VectorAssembler
+
+    asm = VectorAssembler(inputCols=feats, outputCol="f", handleInvalid="skip")
+    lr = LogisticRegression(featuresCol="f", labelCol=TARGET, maxIter=20).fit(asm.transform(df.where("is_train")))
+    coef, icpt = lr.coefficients.toArray().tolist(), float(lr.intercept)
+    scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: T.LinearScorer(coef, icpt))
+    return scored.select("id_contrato", TARGET, "prediction_proba")
