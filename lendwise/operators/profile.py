@@ -132,18 +132,20 @@ def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def fixed_width_histogram(df: DataFrame, col: str, width: float, origin: float | None = None,
-                          stop: float | None = None, zero_fill: bool = True, places: int = 6) -> DataFrame:
+                          stop: float | None = None, zero_fill: bool = True, places: int = 6,
+                          stop_pad: float = 1.0) -> DataFrame:
     """Bins of ``width`` from ``origin`` (default: the column minimum).
 
-    Edges are ``origin, origin+w, …`` up to the first edge reaching ``stop``
-    (default ``max + width``, as ``arange(lo, max+w, w)``); bins are
+    Edges are ``origin, origin+w, …`` below ``stop`` (default
+    ``max + stop_pad·width``, as ``arange(lo, max + w, w)``; ages use
+    ``stop_pad=2``, as ``arange(min, max + 2)``); bins are
     left-closed, the last one also right-closed, values outside are not
     counted. ``pct`` is over counted values. With ``zero_fill`` empty bins
     appear with count 0 (the edge list is generated from the bin count).
     """
     x = F.col(col).cast("double")
     lo = F.lit(float(origin)) if origin is not None else F.min(x)
-    hi = F.lit(float(stop)) if stop is not None else F.max(x) + F.lit(float(width))
+    hi = F.lit(float(stop)) if stop is not None else F.max(x) + F.lit(float(width) * stop_pad)
     bounds_df = df.agg(lo.alias("lo"), hi.alias("hi")).select(
         "lo", (F.ceil((F.col("hi") - F.col("lo")) / F.lit(float(width))) - 1).cast("bigint").alias("nb")
     )

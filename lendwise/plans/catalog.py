@@ -262,7 +262,7 @@ def instalment_value_histogram(spark, sf):
 def age_histogram(spark, sf):
     """A11 with width 1 on calendar ages."""
     ages = B.profile(spark, sf).select(calendar_age("data_nascimento", F.lit(REF_DAY).cast("date")).alias("idade"))
-    return PR.fixed_width_histogram(ages, "idade", 1.0)
+    return PR.fixed_width_histogram(ages, "idade", 1.0, stop_pad=2.0)
 
 
 @query("lateness_equal_bins")

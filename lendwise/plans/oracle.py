@@ -297,13 +297,14 @@ ORACLE["describe_amounts"] = with_views(_describe_sql("contracts", ["valor_credi
                                         "contracts")
 
 
-def _histogram_sql(src: str, col: str, width: float, origin: str | None = None) -> str:
+def _histogram_sql(src: str, col: str, width: float, origin: str | None = None, pad: float = 1.0) -> str:
     lo = origin if origin is not None else f"MIN({col})"
     w = f"{float(width)}::DOUBLE"
     return f"""
     WITH src AS ({src}),
     b AS (SELECT lo, CAST(ceil((hi - lo) / {w}) - 1 AS BIGINT) AS nb
-          FROM (SELECT CAST({lo} AS DOUBLE) AS lo, CAST(MAX({col}) AS DOUBLE) + {w} AS hi FROM src)),
+          FROM (SELECT CAST({lo} AS DOUBLE) AS lo, CAST(MAX({col}) AS DOUBLE) + {float(width) * pad}::DOUBLE AS hi
+                FROM src)),
     binned AS (SELECT least(CAST(floor((CAST({col} AS DOUBLE) - b.lo) / {w}) AS BIGINT), b.nb - 1) AS bin
                FROM src, b WHERE {col} IS NOT NULL AND CAST({col} AS DOUBLE) >= b.lo
                  AND CAST({col} AS DOUBLE) <= b.lo + b.nb * {w}),
@@ -332,7 +333,8 @@ AGE_SQL = """
                       OR (month(DATE '2024-01-01') = month(data_nascimento) AND day(DATE '2024-01-01') < day(data_nascimento))
                     THEN 1 ELSE 0 END AS INTEGER) AS idade FROM profile"""
 
-ORACLE["age_histogram"] = with_views("SELECT * FROM (" + _histogram_sql(AGE_SQL, "idade", 1.0) + ")", "profile")
+ORACLE["age_histogram"] = with_views("SELECT * FROM (" + _histogram_sql(AGE_SQL, "idade", 1.0, pad=2.0) + ")",
+                                     "profile")
 
 LATENESS_CTE = ("lateness", f"SELECT *, CAST({LATE_FILLED} AS INTEGER) AS atraso FROM instalments")
 CLIPPED_CTE = ("clipped", "SELECT * FROM lateness WHERE atraso <= (SELECT QUANTILE_CONT(atraso, 0.99) FROM lateness)")
