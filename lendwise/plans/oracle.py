@@ -924,3 +924,14 @@ ORACLE["evaluator_top_missing"] = with_views(
 ORACLE["csv_report_roundtrip"] = ORACLE["bad_rate_by_contract_type"]
 ORACLE["prefix_merged"] = ORACLE["applications_merged"]
 ORACLE["stream_prediction_events"] = ORACLE["prediction_events_log"]
+
+
+# --- model preparation -------------------------------------------------------------------------
+
+# M8: md5(id ':' seed) first 8 hex digits < 0.8 · 2^32 (= 0xcccccccc) ⟺ the hex text sorts below 'cccccccc'.
+ORACLE["train_split"] = with_views(
+    """SELECT substr(md5(CAST(c.id_contrato AS VARCHAR) || ':42'), 1, 8) < 'cccccccc' AS is_train,
+              l.target_over60mob06, CAST(COUNT(*) AS BIGINT) AS n
+       FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato GROUP BY 1, 2""",
+    "instalments", "contracts", ctes=[LABELS_CTE],
+)
