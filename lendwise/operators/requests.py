@@ -64,9 +64,24 @@ def decode_envelope(messages: DataFrame, value: str = "value") -> DataFrame:
     return with_kind.select(*messages.columns, F.to_json(chosen).alias("payload"), "envelope", "decode_error")
 
 
-def _field_text(m: Column, name: str, default: object) -> Column:
-    """The payload's value when the key is present (explicit NULL stays NULL), else the default."""
-    return F.when(F.map_contains_key(m, F.lit(name)), m[name]).otherwise(F.lit(default_text(default)).cast("string"))
+def _defaults_json_body() -> str:
+    """The default payload as the inside of a JSON object (fields without a default are left out)."""
+    import json
+
+    return ",".join(f"{json.dumps(f.name)}:{json.dumps(f.default)}" for f in REQUEST_FIELDS if f.default is not None)
+
+
+def _with_defaults(payload: Column) -> Column:
+    """P21 in one JSON text: defaults first, then the payload's own members.
+
+    A JSON parser keeps the last of duplicated keys, so a key present in the
+    payload — even with an explicit ``null`` — overrides its default, and an
+    absent key keeps it.
+    """
+    body = F.substring(payload, 2, F.length(payload) - 2)
+    head = F.lit("{" + _defaults_json_body())
+    return F.when(payload.isNull() | (F.trim(body) == ""), F.concat(head, F.lit("}"))) \
+        .otherwise(F.concat(head, F.lit(","), body, F.lit("}")))
 
 
 def normalise(decoded: DataFrame, processing_date: Column | None = None, payload: str = "payload") -> DataFrame:
@@ -77,23 +92,22 @@ def normalise(decoded: DataFrame, processing_date: Column | None = None, payload
     (default: today, UTC). Required text must be non-NULL, numbers must
     parse, integers may not have a fractional part.
 
-    Three projections: the JSON map once per row, then one text column per
-    field, then the typed columns and reasons. Keeping them apart stops the
-    optimizer from inlining one JSON parse into every field expression.
+    The defaults are merged into the JSON text and parsed once into a struct
+    of text fields (one parser pass, compact generated code), then typed.
     """
     today = processing_date if processing_date is not None else F.current_date()
     keep = [c for c in decoded.columns if c not in {f.name for f in REQUEST_FIELDS}]
-    with_map = decoded.select(*keep, F.from_json(F.col(payload), "map<string,string>").alias("__m"))
-    m = F.col("__m")
-    texts = []
-    for f in REQUEST_FIELDS:
-        t = _field_text(m, f.name, f.default)
-        if f.name == "id_cliente":
-            t = F.coalesce(t, F.lit("0"))
-        if f.name == "data_decisao":
-            t = F.when(t.isNull() | (t == ""), F.date_format(today, "yyyy-MM-dd")).otherwise(t)
-        texts.append(t.alias(f"__t_{f.name}"))
-    with_text = with_map.select(*keep, *texts)
+    text_schema = ", ".join(f"`{f.name}` string" for f in REQUEST_FIELDS)
+    parsed = F.from_json(_with_defaults(F.col(payload)), text_schema)
+    with_text = decoded.select(*keep, parsed.alias("__p")).select(
+        *keep, *[F.col(f"__p.{f.name}").alias(f"__t_{f.name}") for f in REQUEST_FIELDS]
+    )
+    fixes = {
+        "__t_id_cliente": F.coalesce(F.col("__t_id_cliente"), F.lit("0")),
+        "__t_data_decisao": F.when(F.col("__t_data_decisao").isNull() | (F.col("__t_data_decisao") == ""),
+                                   F.date_format(today, "yyyy-MM-dd")).otherwise(F.col("__t_data_decisao")),
+    }
+    with_text = with_text.withColumns(fixes)
     cols, reasons = [], []
     for f in REQUEST_FIELDS:
         t = F.col(f"__t_{f.name}")

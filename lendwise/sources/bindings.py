@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    from lendwise.sources.readers import read_parquet
+
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=spread)
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     (non-numeric when ``user_id % 13 = 0``); ``event_id % 5`` picks the
     envelope (payload / application / data / body / bare).
     """
-    ev = _read(spark, sf_dir, "events")
+    ev = _read(spark, sf_dir, "events", spread=True)  # JSON decoding downstream is CPU-bound
     uid = F.col("user_id")
     app = F.struct(
         uid.alias("id_cliente"),
