@@ -66,7 +66,9 @@ def univariate_drift(reference: DataFrame, analysis: DataFrame, features: Sequen
     p = ref_b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c")).join(ref_n, "feature") \
         .select("feature", "bin", (F.col("c") / F.col("rn")).alias("p"))
 
-    chunked = chunk_numbers(analysis, order, chunk_size)
+    # only the ordering and feature columns are numbered (and checkpointed)
+    cols = list(dict.fromkeys([*order, *features]))
+    chunked = chunk_numbers(analysis.select(*cols), order, chunk_size)
     ana = _long_features(chunked, features, extra=["chunk"]).join(rng, "feature") \
         .select("feature", "chunk", _bin_expr(bins).alias("bin"))
     q_counts = ana.groupBy("feature", "chunk", "bin").agg(F.count(F.lit(1)).alias("c"))

@@ -199,8 +199,9 @@ def dead_letters(scored: DataFrame) -> DataFrame:
 
 def payload_columns(decoded: DataFrame, names: Sequence[str], payload: str = "payload") -> DataFrame:
     """The payload's raw text per field (absent key → NULL), as an analysis table would hold it."""
-    with_map = decoded.select("key", F.from_json(F.col(payload), "map<string,string>").alias("__m"))
-    return with_map.select("key", *[F.col("__m")[n].alias(n) for n in names])
+    schema = ", ".join(f"`{n}` string" for n in names)
+    parsed = decoded.select("key", F.from_json(F.col(payload), schema).alias("__p"))
+    return parsed.select("key", *[F.col(f"__p.{n}").alias(n) for n in names])
 
 
 def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:

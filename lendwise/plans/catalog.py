@@ -739,3 +739,24 @@ def local_model_scores(spark, sf):
     coef, icpt = lr.coefficients.toArray().tolist(), float(lr.intercept)
     scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: T.LinearScorer(coef, icpt))
     return scored.select("id_contrato", TARGET, "prediction_proba")
+
+
+# --- the monitoring job and remaining preparation queries (D8 + P33, M5) ---------------------
+
+from lendwise.plans import monitor as MON  # noqa: E402
+
+
+@query("monitoring_job")
+def monitoring_job(spark, sf):
+    """D8 end to end: P33 feature choice, D3/D4 drift, D5 decay, D6 denied rate, drift report."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    decision, _ = MON.monitoring_decision(ref, ana, B.predictions(spark, sf), EVENT_ORDER,
+                                          ignore=["event_id"], timestamp="event_ts",
+                                          report_path=scratch_path(spark, "drift") + "/drift.csv")
+    return _round(decision, 10)
+
+
+@query("mode_fill")
+def mode_fill(spark, sf):
+    """M5: NULL car flags replaced by the most frequent flag (ties → smallest)."""
+    return E.fill_with_mode(B.profile(spark, sf).select("id_cliente", "possui_carro"), ["possui_carro"])

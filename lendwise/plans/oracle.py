@@ -935,3 +935,24 @@ ORACLE["train_split"] = with_views(
        FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato GROUP BY 1, 2""",
     "instalments", "contracts", ctes=[LABELS_CTE],
 )
+
+ORACLE["monitoring_job"] = with_views(
+    """SELECT (COALESCE(s.drift_detected, false) OR COALESCE(d.decay_detected, false)
+               OR COALESCE(n.negado_below_threshold_retrain, false)) AS should_retrain,
+              COALESCE(s.n_alerts, 0) AS n_alerts, ROUND(COALESCE(s.alert_rate, 0.0), 10) AS alert_rate,
+              COALESCE(s.alert_rate, 0.0) >= 0.7 AS drift_detected,
+              d.decay_checked, ROUND(d.reference_auc, 10) AS reference_auc, ROUND(d.analysis_auc, 10) AS analysis_auc,
+              ROUND(d.auc_drop, 10) AS auc_drop, d.decay_detected,
+              n.negado_count, n.negado_denominator, ROUND(n.negado_fraction, 10) AS negado_fraction,
+              n.negado_below_threshold_retrain
+       FROM drift_sum s, decay d, denied n""",
+    "monitoring", "predictions", ctes=DRIFT_CTES + DECAY_CTES + [DENIED_CTE],
+)
+
+ORACLE["mode_fill"] = with_views(
+    """SELECT id_cliente, COALESCE(possui_carro, (
+              SELECT possui_carro FROM profile WHERE possui_carro IS NOT NULL
+              GROUP BY possui_carro ORDER BY COUNT(*) DESC, possui_carro ASC LIMIT 1)) AS possui_carro
+       FROM profile""",
+    "profile",
+)
