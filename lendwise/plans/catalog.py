@@ -680,7 +680,7 @@ def _model_frame(spark, sf):
 
 
 def _fit(spark, sf):
-    df = _model_frame(spark, sf)
+    df = T.training_frame(_model_frame(spark, sf))
     pipe, names = T.prepared_pipeline(df, TARGET, exclude=LEAKS, trees=CHECK_TREES, max_depth=4)
     train = df.where("is_train")
     return df, pipe.fit(train), names
@@ -719,7 +719,7 @@ def gbt_feature_importance(spark, sf):
 @query("hpo_search")
 def hpo_search(spark, sf):
     """5 seeded random trials × 3-fold CV (trees 10–40 here to bound the check)."""
-    df = _model_frame(spark, sf).where("is_train")
+    df = T.training_frame(_model_frame(spark, sf).where("is_train"))
     cv = T.random_search(df, TARGET, exclude=LEAKS, trials=5, folds=3, trees=(10, 40), depth=(3, 6))
     rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
     return spark.createDataFrame(rows, "trial int, mean_auc double")
@@ -730,14 +730,14 @@ def local_model_scores(spark, sf):
     """A fitted logistic link shipped to executors and applied on Arrow batches."""
     from pyspark.ml.classification import LogisticRegression
 
-    df = _model_frame(spark, sf)
+    df = T.training_frame(_model_frame(spark, sf))
     feats = ["valor_credito", "valor_parcela", "hora_solicitacao", "feat_ltv"]
     from pyspark.ml.feature import VectorAssembler
 
     asm = VectorAssembler(inputCols=feats, outputCol="f", handleInvalid="skip")
     lr = LogisticRegression(featuresCol="f", labelCol=TARGET, maxIter=20).fit(asm.transform(df.where("is_train")))
-    coef, icpt = lr.coefficients.toArray().tolist(), float(lr.intercept)
-    scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: T.LinearScorer(coef, icpt))
+    scorer = T.LinearScorer(lr.coefficients.toArray().tolist(), float(lr.intercept))
+    scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: scorer)
     return scored.select("id_contrato", TARGET, "prediction_proba")
 
 
