@@ -83,6 +83,9 @@ REQUEST_FIELDS: tuple[Field, ...] = (
     Field("target_ever30mob03", "int", False, 0),
 )
 
+# Envelope keys tried in order when unwrapping a message.
+ENVELOPE_KEYS = ("payload", "application", "data", "body")
+
 # Log-table types: float → DOUBLE, int → INT, ids → BIGINT, else STRING.
 LOG_TYPES = {"id": "bigint", "str": "string", "float": "double", "int": "int"}
 

@@ -20,13 +20,13 @@ from lendwise.functions.payload import (
     API_INT_FIELDS,
     API_OPTIONAL_FIELDS,
     API_REQUIRED_FIELDS,
+    ENVELOPE_KEYS,
     LOG_TYPES,
     METADATA_COLUMNS,
     REQUEST_FIELDS,
     REQUIRED_FALLBACKS,
     default_text,
 )
-from lendwise.sources.bindings import ENVELOPE_KEYS
 
 def _is_object(v: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))

@@ -12,8 +12,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendwise.functions import features as X
+from lendwise.functions.dates import age_floor_days, calendar_age, year_difference
+from lendwise.functions.decisions import decision_band, rounded_probability
+from lendwise.functions.ids import id_error, id_value
+from lendwise.operators import checks as C
+from lendwise.operators import dedup as W
+from lendwise.operators import drift as D
+from lendwise.operators import encoders as E
+from lendwise.operators import joins as J
 from lendwise.operators import labels as L
+from lendwise.operators import metrics as M
+from lendwise.operators import profile as PR
+from lendwise.operators import requests as R
+from lendwise.operators.ordering import chunk_numbers as _chunks
+from lendwise.plans import assemble as A
+from lendwise.plans import monitor as MON
+from lendwise.plans import train as T
+from lendwise.session import scratch_path
 from lendwise.sources import bindings as B
+from lendwise.sources import readers as RD
+from lendwise.sources import sinks as SK
+from lendwise.streaming import scoring as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,11 +110,6 @@ def instalment_lateness(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- joins, dedup and assembly (JN1–JN7, W1, W2, W4, M1–M3, D1, P9–P18) --------------
 
-from lendwise.functions import features as X  # noqa: E402
-from lendwise.functions.dates import age_floor_days, calendar_age, year_difference  # noqa: E402
-from lendwise.operators import dedup as W  # noqa: E402
-from lendwise.operators import joins as J  # noqa: E402
-from lendwise.plans import assemble as A  # noqa: E402
 
 APP_ORDER = ("data_solicitacao", "event_id")
 
@@ -195,9 +210,6 @@ def contract_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- profiling (A7–A22, F2–F6, P6) ------------------------------------------------------
 
-from lendwise.operators import encoders as E  # noqa: E402
-from lendwise.operators import profile as PR  # noqa: E402
-
 
 def _lateness(spark: SparkSession, sf: str) -> DataFrame:
     return L.with_lateness(B.instalments(spark, sf))
@@ -377,10 +389,6 @@ def income_clip_p99(spark, sf):
 
 # --- metrics, ordering and monitoring (M14–M17, M19, M20, W3, D2–D8, J2) ---------------
 
-from lendwise.operators import checks as C  # noqa: E402
-from lendwise.operators import drift as D  # noqa: E402
-from lendwise.operators import metrics as M  # noqa: E402
-from lendwise.operators.ordering import chunk_numbers as _chunks  # noqa: E402
 
 EVENT_ORDER = ["event_ts", "event_id"]
 DRIFT_FEATURES = ["value", "event_type", "hora"]
@@ -526,9 +534,6 @@ def decision_report_json(spark, sf):
 
 # --- requests, decisions and the prediction log (J1–J3, P8, P19–P25, P30, D9, F7, F9, JN8) --
 
-from lendwise.functions.decisions import decision_band, rounded_probability  # noqa: E402
-from lendwise.functions.ids import id_error, id_value  # noqa: E402
-from lendwise.operators import requests as R  # noqa: E402
 
 PROCESSING_DATE = "2024-02-01"
 
@@ -619,10 +624,6 @@ def evaluator_top_missing(spark, sf):
 
 # --- sources, sinks and streaming (S1–S3, S6–S8, S10, S11, S14, S15, ST1–ST5) ------------
 
-from lendwise.session import scratch_path  # noqa: E402
-from lendwise.sources import readers as RD  # noqa: E402
-from lendwise.sources import sinks as SK  # noqa: E402
-from lendwise.streaming import scoring as ST  # noqa: E402
 
 REPORT_SCHEMA = ("tipo_contrato string, n_contracts bigint, target_fpd_rate double, target_fpd_sum bigint, "
                  "target_ever30mob03_rate double, target_ever30mob03_sum bigint, "
@@ -664,7 +665,6 @@ def stream_prediction_events(spark, sf):
 
 # --- model jobs (M8–M13, M18; rows-only checks) ---------------------------------------------
 
-from lendwise.plans import train as T  # noqa: E402
 
 TARGET = L.OVER60
 LEAKS = ["id_contrato", "event_id", L.FPD, L.EVER30, "is_train"]
@@ -743,8 +743,6 @@ def local_model_scores(spark, sf):
 
 # --- the monitoring job and remaining preparation queries (D8 + P33, M5) ---------------------
 
-from lendwise.plans import monitor as MON  # noqa: E402
-
 
 @query("monitoring_job")
 def monitoring_job(spark, sf):

@@ -114,7 +114,6 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Request envelope chosen by event_id % 5 (fixed binding, see FIXTURES.md §1).
-ENVELOPE_KEYS = ("payload", "application", "data", "body")
 
 
 def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
