@@ -758,3 +758,13 @@ def monitoring_job(spark, sf):
 def mode_fill(spark, sf):
     """M5: NULL car flags replaced by the most frequent flag (ties → smallest)."""
     return E.fill_with_mode(B.profile(spark, sf).select("id_cliente", "possui_carro"), ["possui_carro"])
+
+
+@query("training_run")
+def training_run(spark, sf):
+    """Training job end to end (M1, M3, M8–M11, M14, M15, M19, M20) against derived champion runs."""
+    runs = _runs(spark, sf).withColumn("model", F.lit("credit_default"))
+    _, report = T.training_run(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf),
+                               B.applications(spark, sf), runs=runs, application_order=APP_ORDER,
+                               trees=CHECK_TREES, max_depth=4)
+    return report
