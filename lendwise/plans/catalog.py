@@ -763,7 +763,11 @@ def mode_fill(spark, sf):
 @query("training_run")
 def training_run(spark, sf):
     """Training job end to end (M1, M3, M8–M11, M14, M15, M19, M20) against derived champion runs."""
-    runs = _runs(spark, sf).withColumn("model", F.lit("credit_default"))
+    s = B.scored_labels(spark, sf).withColumn("version", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
+    runs = M.auc_table(s, "quality", "score", by=["version"]).select(
+        F.lit("credit_default").alias("model"), "version",
+        F.when(F.col("version") % 7 == 0, F.lit("Production")).otherwise(F.lit("None")).alias("stage"),
+        F.col("auc").alias("valid_auc"))
     _, report = T.training_run(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf),
                                B.applications(spark, sf), runs=runs, application_order=APP_ORDER,
                                trees=CHECK_TREES, max_depth=4)
