@@ -33,8 +33,14 @@ def auc_decay(reference: DataFrame, analysis: DataFrame, label: str, score: str,
             F.lit(False).alias("decay_checked"), F.lit(None).cast("double").alias("reference_auc"),
             F.lit(None).cast("double").alias("analysis_auc"), F.lit(None).cast("double").alias("auc_drop"),
             F.lit(False).alias("decay_detected"))
-    r = auc_table(reference, label, score).select("auc").scalar()
-    a = auc_table(analysis, label, score).select("auc").scalar()
+    # one grouped AUC over both sides: a single score aggregation and prefix-sum pass
+    both = reference.select(F.lit(0).alias("__side"), label, score).unionByName(
+        analysis.select(F.lit(1).alias("__side"), label, score))
+    aucs = auc_table(both, label, score, by=["__side"]).agg(
+        F.max(F.when(F.col("__side") == 0, F.col("auc"))).alias("r"),
+        F.max(F.when(F.col("__side") == 1, F.col("auc"))).alias("a"))
+    pair = aucs.select(F.struct("r", "a").alias("s")).scalar()
+    r, a = pair["r"], pair["a"]
     drop = r - a
     return reference.sparkSession.range(1).select(
         F.lit(True).alias("decay_checked"), r.alias("reference_auc"), a.alias("analysis_auc"), drop.alias("auc_drop"),
