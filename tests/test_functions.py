@@ -67,3 +67,14 @@ def test_id_values(spark):
     rows = df.select(id_value("raw", 0).alias("v"), id_error("raw").alias("e")).collect()
     assert [r["v"] for r in rows] == [0, 0, 27, 27, -3, None, None, None, None, 0]
     assert [r["e"] is None for r in rows] == [True, True, True, True, True, False, False, False, False, True]
+
+
+def test_strict_date_raises_under_ansi(spark):
+    import pytest
+
+    from lendwise.functions.dates import strict_date
+
+    ok = spark.createDataFrame([("2024-01-31",)], "s string").select(strict_date("s")).first()[0]
+    assert ok == dt.date(2024, 1, 31)
+    with pytest.raises(Exception):
+        spark.createDataFrame([("31/01/2024",)], "s string").select(strict_date("s")).collect()
