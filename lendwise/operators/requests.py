@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwise.functions.decisions import decision_band, rounded_probability
-from lendwise.functions.ids import id_error, id_value
+from lendwise.functions.ids import id_error, id_value, lenient_double
 from lendwise.functions.payload import (
     API_FLOAT_FIELDS,
     API_INT_FIELDS,
@@ -119,7 +119,7 @@ def normalise(decoded: DataFrame, processing_date: Column | None = None, payload
             if f.required:
                 reasons.append(F.when(t.isNull(), F.lit(f"{f.name}: required")))
         elif f.kind == "float":
-            d = t.try_cast("double")
+            d = lenient_double(t)
             cols.append(d.alias(f.name))
             bad = (t.isNull() & F.lit(f.required)) | (t.isNotNull() & d.isNull())
             reasons.append(F.when(bad, F.lit(f"{f.name}: number expected")))
