@@ -14,7 +14,7 @@ LATE = "datediff('day', data_prevista_pagamento, data_real_pagamento)"
 LATE_FILLED = f"COALESCE({LATE}, 999)"
 
 LABELS_CTE = (
-    "labels",
+    "contract_flags",
     f"""
     SELECT id_contrato,
            CAST(COALESCE(MAX(CASE WHEN numero_parcela = 1
@@ -38,14 +38,14 @@ ORACLE["bad_rate_by_contract_type"] = with_views(
            CAST(SUM(l.target_ever30mob03) AS BIGINT) AS target_ever30mob03_sum,
            ROUND(AVG(CAST(l.target_over60mob06 AS DOUBLE)), 10) AS target_over60mob06_rate,
            CAST(SUM(l.target_over60mob06) AS BIGINT) AS target_over60mob06_sum
-    FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato
+    FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato
     GROUP BY c.tipo_contrato""",
     "instalments",
     "contracts",
     ctes=[LABELS_CTE],
 )
 
-ORACLE["contract_labels"] = with_views("SELECT * FROM labels", "instalments", ctes=[LABELS_CTE])
+ORACLE["contract_labels"] = with_views("SELECT * FROM contract_flags", "instalments", ctes=[LABELS_CTE])
 
 ORACLE["ever30_labels"] = with_views(
     f"""
@@ -109,7 +109,7 @@ ORACLE["training_set"] = with_views(
     SELECT {CONTRACT_COLS}, l.target_fpd, l.target_ever30mob03, l.target_over60mob06, {PROFILE_COLS},
            a.data_solicitacao, a.tipo_contrato AS tipo_contrato_submissao,
            ROUND(a.valor_credito, 10) AS valor_credito_submissao, a.event_id
-    FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato
+    FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato
     LEFT JOIN profile p ON c.id_cliente = p.id_cliente
     LEFT JOIN latest_app a ON c.id_cliente = a.id_cliente""",
     "instalments", "contracts", "profile", "applications",
@@ -932,7 +932,7 @@ ORACLE["stream_prediction_events"] = ORACLE["prediction_events_log"]
 ORACLE["train_split"] = with_views(
     """SELECT substr(md5(CAST(c.id_contrato AS VARCHAR) || ':42'), 1, 8) < 'cccccccc' AS is_train,
               l.target_over60mob06, CAST(COUNT(*) AS BIGINT) AS n
-       FROM contracts c JOIN labels l ON c.id_contrato = l.id_contrato GROUP BY 1, 2""",
+       FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato GROUP BY 1, 2""",
     "instalments", "contracts", ctes=[LABELS_CTE],
 )
 
