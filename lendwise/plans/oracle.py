@@ -6,6 +6,15 @@ and rounds doubles exactly as the Spark side does.
 
 from __future__ import annotations
 
+from lendwise.functions.payload import (
+    API_FLOAT_FIELDS,
+    API_INT_FIELDS,
+    API_OPTIONAL_FIELDS,
+    API_REQUIRED_FIELDS,
+    REQUEST_FIELDS,
+    REQUIRED_FALLBACKS,
+    default_text,
+)
 from lendwise.sources.bindings import with_views
 
 ORACLE: dict[str, str] = {}
@@ -727,15 +736,6 @@ ORACLE["decision_report_json"] = with_views(
 
 # --- requests and the prediction log --------------------------------------------------------
 
-from lendwise.functions.payload import (  # noqa: E402
-    API_FLOAT_FIELDS,
-    API_INT_FIELDS,
-    API_OPTIONAL_FIELDS,
-    API_REQUIRED_FIELDS,
-    REQUEST_FIELDS,
-    REQUIRED_FALLBACKS,
-    default_text,
-)
 
 
 def _lit(v) -> str:
