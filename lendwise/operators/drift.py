@@ -59,8 +59,11 @@ def univariate_drift(reference: DataFrame, analysis: DataFrame, features: Sequen
     ``order`` (ending in a unique column) defines the analysis chunks (W3).
     NULLs form their own bin.
     """
+    from lendwise.operators.joins import broadcast_if_small
+
     ref = _long_features(reference, features)
-    rng = ref.groupBy("feature").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    # one row per feature: bounded by the (schema-sized) feature list
+    rng = F.broadcast(ref.groupBy("feature").agg(F.min("num").alias("lo"), F.max("num").alias("hi")))
     ref_b = ref.join(rng, "feature").select("feature", _bin_expr(bins).alias("bin"))
     ref_n = ref_b.groupBy("feature").agg(F.count(F.lit(1)).alias("rn"))
     p = ref_b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c")).join(ref_n, "feature") \
@@ -73,7 +76,7 @@ def univariate_drift(reference: DataFrame, analysis: DataFrame, features: Sequen
         .select("feature", "chunk", _bin_expr(bins).alias("bin"))
     q_counts = ana.groupBy("feature", "chunk", "bin").agg(F.count(F.lit(1)).alias("c"))
     q = q_counts.withColumn("q", F.col("c") / F.sum("c").over(Window.partitionBy("feature", "chunk")))
-    j = q.join(p, ["feature", "bin"], "left").select("feature", "chunk", "q", F.coalesce("p", F.lit(0.0)).alias("p"))
+    j = q.join(broadcast_if_small(p), ["feature", "bin"], "left").select("feature", "chunk", "q", F.coalesce("p", F.lit(0.0)).alias("p"))
     m = (F.col("p") + F.col("q")) / 2.0
     term = F.when(F.col("p") > 0, 0.5 * F.col("p") * F.log2(F.col("p") / m)).otherwise(F.lit(0.0)) + \
         F.when(F.col("q") > 0, 0.5 * F.col("q") * F.log2(F.col("q") / m)).otherwise(F.lit(0.0))

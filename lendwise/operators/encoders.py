@@ -90,7 +90,14 @@ def ordinal_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSIN
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, prefix: str = "feat_",
                    suffix: str = "_enc", unknown: float = -1.0, missing: str = MISSING) -> DataFrame:
-    """M7 apply: add ``{prefix}{c}{suffix}`` codes; unseen categories → ``unknown``."""
+    """M7 apply: add ``{prefix}{c}{suffix}`` codes; unseen categories → ``unknown``.
+
+    The dictionary (one row per category) is broadcast after a size check,
+    so all columns are encoded in one stage without shuffling ``df``.
+    """
+    from lendwise.operators.joins import broadcast_if_small
+
+    dictionary = broadcast_if_small(dictionary)
     out = df
     for c in cols:
         d = dictionary.where(F.col("column") == c).select(

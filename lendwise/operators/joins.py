@@ -19,6 +19,26 @@ from lendwise.functions.columns import numeric_columns, rename_collisions
 from lendwise.operators.dedup import keep_last
 
 
+# Largest side (rows) broadcast after an explicit count; beyond it a shuffle join.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Materialise a fitted lookup table once, count it, broadcast it only if small.
+
+    For tables whose size is the cardinality of a key rather than the data
+    size (category dictionaries, per-group statistics). The table is
+    checkpointed first (it is a fitted artefact; computing it once serves
+    both the count and the join). Beyond ``max_rows`` Catalyst/AQE choose a
+    shuffle join instead.
+    """
+    from lendwise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(small.sparkSession)
+    fitted = small.checkpoint(eager=True)
+    return F.broadcast(fitted) if fitted.count() <= max_rows else fitted
+
+
 def inner_join(left: DataFrame, right: DataFrame, key: str = "id_contrato") -> DataFrame:
     """JN1 / JN7 / JN8: inner equi-join on ``key``."""
     return left.join(right, key, "inner")

@@ -219,7 +219,9 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
     q = base.groupBy(*keys).agg(F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
     q = q.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     if keys:
-        j = base.join(q, keys, "inner")
+        from lendwise.operators.joins import broadcast_if_small
+
+        j = base.join(broadcast_if_small(q), keys, "inner")
     else:
         qs = scalar_row(q)
         j = base.select("__x", qs["q1"].alias("q1"), qs["median"].alias("median"), qs["q3"].alias("q3"))
