@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendwise.operators.encoders import quantile_row, scalar_row
@@ -142,29 +142,32 @@ def fixed_width_histogram(df: DataFrame, col: str, width: float, origin: float |
     left-closed, the last one also right-closed, values outside are not
     counted. ``pct`` is over counted values. With ``zero_fill`` empty bins
     appear with count 0 (the edge list is generated from the bin count).
+
+    The bounds are one scalar subquery carried as a column; the total is a
+    window over the binned result, whose size is the bin count.
     """
     x = F.col(col).cast("double")
+    w = F.lit(float(width))
     lo = F.lit(float(origin)) if origin is not None else F.min(x)
     hi = F.lit(float(stop)) if stop is not None else F.max(x) + F.lit(float(width) * stop_pad)
     bounds_df = df.agg(lo.alias("lo"), hi.alias("hi")).select(
-        "lo", (F.ceil((F.col("hi") - F.col("lo")) / F.lit(float(width))) - 1).cast("bigint").alias("nb")
+        "lo", (F.ceil((F.col("hi") - F.col("lo")) / w) - 1).cast("bigint").alias("nb")
     )
-    bounds = scalar_row(bounds_df)
-    w = F.lit(float(width))
-    raw = F.floor((F.col("__x") - bounds["lo"]) / w).cast("bigint")
-    last_edge = bounds["lo"] + bounds["nb"] * w
-    binned = df.select(x.alias("__x")).where(
-        F.col("__x").isNotNull() & (F.col("__x") >= bounds["lo"]) & (F.col("__x") <= last_edge)
-    ).select(F.least(raw, bounds["nb"] - 1).alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    tagged = df.select(x.alias("__x"), scalar_row(bounds_df).alias("__b")).where(F.col("__x").isNotNull())
+    blo, bnb = F.col("__b.lo"), F.col("__b.nb")
+    binned = tagged.where((F.col("__x") >= blo) & (F.col("__x") <= blo + bnb * w)).select(
+        F.least(F.floor((F.col("__x") - blo) / w).cast("bigint"), bnb - 1).alias("bin"), blo.alias("lo")
+    )
+    counts = binned.groupBy("bin", "lo").agg(F.count(F.lit(1)).alias("count"))
     if zero_fill:
-        grid = bounds_df.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
-        counts = grid.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-    total = counts.agg(F.sum("count").alias("t")).select("t").scalar()
+        grid = bounds_df.select("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
+        counts = grid.join(counts.drop("lo"), "bin", "left").select(
+            "bin", "lo", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
     return counts.select(
         "bin",
-        F.round(bounds["lo"] + F.col("bin") * w, places).alias("bin_start"),
-        F.round(bounds["lo"] + (F.col("bin") + 1) * w, places).alias("bin_end"),
+        F.round(F.col("lo") + F.col("bin") * w, places).alias("bin_start"),
+        F.round(F.col("lo") + (F.col("bin") + 1) * w, places).alias("bin_end"),
         "count",
         F.round(F.when(total > 0, F.col("count") * 100.0 / total), places).alias("pct"),
     )
@@ -174,13 +177,13 @@ def equal_bins_histogram(df: DataFrame, col: str, bins: int = 40, places: int =
     """``bins`` equal-width bins between the column's min and max (max falls in the last)."""
     x = F.col(col).cast("double")
     mm = scalar_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
-    span = mm["hi"] - mm["lo"]
-    raw = F.when(span > 0, F.floor((F.col("__x") - mm["lo"]) / span * F.lit(bins))).otherwise(F.lit(0))
-    binned = df.select(x.alias("__x")).where(F.col("__x").isNotNull()).select(
-        F.least(raw.cast("bigint"), F.lit(bins - 1).cast("bigint")).alias("bin")
-    )
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count")).select(
-        "bin", F.round(mm["lo"] + F.col("bin") * span / F.lit(bins), places).alias("bin_start"), "count"
+    tagged = df.select(x.alias("__x"), mm.alias("__m")).where(F.col("__x").isNotNull())
+    lo, span = F.col("__m.lo"), F.col("__m.hi") - F.col("__m.lo")
+    raw = F.when(span > 0, F.floor((F.col("__x") - lo) / span * F.lit(bins))).otherwise(F.lit(0))
+    binned = tagged.select(F.least(raw.cast("bigint"), F.lit(bins - 1).cast("bigint")).alias("bin"),
+                           lo.alias("lo"), span.alias("span"))
+    return binned.groupBy("bin", "lo", "span").agg(F.count(F.lit(1)).alias("count")).select(
+        "bin", F.round(F.col("lo") + F.col("bin") * F.col("span") / F.lit(bins), places).alias("bin_start"), "count"
     )
 
 
@@ -223,8 +226,8 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
 
         j = base.join(broadcast_if_small(q), keys, "inner")
     else:
-        qs = scalar_row(q)
-        j = base.select("__x", qs["q1"].alias("q1"), qs["median"].alias("median"), qs["q3"].alias("q3"))
+        j = base.select("__x", scalar_row(q).alias("__q")).select(
+            "__x", F.col("__q.q1").alias("q1"), F.col("__q.median").alias("median"), F.col("__q.q3").alias("q3"))
     lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col("__x") >= lo) & (F.col("__x") <= hi)
@@ -289,11 +292,11 @@ def kde_grid(df: DataFrame, col: str, grid_size: int = 200, cut: float = 0.0, pl
         .select("n", "h", (F.col("lo") - F.lit(cut) * F.col("h")).alias("g0"),
                 ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h")) / F.lit(grid_size - 1)).alias("step"))
     )
-    j = vals.select("v", "w", F.posexplode(F.array_repeat(F.lit(0), grid_size)).alias("i", "__z"))
-    g = st["g0"] + F.col("i") * st["step"]
-    u = (g - F.col("v")) / st["h"]
+    j = vals.select("v", "w", st.alias("__st"), F.posexplode(F.array_repeat(F.lit(0), grid_size)).alias("i", "__z"))
+    g = F.col("__st.g0") + F.col("i") * F.col("__st.step")
+    u = (g - F.col("v")) / F.col("__st.h")
     contrib = F.col("w") * F.exp(F.lit(-0.5) * u * u)
-    dens = j.groupBy("i").agg(F.sum(contrib).alias("s"))
-    norm = st["n"] * st["h"] * F.lit((2 * 3.141592653589793) ** 0.5)
+    dens = j.groupBy("i", "__st").agg(F.sum(contrib).alias("s"))
+    norm = F.col("__st.n") * F.col("__st.h") * F.lit((2 * 3.141592653589793) ** 0.5)
     return dens.select(F.col("i").alias("grid_index"), F.round(g, places).alias("x"),
                        F.round(F.col("s") / norm, 12).alias("density"))
