@@ -19,16 +19,21 @@ def quantile_row(df: DataFrame, cols: Sequence[str], q: float = 0.5, exact: bool
                  accuracy: int = 100000, suffix: str = "") -> DataFrame:
     """One-row table of the ``q`` quantile of each column (nulls ignored).
 
-    ``exact`` uses linear-interpolated ``percentile`` (pandas / DuckDB
-    ``quantile_cont``); it keeps a value→count map per group, so on columns
-    with billions of distinct values pass ``exact=False`` for
-    ``percentile_approx`` with bounded memory.
+    ``exact`` gives the linear-interpolated quantile (pandas / DuckDB
+    ``quantile_cont``) from distributed ranks
+    (:func:`lendwise.operators.ordering.rank_quantiles`), so no task ever
+    holds all distinct values of a column; ``exact=False`` uses
+    ``percentile_approx`` (one pass, bounded memory, approximate).
     """
-    def agg(c):
-        x = F.col(c).cast("double")
-        return (F.percentile(x, F.lit(q)) if exact else F.percentile_approx(x, q, accuracy)).alias(f"{c}{suffix}")
-
-    return df.agg(*[agg(c) for c in cols])
+    if not exact:
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), q, accuracy).alias(f"{c}{suffix}") for c in cols])
+    from lendwise.operators.ordering import rank_quantiles
+
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
+    per_col = rank_quantiles(long, "value", [q], ["q"], by=["column"])
+    return per_col.groupBy().pivot("column", list(cols)).agg(F.first("q")).select(
+        *[F.col(c).alias(f"{c}{suffix}") for c in cols])
 
 
 def scalar_row(one_row: DataFrame) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendwise.operators.encoders import quantile_row, scalar_row
+from lendwise.operators.ordering import rank_quantiles
 
 
 def _long(df: DataFrame, cols: Sequence[str], value_type: str = "string") -> DataFrame:
@@ -91,28 +92,29 @@ def top_categories(df: DataFrame, col: str, k: int = 20, places: int = 6) -> Dat
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, places: int = 6) -> DataFrame:
     """A10: count, mean, std (n−1), min, 25/50/75 % (linear interpolation), max per column.
 
-    One aggregate for all columns; quartiles are exact ``percentile`` by
-    default (``exact=False`` switches to ``percentile_approx``).
+    The columns are unpivoted to (column, value) once; moments come from one
+    grouped aggregate, quartiles from distributed ranks
+    (:func:`~lendwise.operators.ordering.rank_quantiles`) or, with
+    ``exact=False``, ``percentile_approx``. One row per column.
     """
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else \
-            F.percentile_approx(x, [0.25, 0.5, 0.75], 100000)
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(x).alias("count"),
-                F.round(F.avg(x), places).alias("mean"),
-                F.round(F.stddev_samp(x), places).alias("std"),
-                F.min(x).alias("min"),
-                F.round(qs[0], places).alias("p25"),
-                F.round(qs[1], places).alias("p50"),
-                F.round(qs[2], places).alias("p75"),
-                F.max(x).alias("max"),
-            ).alias(c)
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in cols])))
+    long = _long(df, cols, "double")
+    v = F.col("value")
+    moments = long.groupBy("column").agg(
+        F.count(v).alias("count"),
+        F.round(F.avg(v), places).alias("mean"),
+        F.round(F.stddev_samp(v), places).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+    )
+    if exact:
+        quart = rank_quantiles(long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column"])
+    else:
+        qa = F.percentile_approx(v, [0.25, 0.5, 0.75], 100000)
+        quart = long.groupBy("column").agg(qa.alias("__q")).select(
+            "column", F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"))
+    quart = quart.select("column", *[F.round(c, places).alias(c) for c in ("p25", "p50", "p75")])
+    out = moments.join(quart, "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def clip_at_quantile(df: DataFrame, col: str, q: float = 0.99, exact: bool = True) -> DataFrame:
@@ -205,9 +207,12 @@ def monthly_counts(df: DataFrame, col: str, label: str = "end") -> DataFrame:
 
 def category_count_median(df: DataFrame, cat: str, value: str, id_col: str, exact: bool = True) -> DataFrame:
     """Per category, count of ids and median value (sort by count desc at read time)."""
-    x = F.col(value).cast("double")
-    med = F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, 0.5, 100000)
-    return df.groupBy(cat).agg(F.count(F.col(id_col)).alias("quantidade"), med.alias("valor_mediano"))
+    counts = df.groupBy(cat).agg(F.count(F.col(id_col)).alias("quantidade"))
+    if exact:
+        med = rank_quantiles(df, value, [0.5], ["valor_mediano"], by=[cat])
+    else:
+        med = df.groupBy(cat).agg(F.percentile_approx(F.col(value).cast("double"), 0.5, 100000).alias("valor_mediano"))
+    return counts.join(med, cat, "left")
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float = 1.5, places: int = 6) -> DataFrame:
@@ -219,8 +224,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
     x = F.col(value).cast("double")
     keys = list(by)
     base = df.select(*keys, x.alias("__x")).where(F.col("__x").isNotNull())
-    q = base.groupBy(*keys).agg(F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    q = q.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    q = rank_quantiles(base, "__x", [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys)
     if keys:
         from lendwise.operators.joins import broadcast_if_small
 
@@ -244,14 +248,14 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
 def lateness_summary(df: DataFrame, col: str = "atraso", places: int = 6) -> DataFrame:
     """Total, on time (≤ 0), late (> 0), late %, mean and median of days late."""
     x = F.col(col)
+    med = rank_quantiles(df, col, [0.5], ["m"]).select("m").scalar()
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(~(x > 0) | x.isNull(), F.lit(1))).alias("em_dia"),
         F.count(F.when(x > 0, F.lit(1))).alias("atrasados"),
         F.round(F.count(F.when(x > 0, F.lit(1))) * 100.0 / F.count(F.lit(1)), places).alias("taxa_atraso"),
         F.round(F.avg(x.cast("double")), places).alias("media"),
-        F.round(F.percentile(x.cast("double"), F.lit(0.5)), places).alias("mediana"),
-    )
+    ).select("*", F.round(med, places).alias("mediana"))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

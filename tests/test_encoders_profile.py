@@ -52,3 +52,20 @@ def test_clip_describe_box(spark):
     assert (d["count"], d["p25"], d["p50"], d["max"]) == (100, 25.75, 50.5, 100.0)
     b = PR.box_stats(df.union(df.sparkSession.createDataFrame([(1000.0,)], "x double")), "x").first()
     assert b["n_outliers"] == 1 and b["whisker_high"] == 100.0
+
+
+def test_rank_quantiles_match_numpy_on_continuous_values(spark):
+    import random
+
+    import numpy as np
+
+    from lendwise.operators.ordering import rank_quantiles
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["x", "y"]), rng.uniform(-5, 5)) for _ in range(1501)] + [("y", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in
+           rank_quantiles(df, "v", [0.1, 0.5, 0.99], ["a", "b", "c"], by=["g"], partitions=3).collect()}
+    for g in ("x", "y"):
+        vals = np.array([v for k, v in rows if k == g and v is not None])
+        assert np.allclose(got[g], np.quantile(vals, [0.1, 0.5, 0.99]), rtol=0, atol=1e-12)
