@@ -33,9 +33,14 @@ def auc_table(df: DataFrame, label: str, score: str, by: Sequence[str] = (), par
     w = cum.groupBy(*keys).agg(
         F.min(F.col("__n_below")).alias("__base"),
     )
-    j = cum.join(w, keys, "inner") if keys else cum.withColumn(
-        "__base", cum.agg(F.min("__n_below").alias("b")).select("b").scalar()
-    )
+    # without groups the running count starts at 0: no base to subtract. With
+    # groups the one-row-per-group offsets are broadcast after a size check.
+    if keys:
+        from lendwise.operators.joins import broadcast_if_small
+
+        j = cum.join(broadcast_if_small(w), keys, "inner")
+    else:
+        j = cum.withColumn("__base", F.lit(0).cast("bigint"))
     below = F.col("__n_below") - F.col("__base")
     agg = j.groupBy(*keys).agg(
         F.sum(F.col("__p") * (below + F.col("__n") / F.lit(2.0))).alias("__num"),

@@ -45,6 +45,11 @@ def monitoring_decision(
              if c not in set(ignore) | set(order)]
     drift = D.univariate_drift(reference, analysis, feats, order, chunk_size)
     if report_path:
+        # the report and the alert summary read one materialised drift table
+        from lendwise.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(drift.sparkSession)
+        drift = drift.checkpoint(eager=True)
         from lendwise.sources.sinks import write_csv_report
 
         write_csv_report(drift, report_path, partitions=1)
