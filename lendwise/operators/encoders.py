@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "Missing"
@@ -81,16 +81,21 @@ def fill_with_mode(df: DataFrame, cols: Sequence[str], fitted: DataFrame | None
 def ordinal_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> DataFrame:
     """M7 fit: (column, category, code) with codes 0..k-1 in sorted category order.
 
-    NULL becomes the category ``missing``. The rank runs on distinct pairs
-    (category cardinality), never on rows.
+    NULL becomes the category ``missing``. Codes are ranks of the distinct
+    (column, category) pairs from the distributed prefix sum, so even a
+    column with very many categories is never ranked inside one task.
     """
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("category")) for c in cols])
-        ).alias("kv")
-    ).select("kv.column", "kv.category").distinct()
-    w = Window.partitionBy("column").orderBy("category")
-    return long.withColumn("code", (F.row_number().over(w) - 1).cast("double"))
+    from lendwise.operators.ordering import prefix_sums
+
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("category"))
+        for c in cols]))).distinct().withColumn("__one", F.lit(1).cast("bigint"))
+    ranked = prefix_sums(pairs, ["column", "category"], ["__one"], inclusive=False, suffix="_before")
+    first = ranked.groupBy("column").agg(F.min("__one_before").alias("__base"))
+    from lendwise.operators.joins import broadcast_if_small
+
+    out = ranked.join(broadcast_if_small(first), "column")
+    return out.select("column", "category", (F.col("__one_before") - F.col("__base")).cast("double").alias("code"))
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, prefix: str = "feat_",
