@@ -50,3 +50,23 @@ def test_chunk_numbers_match_sequential_order(spark):
     got = {r["id"]: r["chunk"] for r in chunk_numbers(df, ["ts", "id"], 500, partitions=6).collect()}
     expected = {i: n // 500 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert got == expected
+
+
+def test_hot_key_third_of_rows(spark):
+    """One timestamp / one group holding a third of the rows: results stay exact."""
+    import numpy as np
+
+    from lendwise.operators.ordering import prefix_sums, rank_quantiles
+
+    rng = random.Random(9)
+    rows = [(i, 7 if i % 3 == 0 else rng.randint(0, 1000), "hot" if i % 3 == 0 else rng.choice("abc"),
+             rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, ts int, g string, v double")
+    got = {r["id"]: r["chunk"] for r in chunk_numbers(df, ["ts", "id"], 500, partitions=8).collect()}
+    expected = {i: n // 500 for n, (i, *_) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert got == expected
+    ones = df.withColumn("one", F.lit(1).cast("bigint"))
+    pids = prefix_sums(ones, ["ts", "id"], ["one"], partitions=8)
+    assert pids.count() == 3000
+    med = {r["g"]: r["m"] for r in rank_quantiles(df, "v", [0.5], ["m"], by=["g"], partitions=8).collect()}
+    assert abs(med["hot"] - float(np.median([r[3] for r in rows if r[2] == "hot"]))) < 1e-12
