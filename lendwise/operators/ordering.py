@@ -18,17 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    spark: SparkSession = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], partitions: int | None = None,
                 inclusive: bool = True, suffix: str = "_cum") -> DataFrame:
     """Add ``{v}{suffix}``: running sum of each value column in the global ``order``.
@@ -39,11 +32,13 @@ def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], part
     """
     from lendwise.session import ensure_checkpoint_dir
 
-    n = _parts(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order]).withColumn(
-        "__pid", F.spark_partition_id()
-    ).checkpoint(eager=True)
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    # Without an explicit count the range exchange is sized by
+    # spark.sql.shuffle.partitions and AQE may merge adjacent small ranges;
+    # the ids are fixed by the checkpoint either way.
+    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = spread.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
     totals = ranged.groupBy("__pid").agg(*[F.sum(F.col(v)).alias(f"__t_{v}") for v in values])
     w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
