@@ -140,3 +140,23 @@ def hash_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42, o
     """
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
     return df.withColumn(out, h < F.lit(int(fraction * (1 << 32))))
+
+
+def stratified_split(df: DataFrame, key: str, label: str, fraction: float = 0.8, seed: int = 42,
+                     out: str = "is_train") -> DataFrame:
+    """M8 option: exact per-class counts — ``round(n_class · fraction)`` rows of each class train.
+
+    Rows are ordered inside their class by the seeded md5 of the key (a
+    reproducible shuffle) and numbered with the distributed prefix sum, so
+    no class is ever numbered inside one task.
+    """
+    from lendwise.operators.joins import broadcast_if_small
+    from lendwise.operators.ordering import prefix_sums
+
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    tagged = df.withColumn("__h", h).withColumn("__one", F.lit(1).cast("bigint"))
+    ranked = prefix_sums(tagged, [label, "__h", key], ["__one"], inclusive=True, suffix="_rank")
+    sizes = ranked.groupBy(label).agg(F.min(F.col("__one_rank") - 1).alias("__base"), F.count(F.lit(1)).alias("__n"))
+    j = ranked.join(broadcast_if_small(sizes), label)
+    cut = F.round(F.col("__n") * F.lit(float(fraction)))
+    return j.select(*df.columns, ((F.col("__one_rank") - F.col("__base")) <= cut).alias(out))

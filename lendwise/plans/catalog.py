@@ -772,3 +772,11 @@ def training_run(spark, sf):
                                B.applications(spark, sf), runs=runs, application_order=APP_ORDER,
                                trees=CHECK_TREES, max_depth=4)
     return report
+
+
+@query("train_split_stratified")
+def train_split_stratified(spark, sf):
+    """M8 option: exact per-class 80 % train counts (seeded md5 order, distributed numbering)."""
+    ts = A.training_set(B.contracts(spark, sf), B.instalments(spark, sf), application_order=APP_ORDER)
+    split = E.stratified_split(ts.select("id_contrato", TARGET), "id_contrato", TARGET, 0.8, 42)
+    return split.groupBy("is_train", TARGET).agg(F.count(F.lit(1)).alias("n"))

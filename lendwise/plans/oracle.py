@@ -956,3 +956,14 @@ ORACLE["mode_fill"] = with_views(
        FROM profile""",
     "profile",
 )
+
+ORACLE["train_split_stratified"] = with_views(
+    """SELECT is_train, target_over60mob06, CAST(COUNT(*) AS BIGINT) AS n FROM (
+         SELECT l.target_over60mob06,
+                row_number() OVER (PARTITION BY l.target_over60mob06
+                                   ORDER BY md5(CAST(c.id_contrato AS VARCHAR) || ':42'), c.id_contrato)
+                  <= round(COUNT(*) OVER (PARTITION BY l.target_over60mob06) * 0.8) AS is_train
+         FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato)
+       GROUP BY 1, 2""",
+    "instalments", "contracts", ctes=[LABELS_CTE],
+)

@@ -69,3 +69,15 @@ def test_rank_quantiles_match_numpy_on_continuous_values(spark):
     for g in ("x", "y"):
         vals = np.array([v for k, v in rows if k == g and v is not None])
         assert np.allclose(got[g], np.quantile(vals, [0.1, 0.5, 0.99]), rtol=0, atol=1e-12)
+
+
+def test_stratified_split_exact_counts(spark):
+    rows = [(i, 1 if i % 7 == 0 else 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    out = E.stratified_split(df, "k", "y", 0.8, 42)
+    got = {(r["y"], r["is_train"]): r["n"] for r in out.groupBy("y", "is_train").count().withColumnRenamed("count", "n").collect()}
+    n1 = sum(1 for _, y in rows if y == 1)
+    n0 = 1000 - n1
+    assert got[(1, True)] == round(n1 * 0.8) and got[(0, True)] == round(n0 * 0.8)
+    again = {r["k"] for r in E.stratified_split(df.repartition(5), "k", "y", 0.8, 42).where("is_train").collect()}
+    assert again == {r["k"] for r in out.where("is_train").collect()}
