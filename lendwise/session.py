@@ -36,20 +36,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    fresh scratch folder is created and registered.
+    The context's checkpoint folder is used when set (the cluster sets it
+    from ``spark.checkpoint.dir``); else the ``spark.checkpoint.dir`` setting
+    is applied. Only when neither exists (tests on one machine) a fresh
+    scratch folder is created and registered.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        sc.setCheckpointDir(conf)
+        return sc.getCheckpointDir() or conf
     path = tempfile.mkdtemp(prefix="lendwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
