@@ -129,9 +129,9 @@ def notebook_training_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("credit_features")
 def credit_features(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 on the M2 frame (encoder fit on the same frame)."""
+    """M3 on the M2 frame (encoder fit on the same frame, materialised once so fit and apply share it)."""
     df = A.notebook_training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf))
-    return _round(A.credit_features(df))
+    return _round(A.credit_features(T.training_frame(df)))
 
 
 @query("latest_application")
