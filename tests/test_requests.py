@@ -91,3 +91,11 @@ def test_evaluator_payload_policy(spark):
     assert (acc["scored"], acc["dropped"]) == (1, 2)
     top = R.top_missing_fields(R.evaluator_payload(df), 8).collect()
     assert len(top) == 8 and top[0]["count"] == 2
+
+
+def test_evaluator_defaults_before_fallbacks(spark):
+    df = spark.createDataFrame([("5", "", None)], "id_cliente string, canal_venda string, valor_bem string")
+    p = R.evaluator_payload(df, defaults={"canal_venda": "loja", "valor_bem": 10.5}).first()["api_payload"]
+    assert p["canal_venda"] == "loja" and p["valor_bem"] == 10.5   # env-style defaults win over fallbacks
+    q = R.evaluator_payload(df).first()["api_payload"]
+    assert q["canal_venda"] == "online" and q["valor_bem"] == 0.0   # fixed fallbacks otherwise
