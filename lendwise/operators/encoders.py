@@ -94,7 +94,7 @@ def ordinal_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSIN
     first = ranked.groupBy("column").agg(F.min("__one_before").alias("__base"))
     from lendwise.operators.joins import broadcast_if_small
 
-    out = ranked.join(broadcast_if_small(first), "column")
+    out = ranked.join(broadcast_if_small(first, materialize=False), "column")
     return out.select("column", "category", (F.col("__one_before") - F.col("__base")).cast("double").alias("code"))
 
 
@@ -157,6 +157,6 @@ def stratified_split(df: DataFrame, key: str, label: str, fraction: float = 0.8,
     tagged = df.withColumn("__h", h).withColumn("__one", F.lit(1).cast("bigint"))
     ranked = prefix_sums(tagged, [label, "__h", key], ["__one"], inclusive=True, suffix="_rank")
     sizes = ranked.groupBy(label).agg(F.min(F.col("__one_rank") - 1).alias("__base"), F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(broadcast_if_small(sizes), label)
+    j = ranked.join(broadcast_if_small(sizes, materialize=False), label)
     cut = F.round(F.col("__n") * F.lit(float(fraction)))
     return j.select(*df.columns, ((F.col("__one_rank") - F.col("__base")) <= cut).alias(out))

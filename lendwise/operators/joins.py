@@ -23,19 +23,22 @@ from lendwise.operators.dedup import keep_last
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
     """Materialise a fitted lookup table once, count it, broadcast it only if small.
 
     For tables whose size is the cardinality of a key rather than the data
     size (category dictionaries, per-group statistics). The table is
     checkpointed first (it is a fitted artefact; computing it once serves
     both the count and the join). Beyond ``max_rows`` Catalyst/AQE choose a
-    shuffle join instead.
+    shuffle join instead. ``materialize=False`` skips the checkpoint when
+    the table is a cheap aggregate of data that is already checkpointed.
     """
     from lendwise.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(small.sparkSession)
-    fitted = small.checkpoint(eager=True)
+    fitted = small
+    if materialize:
+        ensure_checkpoint_dir(small.sparkSession)
+        fitted = small.checkpoint(eager=True)
     return F.broadcast(fitted) if fitted.count() <= max_rows else fitted
 
 

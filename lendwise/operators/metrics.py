@@ -38,7 +38,7 @@ def auc_table(df: DataFrame, label: str, score: str, by: Sequence[str] = (), par
     if keys:
         from lendwise.operators.joins import broadcast_if_small
 
-        j = cum.join(broadcast_if_small(w), keys, "inner")
+        j = cum.join(broadcast_if_small(w, materialize=False), keys, "inner")
     else:
         j = cum.withColumn("__base", F.lit(0).cast("bigint"))
     below = F.col("__n_below") - F.col("__base")

@@ -94,7 +94,7 @@ def rank_quantiles(df: DataFrame, value: str, qs: Sequence[float], names: Sequen
 
         grp = cum.groupBy(*keys).agg(F.min(F.col("__c_cum") - F.col("__c")).alias("__base"),
                                      F.sum("__c").alias("__n"))
-        j = cum.join(broadcast_if_small(grp), keys, "inner")
+        j = cum.join(broadcast_if_small(grp, materialize=False), keys, "inner")
     else:
         n = cum.agg(F.sum("__c").alias("n")).select("n").scalar()
         j = cum.select("*", F.lit(0).cast("bigint").alias("__base"), n.alias("__n"))
