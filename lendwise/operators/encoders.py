@@ -119,13 +119,19 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, pr
     return out
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, max_columns: int = 1000) -> DataFrame:
     """M6: one 0/1 column per fitted category ``{c}_{category}``; unseen → all zeros.
 
     The category list is schema (it names output columns), so it is read
-    from the fitted dictionary, whose size is the category count.
+    from the fitted dictionary — at most ``max_columns`` names, checked by a
+    count first; wider encodings belong in the vector pipeline
+    (``StringIndexer`` + ``OneHotEncoder`` in :mod:`lendwise.plans.train`).
     """
-    cats = dictionary.where(F.col("column").isin(list(cols))).select("column", "category").orderBy("column", "category").collect()
+    chosen = dictionary.where(F.col("column").isin(list(cols))).select("column", "category")
+    n = chosen.count()
+    if n > max_columns:
+        raise ValueError(f"one_hot would add {n} columns (> {max_columns}); use the vector encoder instead")
+    cats = chosen.orderBy("column", "category").collect()
     exprs = [F.col(c) for c in df.columns]
     for r in cats:
         src = F.coalesce(F.col(r["column"]).cast("string"), F.lit(MISSING))
