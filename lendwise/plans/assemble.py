@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lendwise.functions import features as X
 from lendwise.functions.columns import CLEANING_COLUMNS, align_columns, drop_columns, select_numeric
