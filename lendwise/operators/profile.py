@@ -51,15 +51,21 @@ def shape(df: DataFrame, id_col: str, approx: bool = False) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, col: str, places: int = 6) -> DataFrame:
+def value_counts(df: DataFrame, col: str, places: int = 6, sort: str | None = None) -> DataFrame:
     """Count per non-null value and its percentage of the non-null total.
 
     The total is a one-row aggregate of the same grouped result (the
-    exchange is reused), read as a scalar subquery.
+    exchange is reused), read as a scalar subquery. F8: ``sort="count"``
+    orders by count descending (value as tie-break), ``sort="key"`` by value.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("t")).select("t").scalar()
-    return counts.select(col, "count", F.round(F.col("count") * 100.0 / total, places).alias("pct"))
+    out = counts.select(col, "count", F.round(F.col("count") * 100.0 / total, places).alias("pct"))
+    if sort == "count":
+        return out.orderBy(F.desc("count"), F.asc(col))
+    if sort == "key":
+        return out.orderBy(col)
+    return out
 
 
 def value_counts_many(df: DataFrame, cols: Sequence[str], places: int = 6) -> DataFrame:

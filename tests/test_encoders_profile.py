@@ -81,3 +81,11 @@ def test_stratified_split_exact_counts(spark):
     assert got[(1, True)] == round(n1 * 0.8) and got[(0, True)] == round(n0 * 0.8)
     again = {r["k"] for r in E.stratified_split(df.repartition(5), "k", "y", 0.8, 42).where("is_train").collect()}
     assert again == {r["k"] for r in out.where("is_train").collect()}
+
+
+def test_value_counts_sorted(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("c",), (None,)], "v string")
+    by_count = [(r["v"], r["count"]) for r in PR.value_counts(df, "v", sort="count").collect()]
+    assert by_count == [("b", 2), ("c", 2), ("a", 1)]
+    assert [r["v"] for r in PR.value_counts(df, "v", sort="key").collect()] == ["a", "b", "c"]
+    assert abs(sum(r["pct"] for r in PR.value_counts(df, "v").collect()) - 100.0) < 1e-9
