@@ -86,3 +86,20 @@ def test_dictionary_projection(spark):
     assert sorted(names) == ["id_cliente", "valor_credito"]
     df = spark.createDataFrame([(1, 2.0, "a", 3)], "id_cliente int, valor_credito double, other string, id_contrato int")
     assert RD.project_to_columns(df, names, required=["id_contrato"]).columns == ["id_cliente", "valor_credito", "id_contrato"]
+
+
+def test_prefix_source_and_input_contract(spark):
+    root = scratch_path(spark, "prefix-test")
+    spark.createDataFrame([(1, "a")], "id_cliente bigint, x string").write.parquet(f"{root}/base_submissao_v2.parquet")
+    spark.createDataFrame([(1, 2.0)], "id_cliente bigint, renda_anual double").write.parquet(
+        f"{root}/base_cadastral_v2.parquet")
+    spark.createDataFrame([(1,)], "id_cliente bigint").write.parquet(f"{root}/base_cadastral_other.parquet")
+    tables = RD.load_prefix_tables(spark, root, "_v2.parquet")
+    assert sorted(tables) == ["base_cadastral", "base_submissao"]
+    with pytest.raises(RuntimeError):
+        RD.load_prefix_tables(spark, root, "_v3.parquet")
+    with pytest.raises(ValueError):
+        RD.require_columns(tables["base_submissao"], ["id_cliente", "id_contrato"], "base_submissao")
+    with pytest.raises(ValueError):
+        RD.require_non_empty(tables["base_submissao"].where("id_cliente < 0"), "base_submissao")
+    assert RD.require_non_empty(tables["base_submissao"]) is tables["base_submissao"]
