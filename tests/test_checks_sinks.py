@@ -103,3 +103,16 @@ def test_prefix_source_and_input_contract(spark):
     with pytest.raises(ValueError):
         RD.require_non_empty(tables["base_submissao"].where("id_cliente < 0"), "base_submissao")
     assert RD.require_non_empty(tables["base_submissao"]) is tables["base_submissao"]
+
+
+def test_decision_report_and_label_union(spark):
+    import json
+
+    from lendwise.operators.dedup import ordered_union_labels
+
+    row = spark.createDataFrame([(True, False, 3, None)], "should_retrain boolean, drift_detected boolean, n int, x double")
+    rep = json.loads(C.decision_report(row).first()["report"])
+    assert rep == {"should_retrain": True, "drift_detected": False, "n": 3}  # NULL fields are left out
+    a = spark.createDataFrame([(1,), (0,), (1,)], "y int")
+    b = spark.createDataFrame([(2,), (0,)], "p int")
+    assert [r["label"] for r in ordered_union_labels(a, "y", b, "p").collect()] == [0, 1, 2]
