@@ -92,8 +92,8 @@ def _zip_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def decision_report(decision: DataFrame) -> DataFrame:
-    """The decision row as one JSON object."""
-    return decision.select(F.to_json(F.struct(*decision.columns)).alias("report"))
+    """The decision row as one JSON object; NULL values are kept as ``null``."""
+    return decision.select(F.to_json(F.struct(*decision.columns), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def champion(runs: DataFrame, model: str = "model", version: str = "version", stage: str = "stage",

@@ -112,7 +112,7 @@ def test_decision_report_and_label_union(spark):
 
     row = spark.createDataFrame([(True, False, 3, None)], "should_retrain boolean, drift_detected boolean, n int, x double")
     rep = json.loads(C.decision_report(row).first()["report"])
-    assert rep == {"should_retrain": True, "drift_detected": False, "n": 3}  # NULL fields are left out
+    assert rep == {"should_retrain": True, "drift_detected": False, "n": 3, "x": None}  # NULL kept as null
     a = spark.createDataFrame([(1,), (0,), (1,)], "y int")
     b = spark.createDataFrame([(2,), (0,)], "p int")
     assert [r["label"] for r in ordered_union_labels(a, "y", b, "p").collect()] == [0, 1, 2]
