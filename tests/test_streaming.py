@@ -35,6 +35,8 @@ def test_stream_dual_log_restart_and_dead_letters(spark):
     assert ev.count() == 9 and spark.read.parquet(f"{root}/rq").count() == 9
     assert spark.read.parquet(f"{root}/dead").count() == 3
     assert ev.select("batch_id").distinct().count() >= 2  # bounded micro-batches
+    rq = spark.read.parquet(f"{root}/rq")
+    assert ev.join(rq, "event_id").count() == 9  # JN8: every event has its request row
     # restart on the same checkpoint: nothing new, nothing duplicated
     q2 = ST.start_scoring(ST.scored_stream(ST.file_messages(spark, f"{root}/in"), event_ts=F.col("timestamp")),
                           f"{root}/ckpt", f"{root}/ev", f"{root}/rq", f"{root}/dead", trigger={"availableNow": True})
