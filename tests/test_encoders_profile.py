@@ -89,3 +89,24 @@ def test_value_counts_sorted(spark):
     assert by_count == [("b", 2), ("c", 2), ("a", 1)]
     assert [r["v"] for r in PR.value_counts(df, "v", sort="key").collect()] == ["a", "b", "c"]
     assert abs(sum(r["pct"] for r in PR.value_counts(df, "v").collect()) - 100.0) < 1e-9
+
+
+def test_kde_grid_matches_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    vals = [float(rng.randint(-10, 40)) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = {r["grid_index"]: (r["x"], r["density"]) for r in PR.kde_grid(df, "x", grid_size=50).collect()}
+    n = len(vals)
+    mean = sum(vals) / n
+    sd = math.sqrt(sum((v - mean) ** 2 for v in vals) / (n - 1))
+    h = sd * n ** -0.2
+    lo, hi = min(vals), max(vals)
+    for i in (0, 17, 49):
+        g = lo + i * (hi - lo) / 49
+        dens = sum(math.exp(-0.5 * ((g - v) / h) ** 2) for v in vals) / (n * h * math.sqrt(2 * math.pi))
+        assert abs(got[i][0] - g) < 1e-6 and abs(got[i][1] - dens) < 1e-10
+    approx = {r["grid_index"]: r["density"] for r in PR.kde_grid(df, "x", grid_size=50, prebin=4096).collect()}
+    assert all(abs(approx[i] - got[i][1]) < 1e-4 for i in got)
