@@ -110,3 +110,29 @@ def test_kde_grid_matches_brute_force(spark):
         assert abs(got[i][0] - g) < 1e-6 and abs(got[i][1] - dens) < 1e-10
     approx = {r["grid_index"]: r["density"] for r in PR.kde_grid(df, "x", grid_size=50, prebin=4096).collect()}
     assert all(abs(approx[i] - got[i][1]) < 1e-4 for i in got)
+
+
+def test_equal_bins_match_numpy_histogram(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    vals = [rng.uniform(0, 100) for _ in range(2000)] + [0.0, 100.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = {r["bin"]: r["count"] for r in PR.equal_bins_histogram(df, "x", 40).collect()}
+    counts, _ = np.histogram(np.array(vals), bins=40)
+    assert [got.get(i, 0) for i in range(40)] == counts.tolist()
+
+
+def test_predicate_fraction_and_missingness(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, None), (2, "a"), (None, "b"), (4, None)], "a int, b string")
+    assert PR.predicate_fraction(df, F.col("a") > 1).first()[0] == 0.5  # NULL comparison counts as false
+    pats = {r["pattern"]: r["count"] for r in PR.missingness_patterns(df).collect()}
+    assert pats == {"01": 2, "00": 1, "10": 1}
+    shp = PR.shape(df, "a").first()
+    assert (shp["n_rows"], shp["n_columns"], shp["n_distinct_ids"], shp["n_ids"]) == (4, 2, 3, 3)
+    nul = {r["column"]: r["null_pct"] for r in PR.null_pct(df).collect()}
+    assert nul == {"a": 25.0, "b": 50.0}
