@@ -136,3 +136,19 @@ def test_predicate_fraction_and_missingness(spark):
     assert (shp["n_rows"], shp["n_columns"], shp["n_distinct_ids"], shp["n_ids"]) == (4, 2, 3, 3)
     nul = {r["column"]: r["null_pct"] for r in PR.null_pct(df).collect()}
     assert nul == {"a": 25.0, "b": 50.0}
+
+
+def test_counts_top_k_summary_and_head(spark):
+    df = spark.createDataFrame([("a", 1, -2), ("b", 1, 0), ("b", 2, 5), ("c", None, None), (None, 3, 10)],
+                               "c string, n int, atraso int")
+    many = {(r["column"], r["value"]): (r["count"], r["pct"]) for r in PR.value_counts_many(df, ["c", "n"]).collect()}
+    assert many[("c", "b")] == (2, 50.0) and many[("n", "1")] == (2, 50.0) and ("c", None) not in many
+    top = [(r["c"], r["count"], r["pct"]) for r in PR.top_categories(df, "c", 2).collect()]
+    assert top == [("b", 2, 40.0), ("a", 1, 20.0)]  # ties broken by value; pct over all 5 rows
+    s = PR.lateness_summary(df, "atraso").first()
+    assert (s["total"], s["em_dia"], s["atrasados"], s["mediana"]) == (5, 3, 2, 2.5)
+    med = {r["c"]: (r["quantidade"], r["valor_mediano"]) for r in PR.category_count_median(df, "c", "n", "n").collect()}
+    assert med["b"] == (2, 1.5) and med["c"] == (0, None)
+    assert [r["n"] for r in PR.head(df, ["n"], 2).collect()] == [None, 1]
+    assert PR.drop_null_rows(df, ["c", "n"]).count() == 3
+    assert sorted(r["c"] for r in PR.distinct_values(df, "c").collect() if r["c"]) == ["a", "b", "c"]
