@@ -50,3 +50,11 @@ def test_reconstruction_drift_identical_data_in_band(spark):
     shifted = df.withColumn("x3", F.col("x3") * -1.0)
     out2 = D.reconstruction_drift(df, shifted, ["x1", "x2", "x3"], ["id"], chunk_size=500).collect()
     assert all(r["alert"] for r in out2)
+
+
+def test_class_weight_balances_classes(spark):
+    df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "y int")
+    w = {r["y"]: r["class_weight"] for r in T.with_class_weight(df, "y").distinct().collect()}
+    assert w == {1: 2.0, 0: 4 / 6}
+    total = T.with_class_weight(df, "y").groupBy("y").agg(F.sum("class_weight").alias("s")).collect()
+    assert all(abs(r["s"] - 2.0) < 1e-12 for r in total)  # each class carries n/2
