@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from lendwise.llm.common import table
 from lendwise.llm.language_id import identify_languages
+from lendwise.llm.license_scan import scan_licenses
 from lendwise.llm.line_dedup import remove_boilerplate_lines
+from lendwise.llm.maxscore import exact_top_k
 from lendwise.llm.mixing import mix_sources
 from lendwise.llm.packing import pack_documents
+from lendwise.llm.page_text import extract_main_text
 from lendwise.llm.simhash_golay import simhash_near_duplicates
+from lendwise.llm.spherical_filters import near_duplicate_vectors
+from lendwise.llm.toxicity_crf import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -30,6 +35,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op5_spherical_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.withColumn("ids_crc32", F.crc32("ids")).select(
@@ -45,13 +68,23 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
         op2_language_id,
+        op3_license_scan,
+        op4_page_text,
+        op5_spherical_filters,
+        op6_maxscore,
         op7_packing,
         op8_source_mixing,
         op9_simhash_golay,
+        op10_toxicity_crf,
     )
 }
