@@ -30,7 +30,7 @@ WINDOW = 40
 WINDOWS_PER_DOC = 6
 CACHE_WORDS = 300_000
 EVIDENCE = 15.0  # G-test statistic from which a feature marks tokens
-EPOCHS = 120
+EPOCHS = 80
 TOXIC_FROM = 0.5
 
 
@@ -134,27 +134,29 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.n
 
 
 def _log_likelihood_step(unary: np.ndarray, tags: np.ndarray, trans: np.ndarray):
-    """Gradients of a batch of equal windows: by unary score and by transition (exact, by forward-backward)."""
+    """Gradients of a batch of equal windows: by unary score and by transition (exact, by forward-backward).
+
+    Messages are kept as probabilities, scaled to sum to one at every step."""
     n, steps = unary.shape
-    score = np.stack([np.zeros_like(unary), unary], axis=2)
-    alpha = np.empty((n, steps, 2))
-    alpha[:, 0] = score[:, 0]
+    toxic = 1.0 / (1.0 + np.exp(-np.clip(unary, -30, 30)))
+    local = np.stack([1.0 - toxic, toxic])  # tag, window, step
+    hop = np.exp(np.clip(trans, -30, 30))
+    alpha, beta = np.empty((2, steps, n)), np.empty((2, steps, n))
+    alpha[:, 0] = local[:, :, 0]
     for t in range(1, steps):
-        alpha[:, t] = score[:, t] + np.logaddexp(alpha[:, t - 1, :1] + trans[0], alpha[:, t - 1, 1:] + trans[1])
-    beta = np.zeros((n, steps, 2))
+        now = (hop.T @ alpha[:, t - 1]) * local[:, :, t]
+        alpha[:, t] = now / now.sum(axis=0)
+    beta[:, -1] = 0.5
     for t in range(steps - 2, -1, -1):
-        ahead = score[:, t + 1] + beta[:, t + 1]
-        beta[:, t] = np.logaddexp(ahead[:, :1] + trans[:, 0], ahead[:, 1:] + trans[:, 1])
-    norm = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    toxic = np.exp(alpha[:, :, 1] + beta[:, :, 1] - norm[:, None])
-    by_trans = np.zeros((2, 2))
-    for i in range(2):
-        for j in range(2):
-            expected = np.exp(
-                alpha[:, :-1, i] + trans[i, j] + score[:, 1:, j] + beta[:, 1:, j] - norm[:, None, None].squeeze(2)
-            )
-            by_trans[i, j] = ((tags[:, :-1] == i) & (tags[:, 1:] == j)).sum() - expected.sum()
-    return tags - toxic, by_trans
+        now = hop @ (beta[:, t + 1] * local[:, :, t + 1])
+        beta[:, t] = now / now.sum(axis=0)
+    both = alpha * beta
+    marginal = (both[1] / both.sum(axis=0)).T
+    ahead = beta[:, 1:] * local.transpose(0, 2, 1)[:, 1:]
+    pair = alpha[:, None, :-1] * hop[:, :, None, None] * ahead[None]
+    pair /= pair.sum(axis=(0, 1))
+    seen = np.array([[((tags[:, :-1] == i) & (tags[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
+    return tags - marginal, seen - pair.sum(axis=(2, 3))
 
 
 def fit_crf(windows: list[list[str]], tags: np.ndarray, epochs: int = EPOCHS, penalty: float = 1e-4):
@@ -183,11 +185,14 @@ def fit_crf(windows: list[list[str]], tags: np.ndarray, epochs: int = EPOCHS, pe
     return full, float(theta[len(names)]), theta[-4:].reshape(2, 2)
 
 
-def document_features(p: np.ndarray) -> tuple[float, float, float]:
-    """Sums of a document's marginals: the largest, the log of one plus the sum, and the mean."""
+def document_features(p: np.ndarray) -> tuple[float, float, float, float]:
+    """A document's marginals summed up: the largest as log-odds (within 8), the log of one plus their sum, the square
+    root of their mean, and the log of one plus the words."""
     if not len(p):
-        return 0.0, 0.0, 0.0
-    return float(p.max()), math.log1p(float(p.sum())), float(p.mean())
+        return -8.0, 0.0, 0.0, 0.0
+    top = float(p.max())
+    odds = math.log(top + 1e-12) - math.log(1.0 - top + 1e-12)
+    return max(-8.0, min(8.0, odds)), math.log1p(float(p.sum())), math.sqrt(float(p.mean())), math.log1p(len(p))
 
 
 def fit_calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -211,7 +216,7 @@ class Scorer:
     def __init__(self, model: ToxicModel):
         self.model, self.cache = model, {}
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, tuple[float, float, float], list[tuple[int, int]]]]:
+    def score(self, texts: list[str | None]) -> list[tuple[float, tuple[float, ...], list[tuple[int, int]]]]:
         found = [WORDS.findall(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -228,7 +233,7 @@ class Scorer:
             features = document_features(own)
             odds = float(self.model.calibration @ np.array([1.0, *features]))
             spans = []
-            if features[0] >= TOXIC_FROM:
+            if n and own.max() >= TOXIC_FROM:
                 places = [m.span() for m in WORDS.finditer(text)]
                 hot = np.concatenate([[False], own >= TOXIC_FROM, [False]])
                 turns = np.nonzero(hot[1:] != hot[:-1])[0]
@@ -238,7 +243,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
-RESULT = "struct<score:double, top:double, mass:double, mean:double, spans:array<struct<start:int, end:int>>>"
+RESULT = "struct<score:double, features:array<double>, spans:array<struct<start:int, end:int>>>"
 
 
 def _scorer(model: ToxicModel) -> Scorer:
@@ -249,7 +254,7 @@ def _scorer(model: ToxicModel) -> Scorer:
 
 
 def toxicity_of(text: Column, model: Broadcast) -> Column:
-    """Struct column (score, top, mass, mean, spans) for a text column; ``model`` is a broadcast ``ToxicModel``."""
+    """Struct column (score, features, spans) for a text column; ``model`` is a broadcast ``ToxicModel``."""
 
     @F.pandas_udf(RESULT)
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -259,15 +264,15 @@ def toxicity_of(text: Column, model: Broadcast) -> Column:
             for at in range(0, len(texts), 64):
                 done += scorer.score(texts[at : at + 64])
             yield pd.DataFrame(
-                {"score": [d[0] for d in done], "top": [d[1][0] for d in done], "mass": [d[1][1] for d in done],
-                 "mean": [d[1][2] for d in done], "spans": [[{"start": s, "end": e} for s, e in d[2]] for d in done]}
+                {"score": [d[0] for d in done], "features": [list(d[1]) for d in done],
+                 "spans": [[{"start": s, "end": e} for s, e in d[2]] for d in done]}
             )
 
     return compute(text)
 
 
 def _windows(sample: DataFrame, evidence: dict) -> pd.DataFrame:
-    """Training windows of the sample: around marked tokens of toxic texts, and pseudorandom ones of the others."""
+    """Training windows of the sample: around marking words, and of harmless texts a pseudorandom one besides."""
     marks = sample.sparkSession.sparkContext.broadcast(frozenset(evidence))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,12 +282,12 @@ def _windows(sample: DataFrame, evidence: dict) -> pd.DataFrame:
                 words = WORDS.findall(text.lower())
                 if not words:
                     continue
-                tags = token_marks(words, marks.value) if toxic else np.zeros(len(words), np.int8)
-                if toxic:
-                    starts = list(dict.fromkeys(int(t) // WINDOW * WINDOW for t in np.nonzero(tags)[0]))
-                else:
-                    starts = [int(order) % (len(words) // WINDOW + 1) * WINDOW]
-                for s in starts[:WINDOWS_PER_DOC]:
+                found = token_marks(words, marks.value)
+                tags = found if toxic else np.zeros(len(words), np.int8)
+                starts = list(dict.fromkeys(int(t) // WINDOW * WINDOW for t in np.nonzero(found)[0]))[: WINDOWS_PER_DOC - 1]
+                if not toxic:  # such words stand in harmless texts too, and most words are harmless
+                    starts.append(int(order) % (len(words) // WINDOW + 1) * WINDOW)
+                for s in dict.fromkeys(starts):
                     if words[s : s + WINDOW]:
                         rows.append((" ".join(words[s : s + WINDOW]), "".join(map(str, tags[s : s + WINDOW]))))
             yield pd.DataFrame(rows, columns=["words", "tags"])
@@ -293,7 +298,7 @@ def _windows(sample: DataFrame, evidence: dict) -> pd.DataFrame:
 def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicModel:
     """Fits on about ``train_rows`` labelled rows (a pseudorandom sample; all, if fewer) outside the held-out fold.
 
-    The driver gets the marking features, at most ``WINDOWS_PER_DOC`` windows a row and three numbers a row.
+    The driver gets the marking features, at most ``WINDOWS_PER_DOC`` windows a row and four numbers a row.
     """
     spark = docs.sparkSession
     marked = labels.where(
@@ -319,10 +324,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
         words = [words[i] + [filler] * (WINDOW - len(words[i])) for i in whole + short]
         tags = np.array([[int(c) for c in cut["tags"][i].ljust(WINDOW, "0")] for i in whole + short])
         weights, bias, trans = fit_crf(words, tags)
-    model = ToxicModel(weights, bias, trans, np.zeros(4))
+    model = ToxicModel(weights, bias, trans, np.zeros(5))
     held = spark.sparkContext.broadcast(model)
-    scored = sample.select("toxic", toxicity_of(F.col("text"), held).alias("r")).select("toxic", "r.top", "r.mass", "r.mean").toPandas()
-    calibration = fit_calibration(scored[["top", "mass", "mean"]].to_numpy(), scored["toxic"].to_numpy(dtype=float))
+    scored = sample.select("toxic", toxicity_of(F.col("text"), held).alias("r")).select("toxic", "r.features").toPandas()
+    calibration = fit_calibration(np.array(scored["features"].tolist()).reshape(-1, 4), scored["toxic"].to_numpy(dtype=float))
     return ToxicModel(weights, bias, trans, calibration)
 
 
