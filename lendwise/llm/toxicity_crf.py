@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,7 @@ def word_features(word: str) -> list[str]:
 
 
 def _bucket(feature: str) -> int:
-    value = 0xCBF29CE484222325
-    for byte in feature.encode("utf-8", "surrogatepass"):
-        value = ((value ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (value ^ (value >> 32)) % BUCKETS
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def evidence_features(docs: DataFrame) -> dict[str, float]:
