@@ -7,6 +7,7 @@ its own by first-fit decreasing over a tournament tree of bin capacities.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,41 +22,65 @@ SEQ_LEN = 2048
 GROUP_PIECES = 4096
 END_ID = 1
 FLUSH_BYTES = 8 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
 #: The pre-tokenizer's own pattern, and characters that its normaliser only lower-cases: fixed values of the vocabulary.
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
-UNUSUAL = regex.compile(r"[\x1c-\x1f]|<\|")
+PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
+UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")  # white space to str.split alone, and special tokens' strings
 
 
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, by a word-wise tokenizer of ``tokenizers``.
 
     The vocabulary's pre-tokenizer cuts at white space and the normaliser never looks across it, so a text's ids are
-    those of its words, one after the other; words already met come from a bounded cache.
+    those of its words, one after the other; words already met come from a bounded cache. Words of plain characters
+    are cut here into the pre-tokenizer's parts, and new parts go to the vocabulary's model together: a part's last
+    token, and no other, bears the end-of-word mark.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _model_ids(self, parts: list[str]) -> list[bytes]:
+        ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = [0, *((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()]
+        if len(cuts) != len(parts) + 1:  # not a vocabulary with marked word ends
+            return self._direct(parts)
+        raw = ids.tobytes()
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+
     def _learn(self, words: list[str]) -> None:
-        cut = {w: WORD_PARTS.findall(w.lower()) for w in words if PLAIN.fullmatch(w)}
-        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
+        plain, rest, cut = PLAIN.fullmatch, [], []
+        for word in words:
+            if not plain(word):
+                rest.append(word)
+            elif word.isalpha():
+                cut.append((word, (word.lower(),)))
+            else:
+                cut.append((word, WORD_PARTS.findall(word.lower())))
+        new = list({p for _, parts in cut for p in parts if p not in self.parts})
         if new:
-            self.parts.update(zip(new, self._direct(new)))
-        for word, parts in cut.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-        rest = [w for w in words if w not in cut]
+            self.parts.update(zip(new, self._model_ids(new)))
+        known = self.parts.__getitem__
+        for word, parts in cut:
+            self.words[word] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
         if rest:
             self.words.update(zip(rest, self._direct(rest)))
 
@@ -63,10 +88,11 @@ class WordTokenizer:
         for cache in (self.words, self.parts):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-        odd = [bool(UNUSUAL.search(t)) for t in texts]  # control characters, or a special token's string
+        odd = [any(u in t for u in UNUSUAL) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        unseen = list({w for words in split for w in words if w not in self.words})
-        self._learn(unseen)
+        unseen = set().union(*split).difference(self.words)
+        if unseen:
+            self._learn(list(unseen))
         get = self.words.__getitem__
         return [self._direct([t])[0] if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, split)]
 
