@@ -24,7 +24,8 @@ SHARD_SLOTS = 65536
 ROUNDS = 12
 GUIDE = 1024
 BUCKET_DOCS = 10_000
-EXPLODE = 65536
+EXPLODE = 8192
+TASK_SLOTS = 1 << 18
 BROADCAST_SOURCES = 10_000
 
 
@@ -122,6 +123,7 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) ->
     runs = fitted.unionByName(lacking).where("n > 0")
     # in steps, so that no array grows with the input
     runs = runs.withColumn("from", F.explode(F.sequence(F.col("first"), F.expr("first + n - 1"), F.lit(EXPLODE).cast("bigint"))))
+    runs = runs.repartition(total // TASK_SLOTS + 1, "rank", "from")  # few light rows here, very many after the next step
     slots = runs.withColumn(
         "slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + EXPLODE, F.expr("first + n")) - 1))
     ).select("shard", "rank", "blocks", "slot")
