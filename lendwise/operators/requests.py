@@ -39,7 +39,10 @@ def decode_envelope(messages: DataFrame, value: str = "value") -> DataFrame:
     body holding an object is the application, else the whole object.
     NULL, bad JSON and non-objects get a ``decode_error`` and NULL payload.
     The parsed variant is a column of its own so it is parsed once per row.
+    Of a key that is repeated in one object the last value counts, as in any
+    lenient JSON reader (a session setting of the variant parser).
     """
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = messages.select("*", F.try_parse_json(F.col(value).cast("string")).alias("__v"))
     v = F.col("__v")
     typed = parsed.select("*", *[F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).alias(f"__s_{k}")
@@ -120,14 +123,16 @@ def normalise(decoded: DataFrame, processing_date: Column | None = None, payload
                 reasons.append(F.when(t.isNull(), F.lit(f"{f.name}: required")))
         elif f.kind == "float":
             d = lenient_double(t)
+            d = F.when(~F.isnan(d), d)  # NaN is no amount: it would sort above every threshold
             cols.append(d.alias(f.name))
             bad = (t.isNull() & F.lit(f.required)) | (t.isNotNull() & d.isNull())
             reasons.append(F.when(bad, F.lit(f"{f.name}: number expected")))
         else:
             d = t.try_cast("double")
             whole = d.isNotNull() & (d == F.floor(d)) & F.trim(t).rlike(r"^[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?$")
-            cols.append(F.when(whole, d.cast("int")).alias(f.name))
-            bad = (t.isNull() & F.lit(f.required)) | (t.isNotNull() & ~whole)
+            n = F.when(whole, d).try_cast("int")  # out of range: NULL, a rejection like any other bad number
+            cols.append(n.alias(f.name))
+            bad = (t.isNull() & F.lit(f.required)) | (t.isNotNull() & n.isNull())
             reasons.append(F.when(bad, F.lit(f"{f.name}: integer expected")))
     decode_reason = F.when(F.col("decode_error").isNotNull(), F.col("decode_error"))
     all_reasons = F.array_compact(F.array(decode_reason, *reasons))
@@ -228,8 +233,9 @@ def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:
             d = v.try_cast("double")
             ok = v.isNull() | (d.isNotNull() & F.trim(v).rlike(r"^[+-]?[0-9]+$")) | (
                 d.isNotNull() & F.lit(name in df.columns and _numeric(df, name)))
-            cols.append(F.when(ok, d.cast("int")).alias(name))
-            bad.append(~ok)
+            n = F.when(ok, d).try_cast("int")
+            cols.append(n.alias(name))
+            bad.append(~ok | (v.isNotNull() & n.isNull()))
         elif name in API_FLOAT_FIELDS:
             d = v.try_cast("double")
             ok = v.isNull() | d.isNotNull()

@@ -99,3 +99,39 @@ def test_evaluator_defaults_before_fallbacks(spark):
     assert p["canal_venda"] == "loja" and p["valor_bem"] == 10.5   # env-style defaults win over fallbacks
     q = R.evaluator_payload(df).first()["api_payload"]
     assert q["canal_venda"] == "online" and q["valor_bem"] == 0.0   # fixed fallbacks otherwise
+
+
+def _normalised(spark, values):
+    n = R.normalise(R.decode_envelope(_msgs(spark, values)), processing_date=F.lit("2024-02-01").cast("date"))
+    return n.orderBy("offset").collect()
+
+
+def test_integer_out_of_range_is_a_rejection(spark):
+    bad, good = _normalised(spark, [json.dumps(dict(APP, qtd_parcelas_planejadas=99999999999)),
+                                    json.dumps(dict(APP, qtd_parcelas_planejadas=12))])
+    assert bad["reasons"] == ["qtd_parcelas_planejadas: integer expected"] and bad["qtd_parcelas_planejadas"] is None
+    assert good["reasons"] == [] and good["qtd_parcelas_planejadas"] == 12
+    df = spark.createDataFrame([("99999999999",), ("12",)], "qtd_parcelas_planejadas string")
+    assert [r["payload_valid"] for r in R.evaluator_payload(df).collect()] == [False, True]
+
+
+def test_nan_is_no_amount(spark):
+    (row,) = _normalised(spark, [json.dumps(dict(APP, valor_credito="NaN"))])
+    assert row["reasons"] == ["valor_credito: number expected"]
+
+
+def test_last_of_repeated_keys_counts(spark):
+    (row,) = _normalised(spark, ['{"id_cliente": 1, "valor_credito": 5.0, "id_cliente": 2}'])
+    assert row["reasons"] == [] and row["id_cliente"] == 2
+
+
+def test_hand_written_expectations_for_bad_messages(spark):
+    got = _normalised(spark, [
+        "{bad json", None, "[1]", "{}", '{"id_cliente": null}', '{"id_cliente": true}', '{"id_cliente": " "}',
+        '{"id_cliente": 1.5}', '{"tipo_contrato": null}',
+    ])
+    assert [r["reasons"] for r in got] == [
+        ["invalid JSON"], ["empty value"], ["value must be a JSON object"], [], [],
+        ["id_cliente: numeric id expected"], [], ["id_cliente: numeric id expected"], ["tipo_contrato: required"],
+    ]
+    assert [got[i]["id_cliente"] for i in (3, 4, 6)] == [0, 0, 0]
