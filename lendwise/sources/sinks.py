@@ -1,13 +1,14 @@
 """Sinks: CSV reports, idempotent table DDL, schema reconcile and replay-safe appends.
 
 Appends are replay-safe without a transactional table format: each
-micro-batch (or batch job run) writes its own ``batch_id=`` partition with
+micro-batch writes its own partition, named by its writer and its number, with
 dynamic partition overwrite, so re-running a batch replaces its rows
-instead of duplicating them.
+instead of duplicating them, and no other writer's.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,35 @@ def with_file_count(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions) if partitions > 0 else df
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int, partitions: int = 0, fmt: str = "parquet") -> None:
-    """S10 + ST3: write ``df`` as partition ``batch_id=<id>`` of the table at ``path``.
+def run_identity(spark: SparkSession, folder: str) -> str:
+    """The lasting name of the writer that keeps its state in ``folder`` (a stream's checkpoint).
+
+    Made at the first call and stored in the folder, so a restart finds it again and a new
+    checkpoint, whose batches are numbered from 0 again, gets another one.
+    """
+    path = f"{folder.rstrip('/')}/writer-identity"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").write.mode("overwrite").text(path)
+    return spark.read.text(path).first()["value"]
+
+
+def append_batch(df: DataFrame, path: str, batch_id: int, partitions: int = 0, fmt: str = "parquet",
+                 run_id: str | None = None) -> None:
+    """S10 + ST3: append ``df`` to the table at ``path`` as partition ``run_id=<run>/batch_id=<id>``.
 
     Dynamic partition overwrite makes a replayed batch replace its own
-    partition only.
+    partition only. Batch numbers are unique within one writer alone, so the
+    partition carries the writer's identity too (:func:`run_identity`);
+    without one every call is a writer of its own and never replaces rows.
     """
     from pyspark.sql import functions as F
 
-    out = with_file_count(df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")), partitions)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").format(fmt).save(path))
+    tagged = df.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex)).withColumn(
+        "batch_id", F.lit(int(batch_id)).cast("bigint"))
+    (with_file_count(tagged, partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch_id").format(fmt).save(path))
 
 
 def ensure_table(spark: SparkSession, table: str, columns: Sequence[tuple[str, str]], using: str = "parquet",
@@ -64,8 +83,8 @@ def reconcile_schema(spark: SparkSession, table: str, columns: Sequence[tuple[st
 
 
 def write_prediction_logs(batch: DataFrame, batch_id: int, events_path: str, requests_path: str,
-                          dead_letter_path: str | None = None, partitions: int = 0) -> None:
-    """S11 (+ ST4): one scored batch appended to the events and requests tables (and dead letters).
+                          dead_letter_path: str, partitions: int = 0, run_id: str | None = None) -> None:
+    """S11 + ST4: one scored batch appended to the events and requests tables, rejects to the dead letters.
 
     The batch is persisted once so the three projections do not recompute
     the scoring; it is unpersisted when the writes are done.
@@ -74,9 +93,8 @@ def write_prediction_logs(batch: DataFrame, batch_id: int, events_path: str, req
 
     batch.persist()
     try:
-        append_batch(event_log(batch), events_path, batch_id, partitions)
-        append_batch(request_log(batch), requests_path, batch_id, partitions)
-        if dead_letter_path:
-            append_batch(dead_letters(batch), dead_letter_path, batch_id, partitions)
+        append_batch(event_log(batch), events_path, batch_id, partitions, run_id=run_id)
+        append_batch(request_log(batch), requests_path, batch_id, partitions, run_id=run_id)
+        append_batch(dead_letters(batch), dead_letter_path, batch_id, partitions, run_id=run_id)
     finally:
         batch.unpersist()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lendwise.operators import requests as R
-from lendwise.sources.sinks import write_prediction_logs
+from lendwise.sources.sinks import run_identity, write_prediction_logs
 
 # Micro-batch bounds of the scoring consumer.
 MAX_RECORDS_PER_BATCH = 512
@@ -27,12 +27,17 @@ MESSAGE_SCHEMA = "key string, value string, topic string, partition int, offset
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = "predict",
-                   max_per_trigger: int = MAX_RECORDS_PER_BATCH) -> DataFrame:
-    """S9 + ST2: Kafka source from the earliest offset, bounded micro-batches."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).option("startingOffsets", "earliest")
-           .option("maxOffsetsPerTrigger", max_per_trigger).load())
-    return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+                   max_per_trigger: int | None = None) -> DataFrame:
+    """S9 + ST2: Kafka source from the earliest offset.
+
+    A batch takes all there is, so that intake grows with the cluster; pass ``max_per_trigger`` (such as
+    ``MAX_RECORDS_PER_BATCH``, the original consumer's poll) to bound a micro-batch.
+    """
+    reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+              .option("subscribe", topic).option("startingOffsets", "earliest"))
+    if max_per_trigger is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
+    return reader.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
                       "topic", "partition", "offset", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
@@ -59,15 +64,20 @@ def scored_stream(messages: DataFrame, scorer: Callable[[DataFrame], Column] = R
 
 
 def start_scoring(scored: DataFrame, checkpoint: str, events_path: str, requests_path: str,
-                  dead_letter_path: str | None = None, trigger: dict | None = None,
+                  dead_letter_path: str, trigger: dict | None = None,
                   partitions: int = 0, query_name: str | None = None) -> StreamingQuery:
     """ST1 + S11 + ST3 + ST4: run the stream; each micro-batch goes to both logs and the dead letters.
 
+    Rejected messages always go to the dead letters. Batches are written under the identity stored in
+    the checkpoint, so a stream with another checkpoint never replaces them.
+
     ``trigger`` defaults to a 200 ms processing-time trigger; pass
     ``{"availableNow": True}`` to drain what is there and stop.
     """
+    run_id = run_identity(scored.sparkSession, checkpoint)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_prediction_logs(batch, batch_id, events_path, requests_path, dead_letter_path, partitions)
+        write_prediction_logs(batch, batch_id, events_path, requests_path, dead_letter_path, partitions, run_id)
 
     writer = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": BATCH_INTERVAL}))

@@ -50,7 +50,7 @@ def test_stream_dedupe_within_watermark(spark):
     _write_messages(spark, f"{root}/in", _rows(keys))
     msgs = ST.file_messages(spark, f"{root}/in", max_files_per_trigger=5)
     scored = ST.scored_stream(msgs, event_ts=F.col("timestamp"), dedupe_watermark="1 hour")
-    q = ST.start_scoring(scored, f"{root}/ckpt", f"{root}/ev", f"{root}/rq", trigger={"availableNow": True})
+    q = ST.start_scoring(scored, f"{root}/ckpt", f"{root}/ev", f"{root}/rq", f"{root}/dead", trigger={"availableNow": True})
     q.awaitTermination()
     ids = [r["event_id"] for r in spark.read.parquet(f"{root}/rq").collect()]
     assert len(ids) == len(set(ids))
