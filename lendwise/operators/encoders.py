@@ -7,7 +7,7 @@ broadcast only when the measured size is under the broadcast threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,23 +119,17 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, pr
     return out
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, max_columns: int = 1000) -> DataFrame:
-    """M6: one 0/1 column per fitted category ``{c}_{category}``; unseen → all zeros.
+def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
+    """M6: one 0/1 column per named category, ``{column}_{category}``; any other value → all zeros.
 
-    The category list is schema (it names output columns), so it is read
-    from the fitted dictionary — at most ``max_columns`` names, checked by a
-    count first; wider encodings belong in the vector pipeline
-    (``StringIndexer`` + ``OneHotEncoder`` in :mod:`lendwise.plans.train`).
+    The categories name output columns, so the caller states them; an encoding
+    fitted from data belongs in the vector pipeline (``StringIndexer`` +
+    ``OneHotEncoder`` in :mod:`lendwise.plans.train`).
     """
-    chosen = dictionary.where(F.col("column").isin(list(cols))).select("column", "category")
-    n = chosen.count()
-    if n > max_columns:
-        raise ValueError(f"one_hot would add {n} columns (> {max_columns}); use the vector encoder instead")
-    cats = chosen.orderBy("column", "category").collect()
     exprs = [F.col(c) for c in df.columns]
-    for r in cats:
-        src = F.coalesce(F.col(r["column"]).cast("string"), F.lit(MISSING))
-        exprs.append((src == F.lit(r["category"])).cast("int").alias(f"{r['column']}_{r['category']}"))
+    for column, names in categories.items():
+        src = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+        exprs += [(src == F.lit(name)).cast("int").alias(f"{column}_{name}") for name in names]
     return df.select(*exprs)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwise.operators.encoders import quantile_row, scalar_row
@@ -139,6 +139,9 @@ def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n) if n > 0 else df
 
 
+GRID_STEP = 65536
+
+
 def fixed_width_histogram(df: DataFrame, col: str, width: float, origin: float | None = None,
                           stop: float | None = None, zero_fill: bool = True, places: int = 6,
                           stop_pad: float = 1.0) -> DataFrame:
@@ -151,8 +154,8 @@ def fixed_width_histogram(df: DataFrame, col: str, width: float, origin: float |
     counted. ``pct`` is over counted values. With ``zero_fill`` empty bins
     appear with count 0 (the edge list is generated from the bin count).
 
-    The bounds are one scalar subquery carried as a column; the total is a
-    window over the binned result, whose size is the bin count.
+    The bounds are one scalar subquery carried as a column; the total is an
+    aggregate of the counted rows, so nothing meets in one task.
     """
     x = F.col(col).cast("double")
     w = F.lit(float(width))
@@ -168,11 +171,15 @@ def fixed_width_histogram(df: DataFrame, col: str, width: float, origin: float |
     )
     counts = binned.groupBy("bin", "lo").agg(F.count(F.lit(1)).alias("count"))
     if zero_fill:
-        grid = bounds_df.select("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
+        # in two steps, so that no single array holds the whole grid
+        runs = bounds_df.select("lo", "nb", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1, F.lit(GRID_STEP).cast("bigint"))).alias("at"))
+        grid = runs.select("lo", F.explode(F.sequence("at", F.least(F.col("at") + GRID_STEP, "nb") - 1)).alias("bin"))
         counts = grid.join(counts.drop("lo"), "bin", "left").select(
             "bin", "lo", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
-    return counts.select(
+    all_counted = scalar_row(binned.agg(F.count(F.lit(1)).alias("n")))
+    total = F.col("__t.n")
+    return counts.select("*", all_counted.alias("__t")).select(
         "bin",
         F.round(F.col("lo") + F.col("bin") * w, places).alias("bin_start"),
         F.round(F.col("lo") + (F.col("bin") + 1) * w, places).alias("bin_end"),

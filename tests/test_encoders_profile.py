@@ -20,8 +20,17 @@ def test_median_mode_ordinal(spark):
     got = sorted((r["c"], r["feat_c_enc"]) for r in enc if r["c"] is not None)
     assert got == [("a", 1.0), ("z", -1.0)]
     assert [r["feat_c_enc"] for r in enc if r["c"] is None] == [0.0]
-    oh = E.one_hot(apply, ["c"], d).collect()
+    oh = E.one_hot(apply, {"c": ["a", "b"]}).collect()
     assert all(r["c_b"] == 0 for r in oh)
+    assert sum(r["c_a"] for r in oh) == sum(r["c"] == "a" for r in oh)
+
+
+def test_histogram_survives_an_outlier(spark):
+    df = spark.createDataFrame([(1.0,), (1e15,)], "x double")
+    rows = PR.fixed_width_histogram(df, "x", 20000.0, origin=0.0, zero_fill=False).collect()
+    assert sorted((r["count"], r["pct"]) for r in rows) == [(1, 50.0), (1, 50.0)]
+    few = PR.fixed_width_histogram(spark.createDataFrame([(0.5,), (70000.5,)], "x double"), "x", 1.0, origin=0.0)
+    assert few.count() == 70001 and few.where("count > 0").count() == 2  # more bins than one step of the grid
 
 
 def test_hash_split_is_stateless(spark):
