@@ -100,9 +100,13 @@ def champion(runs: DataFrame, model: str = "model", version: str = "version", st
              metric: str = "valid_auc") -> DataFrame:
     """Per model, the newest Production version, else the highest version number (numeric order).
 
-    The chosen run's metric may be NULL (missing run metric).
+    The chosen run's metric may be NULL (missing run metric). A row without a
+    version is no registered run; a version that is no integer fails the job,
+    since leaving it out could name the wrong champion.
     """
-    v = F.col(version).try_cast("bigint")
+    text = F.col(version).cast("string")
+    v = F.when(text.isNotNull(), F.coalesce(text.try_cast("bigint"), F.raise_error(
+        F.concat(F.lit("model version is not an integer: "), text)).cast("bigint")))
     is_prod = (F.col(stage) == "Production").cast("int")
     key = F.struct(is_prod.alias("p"), v.alias("v"))
     picked = runs.where(v.isNotNull()).groupBy(model).agg(

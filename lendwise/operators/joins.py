@@ -19,17 +19,18 @@ from lendwise.functions.columns import numeric_columns, rename_collisions
 from lendwise.operators.dedup import keep_last
 
 
-# Largest side (rows) broadcast after an explicit count; beyond it a shuffle join.
-MAX_BROADCAST_ROWS = 2_000_000
+# Largest side (bytes of its values) broadcast after it was measured; beyond it a shuffle join.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
-    """Materialise a fitted lookup table once, count it, broadcast it only if small.
+def broadcast_if_small(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, materialize: bool = True) -> DataFrame:
+    """Materialise a fitted lookup table once, measure it, broadcast it only if small.
 
     For tables whose size is the cardinality of a key rather than the data
     size (category dictionaries, per-group statistics). The table is
     checkpointed first (it is a fitted artefact; computing it once serves
-    both the count and the join). Beyond ``max_rows`` Catalyst/AQE choose a
+    both the measure and the join). The measure is in bytes: 16 a value, and
+    the length of every text. Beyond ``max_bytes`` Catalyst/AQE choose a
     shuffle join instead. ``materialize=False`` skips the checkpoint when
     the table is a cheap aggregate of data that is already checkpointed.
     """
@@ -39,12 +40,18 @@ def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, mat
     if materialize:
         ensure_checkpoint_dir(small.sparkSession)
         fitted = small.checkpoint(eager=True)
-    return F.broadcast(fitted) if fitted.count() <= max_rows else fitted
-
-
-def inner_join(left: DataFrame, right: DataFrame, key: str = "id_contrato") -> DataFrame:
-    """JN1 / JN7 / JN8: inner equi-join on ``key``."""
-    return left.join(right, key, "inner")
+    size = F.lit(16 * len(fitted.columns))
+    for f in fitted.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    held = fitted.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(fitted) if held <= max_bytes else fitted
+
+
+def left_join_labels(frame: DataFrame, labels: DataFrame, key: str = "id_contrato") -> DataFrame:
+    """JN7: training rows with the label columns they lack; rows without a label keep NULL."""
+    new = [c for c in labels.columns if c != key and c not in frame.columns]
+    return frame.join(labels.select(key, *new), key, "left")
 
 
 def left_join_if_keyed(left: DataFrame, right: DataFrame | None, key: str, suffix: str | None = None) -> DataFrame:

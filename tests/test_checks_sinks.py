@@ -62,12 +62,27 @@ def test_suffix_dispatch_and_csv(spark):
 def test_replay_safe_append(spark):
     path = scratch_path(spark, "append")
     df = spark.createDataFrame([(1,), (2,)], "k int")
-    SK.append_batch(df, path, 0)
-    SK.append_batch(df, path, 1)
-    SK.append_batch(df, path, 1)  # replayed batch replaces itself
+    SK.append_batch(df, path, 0, run_id="a")
+    SK.append_batch(df, path, 1, run_id="a")
+    SK.append_batch(df, path, 1, run_id="a")  # replayed batch replaces itself
     assert spark.read.parquet(path).count() == 4
 
 
+def test_writers_never_replace_each_other(spark):
+    path, df = scratch_path(spark, "append"), spark.createDataFrame([(1,), (2,)], "k int")
+    first, second = SK.run_identity(spark, scratch_path(spark, "c1")), SK.run_identity(spark, scratch_path(spark, "c2"))
+    SK.append_batch(df, path, 0, run_id=first)
+    SK.append_batch(df.limit(1), path, 0, run_id=second)
+    SK.append_batch(df, path, 0)
+    SK.append_batch(df, path, 0)  # without an identity every call appends
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_run_identity_lasts(spark):
+    folder = scratch_path(spark, "ckpt")
+    assert SK.run_identity(spark, folder) == SK.run_identity(spark, folder)
+
+
 def test_ddl_and_reconcile(spark):
     loc = scratch_path(spark, "tbl")
     SK.ensure_table(spark, "lw_test_db.events", [("event_id", "string"), ("p", "double")], location=loc)
@@ -116,3 +131,10 @@ def test_decision_report_and_label_union(spark):
     a = spark.createDataFrame([(1,), (0,), (1,)], "y int")
     b = spark.createDataFrame([(2,), (0,)], "p int")
     assert [r["label"] for r in ordered_union_labels(a, "y", b, "p").collect()] == [0, 1, 2]
+
+
+def test_champion_refuses_a_version_that_is_no_integer(spark):
+    runs = spark.createDataFrame([("m", "1", "None", 0.5), ("m", "two", "None", 0.6)],
+                                 "model string, version string, stage string, valid_auc double")
+    with pytest.raises(Exception, match="model version is not an integer: two"):
+        C.champion(runs).collect()
