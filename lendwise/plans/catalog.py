@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendwise.functions import features as X
+from lendwise.functions.columns import LEAKAGE_COLUMNS
 from lendwise.functions.dates import age_floor_days, calendar_age, year_difference
 from lendwise.functions.decisions import decision_band, rounded_probability
 from lendwise.functions.ids import id_error, id_value
@@ -660,14 +661,16 @@ def stream_prediction_events(spark, sf):
     q = ST.start_scoring(scored, f"{root}/ckpt", f"{root}/events", f"{root}/requests", f"{root}/dead",
                          trigger={"availableNow": True}, partitions=2)
     q.awaitTermination()
-    return RD.read_parquet(spark, f"{root}/events").drop("batch_id")
+    return RD.read_parquet(spark, f"{root}/events").drop("run_id", "batch_id")
 
 
 # --- model jobs (M8–M13, M18; rows-only checks) ---------------------------------------------
 
 
 TARGET = L.OVER60
-LEAKS = ["id_contrato", "event_id", L.FPD, L.EVER30, "is_train"]
+# Kept out of every model input: ids, the other labels, the split flag and what is known only after approval.
+LEAKS = ["id_contrato", "event_id", L.FPD, L.EVER30, "is_train", *LEAKAGE_COLUMNS,
+         *[f"feat_{c}_enc" for c in LEAKAGE_COLUMNS]]
 # Tree budget of the registered model queries (the library default is 300).
 CHECK_TREES = 40
 
@@ -686,6 +689,16 @@ def _fit(spark, sf):
     return df, pipe.fit(train), names
 
 
+@query("labels_left_join")
+def labels_left_join(spark, sf):
+    """JN7: training rows keep a NULL label where the label table has no row for the contract."""
+    contracts = B.contracts(spark, sf)
+    finished = contracts.where(F.col("status_contrato") == "F").select("id_contrato")
+    labels = L.contract_labels(B.instalments(spark, sf)).join(finished, "id_contrato", "left_semi")
+    frame = contracts.select("id_contrato", "tipo_contrato")
+    return J.left_join_labels(frame, labels.select("id_contrato", L.FPD, L.EVER30))
+
+
 @query("train_split")
 def train_split(spark, sf):
     """M8: stateless md5 split, seed 42, 80 % train — counts per side and class."""
@@ -734,7 +747,8 @@ def local_model_scores(spark, sf):
     feats = ["valor_credito", "valor_parcela", "hora_solicitacao", "feat_ltv"]
     from pyspark.ml.feature import VectorAssembler
 
-    asm = VectorAssembler(inputCols=feats, outputCol="f", handleInvalid="skip")
+    df = df.fillna(0.0, feats)  # as the scorer reads NULL; no row is left out of the fit
+    asm = VectorAssembler(inputCols=feats, outputCol="f", handleInvalid="error")
     lr = LogisticRegression(featuresCol="f", labelCol=TARGET, maxIter=20).fit(asm.transform(df.where("is_train")))
     scorer = T.LinearScorer(lr.coefficients.toArray().tolist(), float(lr.intercept))
     scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: scorer)

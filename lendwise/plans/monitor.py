@@ -52,7 +52,7 @@ def monitoring_decision(
         drift = drift.checkpoint(eager=True)
         from lendwise.sources.sinks import write_csv_report
 
-        write_csv_report(drift, report_path, partitions=1)
+        write_csv_report(drift, report_path)
     checks = [D.alert_summary(drift, rate_threshold=drift_rate),
               C.auc_decay(reference, analysis, target, prediction, min_auc_drop)]
     if events is not None:

@@ -56,6 +56,15 @@ ORACLE["bad_rate_by_contract_type"] = with_views(
 
 ORACLE["contract_labels"] = with_views("SELECT * FROM contract_flags", "instalments", ctes=[LABELS_CTE])
 
+ORACLE["labels_left_join"] = with_views(
+    """
+    SELECT c.id_contrato, c.tipo_contrato, f.target_fpd, f.target_ever30mob03
+    FROM contracts c LEFT JOIN (
+        SELECT l.* FROM contract_flags l JOIN contracts s ON l.id_contrato = s.id_contrato WHERE s.status_contrato = 'F'
+    ) f ON c.id_contrato = f.id_contrato""",
+    "instalments", "contracts", ctes=[LABELS_CTE],
+)
+
 ORACLE["ever30_labels"] = with_views(
     f"""
     SELECT id_contrato,
@@ -805,9 +814,9 @@ def _norm_select(processing_date: str) -> tuple[str, str]:
             d = f"TRY_CAST({t} AS DOUBLE)"
             whole = (f"({d} IS NOT NULL AND {d} = floor({d}) AND "
                      f"regexp_full_match(trim({t}), '[+-]?[0-9]+(\\.[0-9]*)?([eE][+-]?[0-9]+)?'))")
-            cols.append(f"CASE WHEN {whole} THEN CAST({d} AS INTEGER) END AS {f.name}")
+            cols.append(f"CASE WHEN {whole} THEN TRY_CAST({d} AS INTEGER) END AS {f.name}")
             req = "true" if f.required else "false"
-            reasons.append(f"CASE WHEN ({t} IS NULL AND {req}) OR ({t} IS NOT NULL AND NOT COALESCE({whole}, false)) "
+            reasons.append(f"CASE WHEN ({t} IS NULL AND {req}) OR ({t} IS NOT NULL AND NOT COALESCE({whole} AND TRY_CAST({d} AS INTEGER) IS NOT NULL, false)) "
                            f"THEN '{f.name}: integer expected' END")
     rs = ("CASE WHEN decode_error IS NOT NULL THEN [decode_error] ELSE "
           "list_filter([" + ", ".join(reasons) + "], lambda x: x IS NOT NULL) END AS reasons")
