@@ -185,6 +185,8 @@ def scan_text(index: Index, text: str | None, min_coverage: float = MIN_COVERAGE
     if not text:
         return []
     lower = text.lower()
+    if len(lower) != len(text):  # a few characters grow in lower case: offsets stay those of the text itself
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     ids = np.fromiter((index.words.get(w, 0) for w in WORDS.findall(lower)), dtype=np.int64)
     found = []
     for t, low, high in index.regions(ids):
@@ -198,8 +200,6 @@ def scan_text(index: Index, text: str | None, min_coverage: float = MIN_COVERAGE
             kept.append(match)
     if not kept:
         return []
-    if len(lower) != len(text):  # a few characters change length in lower case: keep offsets in the text itself
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     places = [m.span() for m in WORDS.finditer(lower)]
     spans = [(index.names[t], c, places[a][0], places[b][1]) for c, t, a, b in kept if b < len(places)]
     return sorted(spans, key=lambda m: (m[2], m[3], m[0]))

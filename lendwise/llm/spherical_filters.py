@@ -1,9 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters (locality-sensitive filtering).
 
-Filter directions form a random product code: the dimensions are cut into parts, every part has a few random
-codewords, and each combination of codewords, one a part, is a direction. A vector passes a filter if its projection
-on the direction exceeds a threshold; the directions it exceeds are list-decoded from the parts' projections without
-going through all combinations. Vectors that pass a common filter are compared exactly.
+Filter directions form random product codes: after a random rotation the dimensions are cut into parts, every part has
+a few random codewords, and each combination of codewords, one a part, is a direction. A vector passes a filter if its
+projection on the direction exceeds a threshold; the directions it exceeds are list-decoded from the parts' projections
+without going through all combinations. Vectors that pass a common filter are compared exactly.
+
+Directions of one product code depend on each other: a vector with weak projections in the parts may exceed none. So
+there are several codes with rotations of their own, and a vector that exceeds no direction of a code passes its best.
 
 The threshold follows from the number of vectors, so that a filter holds about ``BUCKET`` unrelated ones, and the
 number of directions from the wanted number of filters that a pair at the similarity limit shares.
@@ -26,9 +29,11 @@ from lendwise.llm.components import connected_components
 
 MIN_COSINE = 0.93
 BUCKET = 8
-SHARED = 10.0
+CODES = 6
+SHARED = 1.5  # per code
 PARTS = 4
 BLOCK = 1024
+BROADCAST_ROWS = 50_000
 
 
 @dataclass
@@ -37,6 +42,11 @@ class ProductCode:
 
     words: list[np.ndarray]
     threshold: float
+    rotation: np.ndarray
+
+    @property
+    def directions(self) -> int:
+        return math.prod(len(w) for w in self.words)
 
     @classmethod
     def design(cls, dim: int, n: int, cosine: float, bucket: float = BUCKET, shared: float = SHARED, seed: int = 5):
@@ -47,22 +57,26 @@ class ProductCode:
         tail = np.array([1.0 - normal.cdf((cut - cosine * v) / math.sqrt(1.0 - cosine * cosine)) for v in x])
         both = float(np.sum(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * tail) * (x[1] - x[0]))
         parts = max(1, min(PARTS, dim // 4))
-        each = max(2, math.ceil((shared / both) ** (1.0 / parts)))
+        counts = [max(2, int((shared / both) ** (1.0 / parts)))] * parts
+        for k in range(parts):
+            if math.prod(counts) < shared / both:
+                counts[k] += 1
         rng = np.random.default_rng(seed)
+        rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         words = []
-        for columns in np.array_split(np.arange(dim), parts):
+        for each, columns in zip(counts, np.array_split(np.arange(dim), parts)):
             w = rng.standard_normal((each, len(columns)))
             w *= math.sqrt(len(columns) / dim) / np.linalg.norm(w, axis=1, keepdims=True)
             words.append(w)
-        return cls(words, cut / math.sqrt(dim))
+        return cls(words, cut / math.sqrt(dim), rotation)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted numbers of the directions that each unit vector exceeds.
+        """Sorted numbers of the directions that each unit vector exceeds, or of its best one.
 
         Parts are folded into a front and a back half; the back's sums are sorted, so that every front sum reads off
         just the back sums that lift it over the threshold.
         """
-        at, sums = 0, []
+        unit, at, sums = unit @ self.rotation, 0, []
         for w in self.words:
             sums.append(unit[:, at : at + w.shape[1]] @ w.T)
             at += w.shape[1]
@@ -79,7 +93,10 @@ class ProductCode:
         ranked = np.take_along_axis(back, order, axis=1)
         out = []
         for f, b, o in zip(front, ranked, order):
-            count = np.searchsorted(-b, f - self.threshold, side="right")
+            least = min(self.threshold, float(f.max() + b[0]))
+            count = np.searchsorted(-b, f - least, side="right")
+            if not count.any():  # rounding at the best direction itself
+                count[int(f.argmax())] = 1
             some = np.nonzero(count)[0]
             count = count[some]
             first = np.repeat(np.cumsum(count) - count, count)
@@ -96,18 +113,26 @@ def _usable() -> Column:
     )
 
 
-def _filtered(classes: DataFrame, codes: dict[int, ProductCode]) -> DataFrame:
+def decode_all(codes: list[ProductCode], unit: np.ndarray) -> list[np.ndarray]:
+    """Filters of each unit vector over all codes, which are numbered one after the other."""
+    base, lists = 0, []
+    for code in codes:
+        lists.append([x + base for x in code.decode(unit)])
+        base += code.directions
+    return [np.concatenate(own) for own in zip(*lists)]
+
+
+def _filtered(classes: DataFrame, codes: dict[int, list[ProductCode]]) -> DataFrame:
     """One row per class and filter, with what comparing needs."""
     label = classes.schema["label"].dataType.simpleString()
+    vec = classes.schema["vec"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                values = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                unit = values / np.linalg.norm(values, axis=1, keepdims=True)
-                lists = codes[int(dim)].decode(unit)
+                lists = decode_all(codes[int(dim)], unit_rows(part.column("vec"), dim))
                 counts = [len(x) for x in lists]
                 rows = part.take(pa.array(np.repeat(np.arange(len(lists)), counts)))
                 every = np.concatenate([np.zeros(0, np.int64), *lists])
@@ -119,10 +144,15 @@ def _filtered(classes: DataFrame, codes: dict[int, ProductCode]) -> DataFrame:
                     ["label", "dim", "cid", "size", "vec", "filter", "filters"],
                 )
 
-    kind = f"label {label}, dim int, cid bigint, size bigint, vec array<double>, filter bigint, filters array<bigint>"
+    kind = f"label {label}, dim int, cid bigint, size bigint, vec {vec}, filter bigint, filters array<bigint>"
     return classes.mapInArrow(decode, kind)
 
 
+def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return values / np.linalg.norm(values, axis=1, keepdims=True)
+
+
 def _first_shared(filters: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, at: int) -> np.ndarray:
     """Which pairs share no filter below ``at``: those are counted here, and nowhere else."""
     below = [f[f < at] for f in filters]
@@ -135,9 +165,8 @@ def _first_shared(filters: list[np.ndarray], rows: np.ndarray, cols: np.ndarray,
     return ~((held @ held.T)[rows, cols] > 0)
 
 
-def _group_links(ids, sizes, vectors, filters, blocks, at: int, cosine: float):
+def _group_links(ids, sizes, unit, filters, blocks, at: int, cosine: float):
     """Verified links of one group: per linked class the other rows it gains, and the smallest class it reaches."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     rows, cols = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
     if blocks[0] != blocks[1]:  # pairs inside a block are another group's
         across = (blocks[2][rows] != blocks[2][cols])
@@ -161,10 +190,13 @@ def _group_links(ids, sizes, vectors, filters, blocks, at: int, cosine: float):
 def _links(filtered: DataFrame, cosine: float, block: int) -> DataFrame:
     """``(cid, gained, least)`` of every group; groups of a crowded filter are pairs of its blocks."""
     key = ["label", "dim", "filter"]
-    crowded = filtered.groupBy(*key).agg(F.count("*").alias("n"))
-    placed = filtered.join(crowded, key).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn(
+    crowded = filtered.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    crowded = written(crowded.select(*key, F.ceil(F.col("n") / block).alias("blocks")), "crowded")
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    placed = filtered.join(crowded, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))).withColumn(
         "own", F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    ).where("n > 1")
+    )
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         *key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "size", "vec", "filters"
     )
@@ -179,10 +211,10 @@ def _links(filtered: DataFrame, cosine: float, block: int) -> DataFrame:
                     continue
                 part = table.slice(lo, hi - lo).combine_chunks()
                 dim = int(names[lo, 1])
-                vectors = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                unit = unit_rows(part.column("vec").combine_chunks(), dim)
                 filters = [np.asarray(f, dtype=np.int64) for f in part.column("filters").to_pylist()]
                 pair = (names[lo, 3], names[lo, 4], part.column("own").to_numpy())
-                hit = _group_links(part.column("cid").to_numpy(), part.column("size").to_numpy(), vectors, filters,
+                hit = _group_links(part.column("cid").to_numpy(), part.column("size").to_numpy(), unit, filters,
                                    pair, int(names[lo, 2]), cosine)
                 if hit:
                     found.append(hit)
@@ -222,8 +254,8 @@ def near_duplicate_vectors(
     neither (component_id null, kept false). Equal vectors are one class, linked without being compared; a vec_id's
     repeated rows are one vector. Other columns are not read; an empty table gives an empty result.
 
-    ``shared`` filters are expected in common at the similarity limit (more above it), so a linked pair is missed with
-    a chance of some exp(-shared) there; every link returned is exact.
+    ``shared`` filters of each of the ``CODES`` codes are expected in common at the similarity limit, more above it.
+    Every link returned is exact; the share of links found is measured in the tests and the README.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2048)
@@ -234,13 +266,15 @@ def near_duplicate_vectors(
         .groupBy("k1", "k2")
         .agg(F.min("vec_id").alias("cid"), F.count_distinct("vec_id").alias("size"),
              F.first("embedding").alias("embedding"), F.first("label").alias("label"))
-        .withColumn("vec", F.col("embedding").cast("array<double>"))
-        .withColumn("dim", F.size("vec"))
-        .drop("embedding"),
+        .withColumnRenamed("embedding", "vec")
+        .withColumn("dim", F.size("vec")),
         "vector-classes",
     )
     crowd = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    codes = {r["dim"]: ProductCode.design(r["dim"], r["n"], min_cosine, shared=shared, seed=seed) for r in crowd}
+    codes = {
+        r["dim"]: [ProductCode.design(r["dim"], r["n"], min_cosine, shared=shared, seed=seed + k) for k in range(CODES)]
+        for r in crowd
+    }
     links = written(_links(_filtered(classes, codes), min_cosine, block), "vector-links")
     gained = links.groupBy("cid").agg(F.sum("gained").alias("gained"))
     member = connected_components(links.select(F.col("cid").alias("a"), F.col("least").alias("b")))
