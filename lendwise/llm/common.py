@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from lendwise.session import ensure_checkpoint_dir
 
 ARROW_ROWS = 512
 _SHIPPED: set[str] = set()
+_RESIDENT: dict = {}
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,15 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def resident(key: object, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps between tasks, such as a model with its word cache. Workers outlive a stage,
+    so only the last one asked for is kept."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn from (a null id hashes as the empty string)."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 == 0

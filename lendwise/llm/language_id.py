@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.llm.common import fresh, held_out, small_batches
+from lendwise.llm.common import fresh, held_out, resident, small_batches
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -141,20 +141,19 @@ def train_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS, smoothin
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of each word when every change of label costs ``switch``; ties go to staying, then to the first."""
-    n, width = scores.shape
-    back = np.zeros((n, width), dtype=np.int64)
-    value = scores[0].copy()
-    own = np.arange(width)
-    for t in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - switch
-        back[t] = np.where(value >= moved, own, top)
-        value = np.maximum(value, moved) + scores[t]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    rows = scores.tolist()  # a few languages: plain numbers beat arrays step by step
+    value = rows[0]
+    before, tops = [], []
+    for row in rows[1:]:
+        best = max(value)
+        moved = best - switch
+        before.append(value)
+        tops.append((value.index(best), moved))
+        value = [(v if v >= moved else moved) + s for v, s in zip(value, row)]
+    path = [value.index(max(value))]
+    for was, (top, moved) in zip(reversed(before), reversed(tops)):
+        path.append(path[-1] if was[path[-1]] >= moved else top)
+    return np.array(path[::-1])
 
 
 def label_words(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -177,17 +176,21 @@ class Tagger:
     """Labels texts with a model; word scores are kept in a bounded cache."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.index, self.table = model, {}, np.zeros((0, len(model.languages)))
+        self.model, self.index, self.table = model, {}, np.zeros((1024, len(model.languages)))
 
     def _rows(self, found: list[list[str]]) -> None:
-        unseen = list({w for words in found for w in words if w not in self.index})
+        words = set().union(*found)
+        unseen = list(words.difference(self.index))
         if len(self.index) + len(unseen) > CACHE_WORDS:
-            self.index, self.table = {}, self.table[:0]
-            unseen = list({w for words in found for w in words})
+            self.index, unseen = {}, list(words)
         if unseen:
-            base = len(self.table)
-            self.table = np.vstack([self.table, self.model.word_scores(unseen)])
-            self.index.update(zip(unseen, range(base, base + len(unseen))))
+            base, top = len(self.index), len(self.index) + len(unseen)
+            if top > len(self.table):
+                grown = np.zeros((2 * top, self.table.shape[1]))
+                grown[:base] = self.table[:base]
+                self.table = grown
+            self.table[base:top] = self.model.word_scores(unseen)
+            self.index.update(zip(unseen, range(base, top)))
 
     def tag(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """Per text: language, its share of the letters, and spans (language, start, end) in code points."""
@@ -218,17 +221,6 @@ class Tagger:
         return out
 
 
-_TAGGERS: dict[str, Tagger] = {}
-
-
-def _tagger(model: LanguageModel) -> Tagger:
-    """The worker's tagger for a model; its word cache outlives a task."""
-    if model.key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[model.key] = Tagger(model)
-    return _TAGGERS[model.key]
-
-
 RESULT = "struct<lang:string, score:double, spans:array<struct<lang:string, start:int, end:int>>>"
 
 
@@ -237,7 +229,8 @@ def language_of(text: Column, model: Broadcast) -> Column:
 
     @F.pandas_udf(RESULT)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tagger = _tagger(model.value)
+        held = model.value
+        tagger = resident(held.key, lambda: Tagger(held))
         for batch in batches:
             done = []
             texts = [t if isinstance(t, str) else None for t in batch]

@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.llm.common import small_batches
+from lendwise.llm.common import resident, small_batches
 
 SEQ_LEN = 2048
 GROUP_PIECES = 4096
 END_ID = 1
 FLUSH_BYTES = 8 << 20
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
 #: The pre-tokenizer's own pattern, and characters that its normaliser only lower-cases: fixed values of the vocabulary.
@@ -97,22 +97,13 @@ class WordTokenizer:
         return [self._direct([t])[0] if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, split)]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids, doc_tokens)`` of at most ``seq_len`` ids; a null text is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = resident(("tokenizer", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         for batch in batches:
             row, start, ids, total, held = [], [], [], [], 0
 

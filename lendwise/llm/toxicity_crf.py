@@ -13,6 +13,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.llm.common import content_key, held_out, small_batches, written
+from lendwise.llm.common import content_key, held_out, resident, small_batches, written
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -218,11 +219,11 @@ class Scorer:
         found = [WORDS.findall(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        for word in {w for words in found for w in words if w not in self.cache}:
+        for word in set().union(*found).difference(self.cache):
             self.cache[word] = self.model.unary(word.lower())
         lengths = np.array([len(words) for words in found], dtype=np.int64)
         get = self.cache.__getitem__
-        unary = np.fromiter((get(w) for words in found for w in words), dtype=np.float64, count=int(lengths.sum()))
+        unary = np.fromiter(map(get, chain.from_iterable(found)), dtype=np.float64, count=int(lengths.sum()))
         p = marginals(unary, lengths, self.model.trans)
         out, at = [], 0
         for text, n in zip(texts, lengths):
@@ -240,23 +241,16 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
 RESULT = "struct<score:double, features:array<double>, spans:array<struct<start:int, end:int>>>"
 
 
-def _scorer(model: ToxicModel) -> Scorer:
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
-
-
 def toxicity_of(text: Column, model: Broadcast) -> Column:
     """Struct column (score, features, spans) for a text column; ``model`` is a broadcast ``ToxicModel``."""
 
     @F.pandas_udf(RESULT)
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(model.value)
+        held = model.value
+        scorer = resident(held.key, lambda: Scorer(held))
         for batch in batches:
             texts, done = [t if isinstance(t, str) else None for t in batch], []
             for at in range(0, len(texts), 64):
