@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lendwise.llm.common import content_key, small_batches, written
 
 PAGE_BLOCK = 64
+TASK_PAGES = 2048
 COPY_SHARE = 0.8
 BROADCAST_ROWS = 50_000
 
@@ -232,8 +233,9 @@ def _line_rows(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html", k1.alias("k1"), k2.alias("k2")).mapInPandas(read, kind)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds ``n``, the row's number along host, path and key: sorted by range, then offset by the ranges' sizes."""
+def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Adds ``n``, the row's number along host, path and key: sorted by range, then offset by the ranges' sizes. Also
+    returns how many rows there are."""
     order = ["host", "path", "k1", "k2"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(ranged.withColumn("place", F.monotonically_increasing_id()), "pages")
@@ -245,13 +247,14 @@ def _numbered(rows: DataFrame) -> DataFrame:
         total += r["n"]
     offsets = placed.sparkSession.createDataFrame(starts or [(0, 0)], "part bigint, base bigint")
     within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("n", F.col("base") + within)
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("n", F.col("base") + within), total
 
 
 def shared_line_positions(pages: DataFrame, page_block: int = PAGE_BLOCK) -> DataFrame:
     """``(k1, k2, gone)``: for pages with lines to delete, their positions among the page's blocks."""
     own = F.floor(F.col("n") / page_block)
-    rows = _numbered(_line_rows(pages).dropDuplicates(["k1", "k2"])).withColumn(
+    numbered, total = _numbered(_line_rows(pages).dropDuplicates(["k1", "k2"]))
+    rows = numbered.withColumn(
         "group",
         F.explode(F.array_distinct(F.array(own, F.floor((F.col("n") - 1) / page_block), F.floor((F.col("n") + 1) / page_block)))),
     )
@@ -276,9 +279,9 @@ def shared_line_positions(pages: DataFrame, page_block: int = PAGE_BLOCK) -> Dat
                 break
         return pd.DataFrame(out, columns=["k1", "k2", "gone"])
 
-    return rows.where(F.col("host") != "").select("k1", "k2", "host", "path", "lines", "inside", "n", "group").groupBy(
-        "group"
-    ).applyInPandas(pair, "k1 bigint, k2 bigint, gone array<int>")
+    return rows.where(F.col("host") != "").select("k1", "k2", "host", "path", "lines", "inside", "n", "group").repartition(
+        total // TASK_PAGES + 1, "group"  # light rows, but slow to compare
+    ).groupBy("group").applyInPandas(pair, "k1 bigint, k2 bigint, gone array<int>")
 
 
 def main_text(page: str | None, gone: list[int] | None = None) -> str:
