@@ -22,7 +22,7 @@ SEQ_LEN = 2048
 GROUP_PIECES = 4096
 END_ID = 1
 FLUSH_BYTES = 8 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
 #: The pre-tokenizer's own pattern, and characters that its normaliser only lower-cases: fixed values of the vocabulary.
