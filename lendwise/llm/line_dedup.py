@@ -17,6 +17,7 @@ from lendwise.llm.common import content_key, fresh, written
 
 MIN_SITES = 10
 LG_K = 12
+SALTS = 32
 BLANK = " \t\r"
 
 
@@ -37,6 +38,16 @@ def _row_key() -> list[Column]:
     return [k1.alias("k1"), k2.alias("k2")]
 
 
+def _salted_join(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """``lines`` joined with one row per line hash, a hash's occurrences dealt over ``SALTS`` keys by document.
+
+    Each row of ``few`` is repeated for every salt; it stands for ``MIN_SITES`` occurrences or more, so that the
+    repeats stay in proportion to the lines.
+    """
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"]).drop("salt")
+
+
 def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """Line hashes ``(h1, h2)`` that at least ``min_sites`` distinct sites show, from ``lines(h1, h2, site)``."""
     margin = max(1, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites))
@@ -73,12 +84,12 @@ def remove_boilerplate_lines(
     """
     lines = written(_line_table(docs), "lines")
     widespread = widespread_lines(lines, min_sites, lg_k)
-    found = lines.join(widespread, ["h1", "h2"])
+    found = _salted_join(lines, widespread)
     if keep_first:
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "pos")
         found = written(found, "found")
         first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        found = found.join(first, ["h1", "h2"]).where(
+        found = _salted_join(found, first).where(
             ~((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("pos") == F.col("first.pos")))
         )
     drop, k1, k2 = (fresh(docs, n) for n in ("drop", "k1", "k2"))
