@@ -225,7 +225,10 @@ RESULT = "struct<lang:string, score:double, spans:array<struct<lang:string, star
 
 
 def language_of(text: Column, model: Broadcast) -> Column:
-    """Struct column (lang, score, spans) for a text column; ``model`` is a broadcast ``LanguageModel``."""
+    """Struct column (lang, score, spans) for a text column; ``model`` is a broadcast ``LanguageModel``.
+
+    Marked as non-deterministic, so that a filter on the result is not pushed below it with a second evaluation.
+    """
 
     @F.pandas_udf(RESULT)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -241,7 +244,7 @@ def language_of(text: Column, model: Broadcast) -> Column:
                  "spans": [[{"lang": a, "start": b, "end": c} for a, b, c in d[2]] for d in done]}
             )
 
-    return tag(text)
+    return tag.asNondeterministic()(text)
 
 
 def identify_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
