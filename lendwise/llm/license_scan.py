@@ -4,6 +4,10 @@ Templates are winnowed into fingerprints (hashes of word triples, the smallest o
 inverted index from fingerprint to template and position. A document's fingerprints look up candidate templates and
 the diagonals on which they lie; each candidate region is aligned with its template in a band around the diagonal, and
 the share of matched template words and the matched span are reported.
+
+Notices of fewer than ``SHORT_WORDS`` words differ in a name, variant or version only. They are looked up by every pair
+of words that holds such a word, and a match must show their distinguishing phrases (``PHRASES``) word for word. Of
+matches that overlap, the one that explains most stays: matched template words less the missing ones.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ GRAM = 3
 WINNOW = 3
 BAND = 8
 MIN_COVERAGE = 0.8
+SHORT_WORDS = 20
+MIN_HITS = 0.1
 MAX_TEMPLATE_BYTES = 16 << 20
 WORDS = re.compile(r"[a-z0-9]+")
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 
 #: Public license texts and notices: fixed values.
 TEMPLATES = {
@@ -78,6 +85,34 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: What a short notice says of its license, as opposed to how it says so: fixed values. A template takes all that it holds.
+PHRASES = tuple(
+    "mit license;mit licensed;isc license;bsd license;2 clause;3 clause;simplified bsd;new bsd;apache license;apache 2 0;version 1;"
+    "version 2;version 2 0;version 2 1;version 3;version 3 0;gnu general public license;gnu lesser general public license;"
+    "gnu library general public license;gnu affero general public license;gplv2;gplv3;lgplv2;lgplv3;agplv3;mozilla public license;"
+    "v 2 0;mpl 2 0;creative commons attribution;creative commons zero;cc0;cc0 1 0;public domain;attribution 4 0;"
+    "attribution 3 0;sharealike 4 0;sharealike 3 0;attribution sharealike;attribution noncommercial;noncommercial 4 0;"
+    "noncommercial 3 0;noncommercial sharealike;noncommercial noderivatives;noderivatives 4 0;noderivatives 3 0;"
+    "attribution noderivatives;cc by;cc by 4 0;cc by 3 0;cc by sa 4 0;cc by sa 3 0;cc by nc 4 0;cc by nc 3 0;cc by nd 4 0;"
+    "cc by nd 3 0;cc by nc sa 4 0;cc by nc sa 3 0;cc by nc nd 4 0;cc by nc nd 3 0;sil open font license;version 1 1;unlicense".split(";")
+)
+
+
+def _words(lower: str) -> list[str]:
+    return [SPELLINGS.get(w, w) for w in WORDS.findall(lower)]
+
+
+def _places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Where ``phrase`` stands in ``ids``."""
+    if len(phrase) > len(ids):
+        return np.zeros(0, np.int64)
+    return np.nonzero((np.lib.stride_tricks.sliding_window_view(ids, len(phrase)) == phrase).all(axis=1))[0]
+
+
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    """A value for every two neighbouring words; -1 where one is no template word."""
+    return np.where((ids[:-1] > 0) & (ids[1:] > 0), (ids[:-1] << 32) | ids[1:], -1)
+
 
 def _grams(ids: np.ndarray) -> np.ndarray:
     """Hash of every word triple; the largest value where a word is no template word (no template holds it)."""
@@ -110,45 +145,85 @@ class Index:
     words: dict[str, int]
     hashes: np.ndarray
     postings: dict[int, list[tuple[int, int]]]
+    pairs: np.ndarray
+    pair_postings: dict[int, list[tuple[int, int]]]
+    phrases: dict[int, list[np.ndarray]]
+    needed: list[int]
 
     @classmethod
     def build(cls, templates: dict[str, str]) -> Index:
         if sum(len(t) for t in templates.values()) > MAX_TEMPLATE_BYTES:
             raise ValueError(f"templates are sent to every executor: at most {MAX_TEMPLATE_BYTES} characters in all")
         words: dict[str, int] = {}
-        names, tokens, postings = sorted(templates), [], defaultdict(list)
+        names, tokens, postings, pair_postings, phrases, needed = sorted(templates), [], defaultdict(list), defaultdict(list), {}, []
         for t, name in enumerate(names):
-            own = np.array([words.setdefault(w, len(words) + 1) for w in WORDS.findall(templates[name].lower())], np.int64)
+            own = np.array([words.setdefault(w, len(words) + 1) for w in _words(templates[name].lower())], np.int64)
             tokens.append(own)
+            if GRAM <= len(own) < SHORT_WORDS:
+                marked = np.zeros(len(own), bool)
+                phrases[t] = []
+                for phrase in PHRASES:
+                    ids = np.array([words.get(w, 0) for w in phrase.split()], np.int64)
+                    if len(at := _places(own, ids)):
+                        phrases[t].append(ids)
+                        for k in at:
+                            marked[k : k + len(ids)] = True
+                if not marked.any():  # a template of a caller's, without a known phrase
+                    marked[:] = True
+                for at, pair in enumerate(_pairs(own).tolist()):
+                    if marked[at] or marked[at + 1]:
+                        pair_postings[pair].append((t, at))
+                needed.append(1)
+                continue
             grams = _grams(own)
-            for at in winnow(grams).tolist():
+            chosen = winnow(grams).tolist()
+            needed.append(max(1, int(MIN_HITS * len(chosen))))
+            for at in chosen:
                 postings[int(grams[at])].append((t, at))
-        return cls(names, tokens, words, np.array(sorted(postings), dtype=np.uint64), dict(postings))
+        return cls(names, tokens, words, np.array(sorted(postings), dtype=np.uint64), dict(postings),
+                   np.array(sorted(pair_postings), dtype=np.int64), dict(pair_postings), phrases, needed)
 
     def regions(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """Candidates (template, lowest and highest diagonal) with hits close together."""
-        grams = _grams(ids)
-        chosen = winnow(grams)
-        if not len(chosen) or not len(self.hashes):
-            return []
-        place = np.searchsorted(self.hashes, grams[chosen])
-        hit = chosen[(place < len(self.hashes)) & (self.hashes[np.minimum(place, len(self.hashes) - 1)] == grams[chosen])]
-        diagonals = defaultdict(list)
-        for at in hit.tolist():
-            for t, pos in self.postings[int(grams[at])]:
-                diagonals[t].append(at - pos)
+        """Candidates (template, lowest and highest diagonal) with hits close together: of a long template, at least
+        ``MIN_HITS`` of its fingerprints."""
+        diagonals = defaultdict(set)
+        for values, places, postings in self._looked_up(ids):
+            for value, at in zip(values, places):
+                for t, pos in postings[value]:
+                    diagonals[t].add((at - pos, pos))
         out = []
         for t, found in diagonals.items():
-            found = sorted(set(found))
-            low = high = found[0]
-            for d in found[1:]:
-                if d - low > BAND:
-                    out.append((t, low, high))
-                    low = d
-                high = d
-            out.append((t, low, high))
+            reach, need = max(BAND, len(self.tokens[t]) // 100), self.needed[t]
+            found = sorted(found)
+            start = 0
+            for k in range(1, len(found) + 1):
+                if k == len(found) or found[k][0] - found[start][0] > reach:
+                    if len({pos for _, pos in found[start:k]}) >= need:
+                        out.append((t, found[start][0], found[k - 1][0]))
+                    start = k
         return out
 
+    def _looked_up(self, ids: np.ndarray) -> Iterator[tuple[list[int], list[int], dict]]:
+        grams = _grams(ids)
+        for values, places, known, postings in (
+            (grams, winnow(grams), self.hashes, self.postings),
+            (_pairs(ids), np.arange(max(len(ids) - 1, 0)), self.pairs, self.pair_postings),
+        ):
+            if len(places) and len(known):
+                found = values[places]
+                hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                yield found[hit].tolist(), places[hit].tolist(), postings
+
+    def core(self, t: int, ids: np.ndarray, first: int, last: int) -> tuple[int, int] | None:
+        """From the first to the last word of a match that tell its license: a short template's phrases, none if one
+        is not there; all of a long template."""
+        if t not in self.phrases:
+            return first, last
+        found = [(_places(ids[first : last + 1], p), len(p)) for p in self.phrases[t]]
+        if not all(len(at) for at, _ in found):
+            return None
+        return (first + min(int(at[0]) for at, _ in found), first + max(int(at[0]) + n - 1 for at, n in found)) if found else (first, last)
+
 
 def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Most template words matched in order within a band around the diagonals: (matched, first word, last word).
@@ -180,28 +255,28 @@ def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[i
 
 
 def scan_text(index: Index, text: str | None, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, float, int, int]]:
-    """Matches (license, coverage, start, end in code points), by place; of overlapping matches of one template the
-    best one stays."""
+    """Matches (license, coverage, start, end in code points), by place; of matches whose telling words overlap the one
+    that explains most stays, so a text that holds another one's words is reported alone."""
     if not text:
         return []
     lower = text.lower()
     if len(lower) != len(text):  # a few characters grow in lower case: offsets stay those of the text itself
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    ids = np.fromiter((index.words.get(w, 0) for w in WORDS.findall(lower)), dtype=np.int64)
+    ids = np.fromiter((index.words.get(w, 0) for w in _words(lower)), dtype=np.int64)
     found = []
     for t, low, high in index.regions(ids):
         template = index.tokens[t]
         matched, first, last = align(template, ids, low, high)
-        if matched >= min_coverage * len(template):
-            found.append((matched / len(template), t, first, last))
-    kept: list[tuple[float, int, int, int]] = []
-    for match in sorted(set(found), key=lambda m: (-m[0], m[3] - m[2], m[1], m[2])):
-        if not any(k[1] == match[1] and k[2] <= match[3] and match[2] <= k[3] for k in kept):
+        if matched >= min_coverage * len(template) and (core := index.core(t, ids, first, last)):
+            found.append((matched / len(template), t, first, last, core))
+    kept: list[tuple[float, int, int, int, tuple[int, int]]] = []
+    for match in sorted(set(found), key=lambda m: ((1 - 2 * m[0]) * len(index.tokens[m[1]]), m[3] - m[2], m[1], m[2])):
+        if not any(k[4][0] <= match[4][1] and match[4][0] <= k[4][1] for k in kept):
             kept.append(match)
     if not kept:
         return []
     places = [m.span() for m in WORDS.finditer(lower)]
-    spans = [(index.names[t], c, places[a][0], places[b][1]) for c, t, a, b in kept if b < len(places)]
+    spans = [(index.names[t], c, places[a][0], places[b][1]) for c, t, a, b, _ in kept if b < len(places)]
     return sorted(spans, key=lambda m: (m[2], m[3], m[0]))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendwise.llm import license_scan as LS
 from lendwise.llm import line_dedup as LD
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -46,3 +47,23 @@ def test_long_passages_on_few_sites(spark):
     out = LD.remove_boilerplate_lines(docs(spark, rows))
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == expect
     assert out.agg(F.sum("lines_removed")).first()[0] == sum(t.count(p) for p in wide for _, t, _, _ in rows) - len(wide)
+
+
+# --- 3 license scans -------------------------------------------------------------------------------
+
+
+def licenses(text, templates=None):
+    return {m[0] for m in LS.scan_text(LS.Index.build(templates or LS.TEMPLATES), text)}
+
+
+def test_short_notices_need_their_distinguishing_words():
+    assert licenses("Text is Licensed under CC BY-NC 4.0.") == {"CC-BY-NC-4.0-notice"}
+    for other in ("Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC-SA 4.0"):
+        assert "CC-BY-NC-4.0-notice" not in licenses(f"Text is {other}.")
+    gpl = LS.TEMPLATES["GPL-3.0-notice"]
+    assert licenses(f"so {gpl} so") == {"GPL-3.0-notice"}
+    assert "GPL-3.0-notice" not in licenses(gpl.replace("version 3", "version 2"))
+    assert "GPL-3.0-notice" not in licenses(gpl.replace("GNU General", "GNU Lesser General"))
+    for mit in ("It is released under MIT license.", "Released under the MIT Licence", "released under the MIT License"):
+        assert licenses(mit) == {"MIT-notice"}
+    assert licenses("licensed under the MIT License or the Apache License, Version 2.0") == {"MIT-notice", "Apache-2.0-notice"}
