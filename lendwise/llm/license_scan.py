@@ -16,6 +16,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,54 @@ PHRASES = tuple(
 )
 
 
+#: Usual one-line notices by license: fixed values.
+NOTICES = {
+    "MIT": ("Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "Distributed under the MIT License.",
+            "This software is MIT licensed."),
+    "ISC": ("Licensed under the ISC License.", "Released under the ISC License."),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "Released under the Simplified BSD License."),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Released under the New BSD License."),
+    "Apache-2.0": ("Licensed under the Apache 2.0 License.", "Released under the Apache License 2.0.",
+                   "This work is licensed under the Apache License, Version 2.0."),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPLv2.",
+                "Released under the GNU General Public License v2.0."),
+    "GPL-3.0": ("Licensed under the GPLv3.", "Released under the GNU General Public License v3.0."),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.",),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPLv3."),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPLv3."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "Licensed under the Mozilla Public License 2.0.", "Licensed under the MPL 2.0."),
+    "OFL-1.1": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
+    "CC0-1.0": ("Licensed under CC0 1.0.", "This work is dedicated to the public domain under Creative Commons Zero.", "Released under CC0."),
+}
+CREATIVE_COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def catalogue() -> dict[str, str]:
+    """All templates: ``TEMPLATES``, the full texts of the folder ``licenses`` (their terms, without preamble and
+    appendix; read by the driver only) and the usual notices (``-notice-2`` and so on)."""
+    found = dict(TEMPLATES)
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        found[path.stem] = path.read_text(encoding="utf-8")
+    notices = [(name, text) for name, texts in NOTICES.items() for text in texts]
+    for kind, title in CREATIVE_COMMONS.items():
+        for version, port in (("4.0", "International"), ("3.0", "Unported")):
+            name = f"CC-{kind}-{version}"
+            notices += [(name, f"Licensed under CC {kind} {version}."), (name, f"Licensed under a Creative Commons {title} {version} {port} License."),
+                        (name, f"This work is licensed under a Creative Commons {title} {version} {port} License.")]
+    for name, text in notices:
+        at = 1
+        while (key := f"{name}-notice" + (f"-{at}" if at > 1 else "")) in found:
+            at += 1
+        if text not in found.values():
+            found[key] = text
+    return found
+
+
 def _words(lower: str) -> list[str]:
     return [SPELLINGS.get(w, w) for w in WORDS.findall(lower)]
 
@@ -289,7 +338,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    index = spark.sparkContext.broadcast(Index.build(TEMPLATES if templates is None else templates))
+    index = spark.sparkContext.broadcast(Index.build(catalogue() if templates is None else templates))
     match = "struct<license:string, coverage:double, start:int, end:int>"
 
     @F.pandas_udf(f"array<{match}>")

@@ -67,3 +67,16 @@ def test_short_notices_need_their_distinguishing_words():
     for mit in ("It is released under MIT license.", "Released under the MIT Licence", "released under the MIT License"):
         assert licenses(mit) == {"MIT-notice"}
     assert licenses("licensed under the MIT License or the Apache License, Version 2.0") == {"MIT-notice", "Apache-2.0-notice"}
+
+
+def test_each_license_text_is_reported_as_itself():
+    templates = LS.catalogue()
+    index = LS.Index.build(templates)
+    for name, text in templates.items():
+        got = LS.scan_text(index, f"Some words before. {text} Some words after.")
+        assert [m[0] for m in got] == [name] and got[0][1] == 1.0, (name, got)
+    names = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"}
+    assert {f"{n}-text" for n in names} <= set(templates)
+    edited = templates["BSD-3-Clause-text"].replace("copyright holder", "Foundation").replace("COPYRIGHT HOLDERS", "AUTHORS")
+    assert [m[0] for m in LS.scan_text(index, edited)] == ["BSD-3-Clause-text"]
+    assert LS.scan_text(index, "The man of the house is in the city, as well as one of the others.") == []
