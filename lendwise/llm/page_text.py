@@ -50,40 +50,54 @@ MARKS = frozenset(
     "notices pagination popup promo promotion promoted recommended related replies reply respond share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: A class or id with one of these words tells what an element around it has or lacks, as has-sidebar or no-comments.
+ABOUT = frozenset("has have no non not with without".split())
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?])[^>]*+(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|\Z)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _left_out(name: str, attrs: str) -> bool:
+def _left_out(name: str, attrs: str) -> str:
+    """Why an element is left out: ``element`` by what it is, ``mark`` by its class or id; empty if it stays."""
     if name in LEFT_OUT:
-        return True
+        return "element"
+    why = ""
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "element"
         if key == "role" and value.lower() in ROLES:
-            return True
+            return "element"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "element"
         if key in ("class", "id") and name not in UNMARKED:
-            words = value.split() if name in CONTENT else _WORD.findall(value)
-            if not MARKS.isdisjoint(w.lower() for w in words):
-                return True
-    return False
+            for token in value.split():
+                words = {token.lower()} if name in CONTENT else {w.lower() for w in _WORD.findall(token)}
+                if not MARKS.isdisjoint(words) and ABOUT.isdisjoint(words):
+                    why = "mark"
+    return why
 
 
 def page_blocks(page: str | None) -> list[tuple[str, bool]]:
     """The page's text blocks that no element leaves out, and whether each stands inside an article or main element.
 
     Tags without an end, ends without a tag and a page cut anywhere are taken as they come; the first
-    article, if it begins inside an unclosed menu or notice, ends that.
+    article, if it begins inside an unclosed menu or notice, ends that. On a page without article, an element that holds
+    more than half of the page's text stays whatever its class or id.
     """
+    blocks, main = _blocks(page, frozenset())
+    return _blocks(page, main)[0] if main and not any(p for _, p in blocks) else blocks
+
+
+def _blocks(page: str | None, main: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+    """Blocks, and where the elements start that class or id leave out though they hold most of the text; ``main`` are
+    such elements, to stay."""
     blocks: list[tuple[str, bool]] = []
     held: list[str] = []
-    open_tags: list[tuple[str, bool]] = []  # name, and whether it starts a part that is left out
-    skipped = inside = articles = 0
+    open_tags: list[tuple[str, bool, int, int]] = []  # name, whether it starts a part left out, mark's place, text before
+    skipped = inside = articles = seen = 0
+    marked: list[tuple[int, int]] = []  # text inside, and place, of elements left out by class or id
     at, page = 0, page or ""
 
     def flush() -> None:
@@ -92,14 +106,18 @@ def page_blocks(page: str | None) -> list[tuple[str, bool]]:
             blocks.append((text, inside > 0))
         held.clear()
 
+    def ended(place: int, before: int) -> None:
+        if place >= 0:
+            marked.append((seen - before, place))
+
     while at < len(page):
         start = page.find("<", at)
+        stop = len(page) if start < 0 else start
+        seen += stop - at
+        if not skipped:
+            held.append(page[at:stop])
         if start < 0:
-            if not skipped:
-                held.append(page[at:])
             break
-        if not skipped:
-            held.append(page[at:start])
         tag = _TAG.match(page, start)
         if not tag:
             if not skipped:
@@ -116,9 +134,10 @@ def page_blocks(page: str | None) -> list[tuple[str, bool]]:
         if name not in INLINE and not skipped:
             flush()
         if tag["close"]:
-            if any(n == name for n, _ in open_tags):
+            if any(n == name for n, *_ in open_tags):
                 while True:
-                    n, hides = open_tags.pop()
+                    n, hides, place, before = open_tags.pop()
+                    ended(place, before)
                     skipped -= hides
                     inside -= n in CONTENT
                     if n == name:
@@ -130,20 +149,23 @@ def page_blocks(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in VOID or (tag["attrs"] or "").endswith("/") and name in ("svg", "path"):
             continue
-        hides = _left_out(name, tag["attrs"] or "")
+        why = _left_out(name, tag["attrs"] or "")
+        hides = bool(why) and start not in main
         if name in CONTENT and not hides:
             if skipped and not articles:
                 open_tags.clear()  # an unclosed menu before the first article
                 skipped = 0
             articles += 1
-        if name in ("p", "li") and open_tags and open_tags[-1] == (name, False):
+        if name in ("p", "li") and open_tags and open_tags[-1][:2] == (name, False):
             open_tags.pop()
-        open_tags.append((name, hides))
+        open_tags.append((name, hides, start if hides and why == "mark" else -1, seen))
         skipped += hides
         inside += name in CONTENT
     if not skipped:
         flush()
-    return blocks
+    for _, _, place, before in open_tags:
+        ended(place, before)
+    return blocks, frozenset(place for size, place in marked if 2 * size > seen)
 
 
 def line_hash(line: str) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lendwise.llm import license_scan as LS
 from lendwise.llm import line_dedup as LD
+from lendwise.llm import page_text as PT
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -80,3 +81,21 @@ def test_each_license_text_is_reported_as_itself():
     edited = templates["BSD-3-Clause-text"].replace("copyright holder", "Foundation").replace("COPYRIGHT HOLDERS", "AUTHORS")
     assert [m[0] for m in LS.scan_text(index, edited)] == ["BSD-3-Clause-text"]
     assert LS.scan_text(index, "The man of the house is in the city, as well as one of the others.") == []
+
+
+# --- 4 page text -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("attrs", [
+    'class="layout has-sidebar"', "class='no-comments'", 'title="the hidden cost"', 'data-hidden="false"', 'data-x="a class=ad"',
+    'id="sidebar"', 'class="widget"', 'data-role="navigation" lang=en',
+])
+def test_attributes_around_the_text(attrs):
+    page = f'<body><div class="ad">buy</div><nav>menu</nav><div {attrs}><p>First words of it.</p><p>Second words.</p></div></body>'
+    assert PT.main_text(page) == "First words of it. Second words."
+
+
+def test_attributes_inside_the_article():
+    page = ('<article><p>see <a href="https://x.org/hidden/gems">gems</a> and <a href="/p?id=share">that</a></p>'
+            '<div class="cookie-banner">we use</div><p hidden>no</p><p class="x" hidden>no</p><p STYLE="display: none">no</p></article>')
+    assert PT.main_text(page) == "see gems and that"
