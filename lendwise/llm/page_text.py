@@ -1,11 +1,13 @@
 """Main text of web pages: markup structure, and differences between pages with the nearest URLs.
 
 A page is read once into blocks. Blocks inside menus, notices, adverts, forms and the like are left out by their
-elements. What remains is compared with the page of the same host whose path is nearest: shared lines, found by a
-longest common subsequence, are the site's own and are deleted, unless they stand inside the article itself.
+elements. What remains is compared with the page of the same host whose path is nearest and which is no copy: shared
+lines, found by a longest common subsequence, are the site's own and are deleted. Inside the article they are deleted
+only if they hold up to half of its characters; otherwise both pages hold the same article.
 
-Only hashes of lines travel between pages. Pages are numbered along host and path, and dealt to blocks of consecutive
-numbers with one neighbour at either end, so a host with very many pages is spread over many tasks.
+Only hashes and lengths of lines travel between pages. Distinct line lists of a host are numbered along its paths, and
+dealt to blocks of consecutive numbers with ``LOOK`` neighbours at either end, so a host with very many pages is spread
+over many tasks, and copies, exact ones in any number and some edited ones, do not hide the next page.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from lendwise.llm.common import content_key, small_batches, written
 PAGE_BLOCK = 64
 TASK_PAGES = 2048
 COPY_SHARE = 0.8
+ARTICLE_SHARE = 0.5
+LOOK = 8
 BROADCAST_ROWS = 50_000
 
 #: Elements by their role in HTML: fixed values.
@@ -205,15 +209,16 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(found)
 
 
-def deleted_lines(own: tuple[np.ndarray, np.ndarray], other: np.ndarray) -> list[int]:
-    """Which lines of a page to delete, given its line hashes, which of them are protected, and the partner's hashes.
-
-    A partner that shares most lines is a copy of the page and shows nothing about the site."""
-    lines, protected = own
+def deleted_lines(lines: np.ndarray, inside: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> list[int] | None:
+    """Which lines of a page to delete, given its line hashes, which of them stand inside the article, their lengths, and
+    the partner's hashes. None if the partner shares most lines: a copy of the page shows nothing about the site."""
     shared = common_lines(lines, other)
     if len(shared) >= COPY_SHARE * max(len(lines), len(other), 1):
-        return []
-    return [i for i in shared if not protected[i]]
+        return None
+    in_article = [i for i in shared if inside[i]]
+    if sizes[in_article].sum() > ARTICLE_SHARE * sizes[inside].sum():
+        return [i for i in shared if not inside[i]]
+    return shared
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -239,7 +244,7 @@ def nearness(a: str, b: str) -> int:
 
 
 def _line_rows(pages: DataFrame) -> DataFrame:
-    """Light rows: host, path and line hashes of each page."""
+    """Light rows: host, path, line hashes and lengths of each page, and a key ``(c1, c2)`` of its host and lines."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -247,18 +252,21 @@ def _line_rows(pages: DataFrame) -> DataFrame:
             urls = [split_url(u) for u in batch["url"]]
             yield pd.DataFrame(
                 {"k1": batch["k1"], "k2": batch["k2"], "host": [u[0] for u in urls], "path": [u[1] for u in urls],
-                 "lines": [[line_hash(t) for t, _ in b] for b in blocks], "inside": [[p for _, p in b] for b in blocks]}
+                 "lines": [[line_hash(t) for t, _ in b] for b in blocks], "inside": [[p for _, p in b] for b in blocks],
+                 "sizes": [[len(t) for t, _ in b] for b in blocks]}
             )
 
     k1, k2 = content_key("page_id", "url", "html")
-    kind = "k1 bigint, k2 bigint, host string, path string, lines array<bigint>, inside array<boolean>"
-    return pages.select("url", "html", k1.alias("k1"), k2.alias("k2")).mapInPandas(read, kind)
+    kind = "k1 bigint, k2 bigint, host string, path string, lines array<bigint>, inside array<boolean>, sizes array<int>"
+    found = pages.select("url", "html", k1.alias("k1"), k2.alias("k2")).mapInPandas(read, kind).where("host <> ''")
+    c1, c2 = content_key("host", "lines", "inside")
+    return written(found.withColumn("c1", c1).withColumn("c2", c2), "lines")
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     """Adds ``n``, the row's number along host, path and key: sorted by range, then offset by the ranges' sizes. Also
     returns how many rows there are."""
-    order = ["host", "path", "k1", "k2"]
+    order = ["host", "path", "c1", "c2"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(ranged.withColumn("place", F.monotonically_increasing_id()), "pages")
     part = F.shiftright("place", 33)
@@ -274,36 +282,43 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def shared_line_positions(pages: DataFrame, page_block: int = PAGE_BLOCK) -> DataFrame:
     """``(k1, k2, gone)``: for pages with lines to delete, their positions among the page's blocks."""
-    own = F.floor(F.col("n") / page_block)
-    numbered, total = _numbered(_line_rows(pages).dropDuplicates(["k1", "k2"]))
-    rows = numbered.withColumn(
-        "group",
-        F.explode(F.array_distinct(F.array(own, F.floor((F.col("n") - 1) / page_block), F.floor((F.col("n") + 1) / page_block)))),
-    )
+    lines = _line_rows(pages)
+    light = F.struct("path", "host", "lines", "inside", "sizes")
+    distinct = lines.groupBy("c1", "c2").agg(F.min(light).alias("page")).select("c1", "c2", "page.*")
+    numbered, total = _numbered(distinct)
+    low, high = F.floor((F.col("n") - LOOK) / page_block), F.floor((F.col("n") + LOOK) / page_block)
+    rows = numbered.withColumn("group", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("n").reset_index(drop=True)
         group, out = int(frame["group"].iloc[0]), []
+        hosts, paths, numbers = frame["host"].tolist(), frame["path"].tolist(), frame["n"].tolist()
         for i in range(len(frame)):
             row = frame.iloc[i]
             if row["n"] // page_block != group or not len(row["lines"]):
                 continue
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(frame) and frame["host"][j] == row["host"]]
-            near.sort(key=lambda j: -nearness(row["path"], frame["path"][j]))
+            near = [i + d * side for d in range(1, LOOK + 1) for side in (-1, 1)]
+            near = [j for j in near if 0 <= j < len(frame) and hosts[j] == hosts[i] and abs(numbers[j] - numbers[i]) <= LOOK]
+            near.sort(key=lambda j: -nearness(paths[i], paths[j]))
+            own, inside, sizes = np.asarray(row["lines"]), np.asarray(row["inside"], bool), np.asarray(row["sizes"])
             for j in near:
-                mine = (np.asarray(row["lines"]), np.asarray(row["inside"]))
-                other = np.asarray(frame["lines"][j])
-                if len(common_lines(mine[0], other)) >= COPY_SHARE * max(len(mine[0]), len(other), 1):
+                gone = deleted_lines(own, inside, sizes, np.asarray(frame["lines"][j]))
+                if gone is None:
                     continue  # a copy: the next nearest page tells more
-                gone = deleted_lines(mine, other)
                 if gone:
-                    out.append((row["k1"], row["k2"], gone))
+                    out.append((row["c1"], row["c2"], gone))
                 break
-        return pd.DataFrame(out, columns=["k1", "k2", "gone"])
+        return pd.DataFrame(out, columns=["c1", "c2", "gone"])
 
-    return rows.where(F.col("host") != "").select("k1", "k2", "host", "path", "lines", "inside", "n", "group").repartition(
-        total // TASK_PAGES + 1, "group"  # light rows, but slow to compare
-    ).groupBy("group").applyInPandas(pair, "k1 bigint, k2 bigint, gone array<int>")
+    found = written(
+        rows.select("c1", "c2", "host", "path", "lines", "inside", "sizes", "n", "group")
+        .repartition(total // TASK_PAGES + 1, "group")  # light rows, but slow to compare
+        .groupBy("group").applyInPandas(pair, "c1 bigint, c2 bigint, gone array<int>"),
+        "found",
+    )
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return lines.select("k1", "k2", "c1", "c2").join(found, ["c1", "c2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "gone")
 
 
 def main_text(page: str | None, gone: list[int] | None = None) -> str:

@@ -99,3 +99,21 @@ def test_attributes_inside_the_article():
     page = ('<article><p>see <a href="https://x.org/hidden/gems">gems</a> and <a href="/p?id=share">that</a></p>'
             '<div class="cookie-banner">we use</div><p hidden>no</p><p class="x" hidden>no</p><p STYLE="display: none">no</p></article>')
     assert PT.main_text(page) == "see gems and that"
+
+
+def test_site_lines_inside_main_and_past_copies(spark):
+    site = "<div>Share this page with friends</div>"
+    inner = "<main>{s}<p>Story {0} tells at length what happened to {0} in the year {0}.</p><p>More about {0} here.</p><div>Imprint</div></main>"
+    bare = "<body><div>Site name</div><p>Body {0} with its own words.</p><p>Rest {0}</p><div>All rights</div></body>"
+    rows = [(i, f"http://m.com/p/{i}", inner.format(f"n{i}", s=site)) for i in range(5)]
+    rows += [(10 + i, f"http://n.com/p/{i}", bare.format("same")) for i in range(12)]  # copies
+    rows += [(30, "http://n.com/q/1", bare.format("other"))]
+    article = "<article><p>One long text that stands on two pages of a site.</p><p>It goes on here.</p></article>"
+    rows += [(40, "http://o.com/a", article + "<p>x1</p><p>x2</p>"), (41, "http://o.com/b", article + "<p>y1</p><p>y2</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in PT.extract_main_text(pages, page_block=4).collect()}
+    for i in range(5):
+        assert got[i] == f"Story n{i} tells at length what happened to n{i} in the year n{i}. More about n{i} here."
+    assert {got[10 + i] for i in range(12)} == {"Body same with its own words. Rest same"}
+    assert got[30] == "Body other with its own words. Rest other"
+    assert got[40] == got[41] == "One long text that stands on two pages of a site. It goes on here."
