@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -263,8 +264,14 @@ def toxicity_of(text: Column, model: Broadcast) -> Column:
     return compute(text)
 
 
+def chosen_windows(marks: np.ndarray, order: int) -> list[int]:
+    """Where up to ``WINDOWS_PER_DOC`` - 1 of a text's windows with marking words begin, pseudorandomly over all of it."""
+    starts = dict.fromkeys(int(t) // WINDOW * WINDOW for t in np.nonzero(marks)[0])
+    return sorted(sorted(starts, key=lambda s: zlib.crc32(b"%d %d" % (order, s)))[: WINDOWS_PER_DOC - 1])
+
+
 def _windows(sample: DataFrame, evidence: dict) -> pd.DataFrame:
-    """Training windows of the sample: around marking words, and of harmless texts a pseudorandom one besides."""
+    """Training windows of the sample: around marking words anywhere in a text, and of harmless texts a pseudorandom one besides."""
     marks = sample.sparkSession.sparkContext.broadcast(frozenset(evidence))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +283,7 @@ def _windows(sample: DataFrame, evidence: dict) -> pd.DataFrame:
                     continue
                 found = token_marks(words, marks.value)
                 tags = found if toxic else np.zeros(len(words), np.int8)
-                starts = list(dict.fromkeys(int(t) // WINDOW * WINDOW for t in np.nonzero(found)[0]))[: WINDOWS_PER_DOC - 1]
+                starts = chosen_windows(found, int(order))
                 if not toxic:  # such words stand in harmless texts too, and most words are harmless
                     starts.append(int(order) % (len(words) // WINDOW + 1) * WINDOW)
                 for s in dict.fromkeys(starts):
@@ -296,12 +303,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     marked = labels.where(
         F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     ).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = marked.count()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    n = texts.select("doc_id").join(marked, "doc_id").count()  # labels can cover more than the documents
     share = int(min(1.0, train_rows / max(n, 1)) * 1_000_000)
     chosen = marked.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1_000_000)) < share)
     k1, k2 = content_key("text")
     sample = written(
-        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id")
+        texts.join(chosen, "doc_id")
         .select("text", "toxic", k1.alias("k1"), k2.alias("k2")),
         "labelled",
     )

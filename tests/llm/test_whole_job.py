@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lendwise.llm import license_scan as LS
 from lendwise.llm import line_dedup as LD
 from lendwise.llm import page_text as PT
+from lendwise.llm import toxicity_crf as TX
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -117,3 +118,28 @@ def test_site_lines_inside_main_and_past_copies(spark):
     assert {got[10 + i] for i in range(12)} == {"Body same with its own words. Rest same"}
     assert got[30] == "Body other with its own words. Rest other"
     assert got[40] == got[41] == "One long text that stands on two pages of a site. It goes on here."
+
+
+# --- 10 toxicity -------------------------------------------------------------------------------------
+
+
+def test_training_windows_over_the_whole_text():
+    marks = np.ones(TX.WINDOW * 40, np.int8)
+    got = [TX.chosen_windows(marks, k) for k in range(50)]
+    assert all(len(set(g)) == TX.WINDOWS_PER_DOC - 1 and g == TX.chosen_windows(marks, k) for k, g in enumerate(got))
+    assert {s for g in got for s in g} == set(range(0, len(marks), TX.WINDOW))
+    assert TX.chosen_windows(marks[: TX.WINDOW + 1], 3) == [0, TX.WINDOW] and TX.chosen_windows(marks[:0], 3) == []
+
+
+def test_sample_is_counted_with_documents(spark, monkeypatch):
+    frame = docs(spark, [(i, f"text {i}", "en", "a") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8000)], "doc_id bigint, toxic int")
+    sizes, real = [], TX.evidence_features
+
+    def seen(sample):
+        sizes.append(sample.count())
+        return real(sample)
+
+    monkeypatch.setattr(TX, "evidence_features", seen)
+    TX.train_toxicity(frame, labels, train_rows=400)
+    assert sizes[0] > 280  # all rows outside the held-out fold
