@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendwise.llm.byte_bpe import decode_ids, encode_texts
 from lendwise.llm.common import table
+from lendwise.llm.conversation_repair import conversation_digests, damaged, repair_conversations
+from lendwise.llm.hard_negatives import mine_hard_negatives
 from lendwise.llm.language_id import identify_languages
 from lendwise.llm.license_scan import scan_licenses
 from lendwise.llm.line_dedup import remove_boilerplate_lines
@@ -73,6 +76,38 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    audits, messages = repair_conversations(damaged(conversations))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = audits.join(conversation_digests(messages).withColumnRenamed("conv_id", "repaired_id"),
+                        F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left").withColumnRenamed("conv_id", "audited_id")
+    every = conversations.select("conv_id").distinct()
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("audited_id")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode_ids(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,5 +121,8 @@ QUERIES = {
         op8_source_mixing,
         op9_simhash_golay,
         op10_toxicity_crf,
+        op11_hard_negatives,
+        op12_conversation_repair,
+        op13_byte_bpe,
     )
 }
