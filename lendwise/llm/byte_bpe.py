@@ -9,8 +9,9 @@ changed since is stale and skipped. A merge costs the same however long the pre-
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -189,27 +190,20 @@ class ByteBpe:
         return [b"".join(self._join([block])[0] for block in self._split(text)) for text in texts]
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids array<int>)`` of every row's whole ``text``, without special tokens.
+Batches = Iterator[pa.RecordBatch]
 
-    A null text counts as empty and gives no ids; bytes that are no UTF-8 count as U+FFFD; characters outside every
-    match of the pattern give no ids. Repeated rows and null ids give rows of their own, an empty table an empty
-    result; other columns are not read. Ranks that lack a single byte raise ``KeyError``. ``ranks_path`` must be
-    readable by that path wherever Python workers run.
-    """
-    small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoding(ranks_path: str, pattern: str) -> Callable[[Batches], Batches]:
+    """What a worker does to encode: batches with ``text`` become the same rows with ``ids`` (a list) in its place."""
+
+    def encode(batches: Batches) -> Batches:
         bpe = resident(("byte-bpe", ranks_path, pattern), lambda: ByteBpe(read_ranks(ranks_path), pattern))
 
         def out(batch: pa.RecordBatch, first: int, ids: list[bytes]) -> pa.RecordBatch:
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype("<i4")
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(ids)), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                ["doc_id", "ids"],
-            )
+            rows = batch.drop_columns(["text"]).slice(first, len(ids))
+            return rows.append_column("ids", pa.ListArray.from_arrays(pa.array(ends), flat))
 
         for batch in batches:
             texts, held, first = [], 0, 0
@@ -223,7 +217,24 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             if texts:
                 yield out(batch, first, bpe.encode(texts))
 
-    return docs.select("doc_id", F.make_valid_utf8("text").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return encode
+
+
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids array<int>)`` of every row's whole ``text``, without special tokens.
+
+    A null text counts as empty and gives no ids; bytes that are no UTF-8 count as U+FFFD; characters outside every
+    match of the pattern give no ids. Repeated rows and null ids give rows of their own, an empty table an empty
+    result; other columns are not read. Ranks that lack a single byte raise ``KeyError``. ``ranks_path`` must be
+    readable by that path wherever Python workers run.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return valid_texts(docs).mapInArrow(encoding(ranks_path, pattern), f"doc_id {kind}, ids array<int>")
+
+
+def valid_texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.make_valid_utf8("text").alias("text"))
 
 
 def token_table(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
@@ -234,9 +245,9 @@ def token_table(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
     return pa.array(tokens, pa.large_binary())
 
 
-def decode_batch(tokens: pa.LargeBinaryArray, ids: pa.ListArray) -> pa.LargeBinaryArray:
-    """Bytes of each row's ids: tokens taken in order already lie end to end, so rows are cuts of one buffer."""
-    taken = tokens.take(ids.flatten())
+def joined(pieces: pa.LargeBinaryArray, ids: pa.ListArray) -> pa.LargeBinaryArray:
+    """Each row's pieces end to end: those taken in order already lie so, hence rows are cuts of one buffer."""
+    taken = pieces.take(ids.flatten())
     if taken.null_count:
         raise ValueError("an id that the ranks do not name")
     starts = np.frombuffer(taken.buffers()[1], dtype="<i8", count=len(taken) + 1) if len(taken) else np.zeros(1, "<i8")
@@ -246,6 +257,17 @@ def decode_batch(tokens: pa.LargeBinaryArray, ids: pa.ListArray) -> pa.LargeBina
     )
 
 
+def decoding(ranks_path: str) -> Callable[[Batches], Batches]:
+    """What a worker does to decode: batches with ``ids`` get their bytes as ``decoded``."""
+
+    def decode(batches: Batches) -> Batches:
+        tokens = token_table(read_ranks(ranks_path))
+        for batch in batches:
+            yield batch.append_column("decoded", joined(tokens, batch.column("ids")).cast(pa.binary()))
+
+    return decode
+
+
 def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The same rows with the bytes of their ``ids`` as ``decoded`` (a column of that name is replaced).
 
@@ -254,11 +276,30 @@ def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
     small_batches(encoded.sparkSession)
     kept = [c for c in encoded.columns if c.lower() != "decoded"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*kept).schema)
+    return encoded.select(*kept).mapInArrow(decoding(ranks_path), f"{schema}, decoded binary")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = resident(("token-table", ranks_path), lambda: token_table(read_ranks(ranks_path)))
-        for batch in batches:
-            decoded = decode_batch(tokens, batch.column("ids")).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*kept, "decoded"])
 
-    return encoded.select(*kept).mapInArrow(decode, f"{schema}, decoded binary")
+def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows encoded and decoded again, as ``encode_texts`` and
+    ``decode_ids`` do it, with ids and bytes digested where they are made. The first digest is that of the decimal ids
+    joined by one space."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encode, decode = encoding(ranks_path, pattern), decoding(ranks_path)
+
+    def digest(batches: Batches) -> Batches:
+        most = max(read_ranks(ranks_path).values(), default=-1)
+        decimals = pa.array([b"%d " % i for i in range(most + 1)], pa.large_binary())
+
+        def hexes(rows: pa.Array, cut: int) -> pa.Array:
+            views = (row.as_buffer() for row in rows)
+            return pa.array([hashlib.sha256(memoryview(v)[: max(0, len(v) - cut)]).hexdigest() for v in views], pa.string())
+
+        for batch in decode(encode(batches)):
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), ids.value_lengths().cast(pa.int64()), hexes(joined(decimals, ids), 1), hexes(batch.column("decoded"), 0)],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return valid_texts(docs).mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwise.llm.byte_bpe import decode_ids, encode_texts
+from lendwise.llm.byte_bpe import round_trip_digests
 from lendwise.llm.common import table
 from lendwise.llm.conversation_repair import conversation_digests, damaged, repair_conversations
 from lendwise.llm.hard_negatives import mine_hard_negatives
@@ -100,12 +100,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return decode_ids(encoded, ranks).select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 QUERIES = {
