@@ -2,8 +2,9 @@
 
 A page is read once into blocks. Blocks inside menus, notices, adverts, forms and the like are left out by their
 elements. What remains is compared with the page of the same host whose path is nearest and which is no copy: shared
-lines, found by a longest common subsequence, are the site's own and are deleted. Inside the article they are deleted
-only if they hold up to half of its characters; otherwise both pages hold the same article.
+lines, found by a longest common subsequence, are the site's own and are deleted. Inside the article one neighbour is no
+evidence: paragraphs, headings, lists, quotations and tables stay, and of other lines only those at the article's edge
+go that stand in most of the pages compared and leave at least half of the article.
 
 Only hashes and lengths of lines travel between pages. Distinct line lists of a host are numbered along its paths, and
 dealt to blocks of consecutive numbers with ``LOOK`` neighbours at either end, so a host with very many pages is spread
@@ -45,6 +46,7 @@ INLINE = (
     "var", "wbr",
 )
 CONTENT = ("article", "main")
+PROSE = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption")
 UNMARKED = ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6")
 ROLES = ("alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search")
 #: Words in class and id that mark what is not the article: fixed values.
@@ -57,6 +59,9 @@ MARKS = frozenset(
 #: A class or id with one of these words tells what an element around it has or lacks, as has-sidebar or no-comments.
 ABOUT = frozenset("has have no non not with without".split())
 
+# Where a block stands.
+OUTSIDE, LOOSE, IN_PROSE = 0, 1, 2
+
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?])[^>]*+(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -83,8 +88,9 @@ def _left_out(name: str, attrs: str) -> str:
     return why
 
 
-def page_blocks(page: str | None) -> list[tuple[str, bool]]:
-    """The page's text blocks that no element leaves out, and whether each stands inside an article or main element.
+def page_blocks(page: str | None) -> list[tuple[str, int]]:
+    """The page's text blocks that no element leaves out, and where each stands: outside of every article or main
+    element, loose in one, or in an element for prose there.
 
     Tags without an end, ends without a tag and a page cut anywhere are taken as they come; the first
     article, if it begins inside an unclosed menu or notice, ends that. On a page without article, an element that holds
@@ -94,10 +100,10 @@ def page_blocks(page: str | None) -> list[tuple[str, bool]]:
     return _blocks(page, main)[0] if main and not any(p for _, p in blocks) else blocks
 
 
-def _blocks(page: str | None, main: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+def _blocks(page: str | None, main: frozenset[int]) -> tuple[list[tuple[str, int]], frozenset[int]]:
     """Blocks, and where the elements start that class or id leave out though they hold most of the text; ``main`` are
     such elements, to stay."""
-    blocks: list[tuple[str, bool]] = []
+    blocks: list[tuple[str, int]] = []
     held: list[str] = []
     open_tags: list[tuple[str, bool, int, int]] = []  # name, whether it starts a part left out, mark's place, text before
     skipped = inside = articles = seen = 0
@@ -107,7 +113,8 @@ def _blocks(page: str | None, main: frozenset[int]) -> tuple[list[tuple[str, boo
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            blocks.append((text, inside > 0))
+            around = next((n for n, *_ in reversed(open_tags) if n not in INLINE), "")
+            blocks.append((text, OUTSIDE if not inside else IN_PROSE if around in PROSE else LOOSE))
         held.clear()
 
     def ended(place: int, before: int) -> None:
@@ -209,16 +216,26 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(found)
 
 
-def deleted_lines(lines: np.ndarray, inside: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> list[int] | None:
-    """Which lines of a page to delete, given its line hashes, which of them stand inside the article, their lengths, and
-    the partner's hashes. None if the partner shares most lines: a copy of the page shows nothing about the site."""
+def deleted_lines(
+    lines: np.ndarray, places: np.ndarray, sizes: np.ndarray, wide: np.ndarray, other: np.ndarray
+) -> list[int] | None:
+    """Which lines of a page to delete, given its line hashes, where they stand, their lengths, which of them stand in
+    most pages nearby, and the partner's hashes. None if the partner shares most lines: a copy of the page shows nothing
+    about the site."""
     shared = common_lines(lines, other)
     if len(shared) >= COPY_SHARE * max(len(lines), len(other), 1):
         return None
-    in_article = [i for i in shared if inside[i]]
-    if sizes[in_article].sum() > ARTICLE_SHARE * sizes[inside].sum():
-        return [i for i in shared if not inside[i]]
-    return shared
+    article = np.nonzero(places != OUTSIDE)[0].tolist()
+    loose = {i for i in shared if places[i] == LOOSE and wide[i]}
+    edges: set[int] = set()
+    for side in (article, article[::-1]):
+        for i in side:
+            if i not in loose:
+                break
+            edges.add(i)
+    if sizes[sorted(edges)].sum() > ARTICLE_SHARE * sizes[article].sum():
+        edges = set()
+    return [i for i in shared if places[i] == OUTSIDE or i in edges]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -257,7 +274,7 @@ def _line_rows(pages: DataFrame) -> DataFrame:
             )
 
     k1, k2 = content_key("page_id", "url", "html")
-    kind = "k1 bigint, k2 bigint, host string, path string, lines array<bigint>, inside array<boolean>, sizes array<int>"
+    kind = "k1 bigint, k2 bigint, host string, path string, lines array<bigint>, inside array<int>, sizes array<int>"
     found = pages.select("url", "html", k1.alias("k1"), k2.alias("k2")).mapInPandas(read, kind).where("host <> ''")
     c1, c2 = content_key("host", "lines", "inside")
     return written(found.withColumn("c1", c1).withColumn("c2", c2), "lines")
@@ -293,6 +310,7 @@ def shared_line_positions(pages: DataFrame, page_block: int = PAGE_BLOCK) -> Dat
         frame = frame.sort_values("n").reset_index(drop=True)
         group, out = int(frame["group"].iloc[0]), []
         hosts, paths, numbers = frame["host"].tolist(), frame["path"].tolist(), frame["n"].tolist()
+        held = [set(lines) for lines in frame["lines"]]
         for i in range(len(frame)):
             row = frame.iloc[i]
             if row["n"] // page_block != group or not len(row["lines"]):
@@ -300,9 +318,10 @@ def shared_line_positions(pages: DataFrame, page_block: int = PAGE_BLOCK) -> Dat
             near = [i + d * side for d in range(1, LOOK + 1) for side in (-1, 1)]
             near = [j for j in near if 0 <= j < len(frame) and hosts[j] == hosts[i] and abs(numbers[j] - numbers[i]) <= LOOK]
             near.sort(key=lambda j: -nearness(paths[i], paths[j]))
-            own, inside, sizes = np.asarray(row["lines"]), np.asarray(row["inside"], bool), np.asarray(row["sizes"])
+            own, places, sizes = np.asarray(row["lines"]), np.asarray(row["inside"]), np.asarray(row["sizes"])
+            wide = np.array([len(near) > 1 and 2 * sum(x in held[j] for j in near) > len(near) for x in row["lines"]])
             for j in near:
-                gone = deleted_lines(own, inside, sizes, np.asarray(frame["lines"][j]))
+                gone = deleted_lines(own, places, sizes, wide, np.asarray(frame["lines"][j]))
                 if gone is None:
                     continue  # a copy: the next nearest page tells more
                 if gone:

@@ -120,6 +120,21 @@ def test_site_lines_inside_main_and_past_copies(spark):
     assert got[40] == got[41] == "One long text that stands on two pages of a site. It goes on here."
 
 
+def test_articles_keep_what_one_neighbour_shares(spark):
+    """A quoted sentence, a closing paragraph of a whole site and loose lines in the middle are the article's own."""
+    page = ("<body><div>Site name</div><article><div>Share this</div><p>Story {0} begins on its own day {0}.</p><div>loose {1}</div>"
+            "<p>{2}</p><p>All texts are free to copy.</p></article><div>All rights</div></body>")
+    quote = "One sentence that two pages quote."
+    rows = [(i, f"http://q.com/p/{i}", page.format(f"n{i}", "on every page", quote if i in (3, 4) else f"Words of {i} alone.")) for i in range(9)]
+    rows += [(20 + i, f"http://r.com/{i}", f"<article><div>Only {'two' if i < 2 else i} share</div><p>Body {i} has its words, own {i}.</p></article>")
+             for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in PT.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(9):
+        middle = quote if i in (3, 4) else f"Words of {i} alone."
+        assert got[i] == f"Story n{i} begins on its own day n{i}. loose on every page {middle} All texts are free to copy."
+    assert got[20] == "Only two share Body 0 has its words, own 0." and got[24] == "Only 4 share Body 4 has its words, own 4."
+
+
 # --- 10 toxicity -------------------------------------------------------------------------------------
 
 
