@@ -99,7 +99,7 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, places: int
     """A10: count, mean, std (n−1), min, 25/50/75 % (linear interpolation), max per column.
 
     The columns are unpivoted to (column, value) once; moments come from one
-    grouped aggregate, quartiles from distributed ranks
+    grouped aggregate, exact quartiles from bracket and refine
     (:func:`~lendwise.operators.ordering.rank_quantiles`) or, with
     ``exact=False``, ``percentile_approx``. One row per column.
     """
@@ -113,7 +113,7 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, places: int
         F.max(v).alias("max"),
     )
     if exact:
-        quart = rank_quantiles(long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column"])
+        quart = rank_quantiles(long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column"], few_groups=True)
     else:
         qa = F.percentile_approx(v, [0.25, 0.5, 0.75], 100000)
         quart = long.groupBy("column").agg(qa.alias("__q")).select(
