@@ -8,8 +8,9 @@ categories. Only (feature, chunk, bin) cells present in the analysis are
 materialised: reference bins absent from a chunk add ``p/2`` each, which sums
 to ``(1 − Σ p over present bins)/2`` — no chunk × bin grid is built.
 
-Multivariate drift (D2) is the mean PCA reconstruction error per chunk,
-with a band of reference mean ± 3 standard deviations of reference chunks.
+Multivariate drift (D2) is the mean PCA reconstruction error of numbers and
+categories per chunk, with a band of reference mean ± 3 standard deviations
+of reference chunks.
 """
 
 from __future__ import annotations
@@ -95,56 +96,78 @@ def alert_summary(drift: DataFrame, alert: str = "alert", rate_threshold: float
                       (rate >= rate_threshold).alias("drift_detected"))
 
 
-def reconstruction_drift(reference: DataFrame, analysis: DataFrame, features: Sequence[str], order: Sequence[str],
-                         chunk_size: int = CHUNK_SIZE, variance: float = 0.65, sigmas: float = BAND_SIGMAS,
-                         ref_order: Sequence[str] | None = None) -> DataFrame:
-    """PCA reconstruction error per analysis chunk with a reference band.
+def mixed_projection(reference: DataFrame, features: Sequence[str], variance: float = 0.65):
+    """D2 fit: mixed-type features as one scaled vector, and the leading components of the reference.
 
-    Fit on the reference: median imputation, standard scaling and PCA
-    keeping the fewest components explaining ``variance``; the error of a row
-    is the Euclidean distance between its scaled vector and its
-    reconstruction. Alert when a chunk's mean error leaves
-    ``ref_mean ± sigmas · sd(reference chunk means)``.
+    Text features become the share that their category has in the reference
+    (:func:`~lendwise.operators.encoders.frequency_dictionary`), numbers are
+    median-imputed; both are standardised, so a rare category lies as far out
+    as a rare amount. PCA keeps the fewest components that explain
+    ``variance``. Returns ``errors(df)``, which adds a row's distance between
+    its scaled vector and its projection as ``error``. All that is fitted —
+    medians, shares, means, loadings — comes from the reference alone.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    cols = list(features)
-    imp_cols = [f"__i_{c}" for c in cols]
-    prep = Pipeline(stages=[
-        Imputer(inputCols=cols, outputCols=imp_cols, strategy="median"),
-        VectorAssembler(inputCols=imp_cols, outputCol="__v", handleInvalid="keep"),
+    from lendwise.operators.encoders import frequency_dictionary, frequency_encode
+    from lendwise.operators.joins import broadcast_if_small
+
+    numeric = {f.name for f in reference.schema.fields if isinstance(f.dataType, NumericType)}
+    numbers = [c for c in features if c in numeric]
+    texts = [c for c in features if c not in numeric]
+    shares = broadcast_if_small(frequency_dictionary(reference, texts)) if texts else None
+
+    def numbered(df: DataFrame) -> DataFrame:
+        typed = df.withColumns({f"__n_{c}": F.col(c).cast("double") for c in numbers})
+        return frequency_encode(typed, texts, shares, "__f_") if texts else typed
+
+    inputs = [f"__i_{c}" for c in numbers] + [f"__f_{c}" for c in texts]
+    stages = [Imputer(inputCols=[f"__n_{c}" for c in numbers], outputCols=[f"__i_{c}" for c in numbers], strategy="median")] \
+        if numbers else []
+    stages += [
+        VectorAssembler(inputCols=inputs, outputCol="__v", handleInvalid="keep"),
         StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True),
-    ])
-    ref_cast = reference.select(*[F.col(c).cast("double").alias(c) for c in cols], *[c for c in (ref_order or order)])
-    ana_cast = analysis.select(*[F.col(c).cast("double").alias(c) for c in cols], *order)
-    prep_model = prep.fit(ref_cast)
-    full = PCA(k=len(cols), inputCol="__z", outputCol="__pc").fit(prep_model.transform(ref_cast))
-    ev = list(full.explainedVariance.toArray())
-    k, acc = 0, 0.0
-    for v in ev:
-        k += 1
-        acc += v
-        if acc >= variance:
+    ]
+    ready = numbered(reference)
+    prep = Pipeline(stages=stages).fit(ready)
+    full = PCA(k=len(inputs), inputCol="__z", outputCol="__pc").fit(prep.transform(ready))
+    k, explained = 0, 0.0
+    for share in full.explainedVariance.toArray():
+        k, explained = k + 1, explained + share
+        if explained >= variance:
             break
-    pcs = full.pc.toArray()[:, :k]  # d × k loadings: model metadata, not data
+    loadings = full.pc.toArray()[:, :k]  # features × k: model metadata, not data
 
     def errors(df: DataFrame) -> DataFrame:
-        z = vector_to_array(F.col("__z"))
-        t = prep_model.transform(df).select("*", z.alias("__za"))
-        proj = [sum(F.col("__za")[i] * float(pcs[i, j]) for i in range(len(cols))) for j in range(k)]
-        recon = [sum(proj[j] * float(pcs[i, j]) for j in range(k)) for i in range(len(cols))]
-        err = F.sqrt(sum((F.col("__za")[i] - recon[i]) * (F.col("__za")[i] - recon[i]) for i in range(len(cols))))
-        return t.withColumn("error", err)
-
-    ref_chunks = chunk_numbers(errors(ref_cast), list(ref_order or order), chunk_size) \
+        z = prep.transform(numbered(df)).withColumn("__za", vector_to_array(F.col("__z")))
+        at = [F.col("__za")[i] for i in range(len(inputs))]
+        parts = [sum(at[i] * float(loadings[i, j]) for i in range(len(inputs))) for j in range(k)]
+        left = [at[i] - sum(parts[j] * float(loadings[i, j]) for j in range(k)) for i in range(len(inputs))]
+        return z.select(*df.columns, F.sqrt(sum(x * x for x in left)).alias("error"))
+
+    return errors
+
+
+def reconstruction_drift(reference: DataFrame, analysis: DataFrame, features: Sequence[str], order: Sequence[str],
+                         chunk_size: int = CHUNK_SIZE, variance: float = 0.65, sigmas: float = BAND_SIGMAS,
+                         ref_order: Sequence[str] | None = None) -> DataFrame:
+    """PCA reconstruction error of numeric and text features per analysis chunk, with a reference band.
+
+    Rows are projected as :func:`mixed_projection` describes. Alert when a
+    chunk's mean error leaves ``ref_mean ± sigmas · sd(reference chunk means)``.
+    """
+    errors = mixed_projection(reference, features, variance)
+    first = list(ref_order or order)
+    ref_chunks = chunk_numbers(errors(reference.select(*dict.fromkeys([*first, *features]))), first, chunk_size) \
         .groupBy("chunk").agg(F.avg("error").alias("e"))
-    band = ref_chunks.agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("sd"))
-    lo = band.select((F.col("m") - sigmas * F.coalesce(F.col("sd"), F.lit(0.0))).alias("lo")).select("lo").scalar()
-    hi = band.select((F.col("m") + sigmas * F.coalesce(F.col("sd"), F.lit(0.0))).alias("hi")).select("hi").scalar()
-    ana = chunk_numbers(errors(ana_cast), list(order), chunk_size).groupBy("chunk").agg(
-        F.avg("error").alias("reconstruction_error"), F.count(F.lit(1)).alias("n")
-    )
-    return ana.select("chunk", "reconstruction_error", "n", lo.alias("lower_threshold"), hi.alias("upper_threshold"),
-                      ((F.col("reconstruction_error") < lo) | (F.col("reconstruction_error") > hi)).alias("alert"))
+    band = ref_chunks.agg(F.avg("e").alias("m"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("sd"))
+    limits = band.select(F.struct((F.col("m") - sigmas * F.col("sd")).alias("lo"), (F.col("m") + sigmas * F.col("sd")).alias("hi"))
+                         .alias("b")).scalar()
+    ana = chunk_numbers(errors(analysis.select(*dict.fromkeys([*order, *features]))), list(order), chunk_size) \
+        .groupBy("chunk").agg(F.avg("error").alias("reconstruction_error"), F.count(F.lit(1)).alias("n"))
+    error = F.col("reconstruction_error")
+    return ana.select("chunk", error, "n", limits.alias("__b")).select(
+        "chunk", error, "n", F.col("__b.lo").alias("lower_threshold"), F.col("__b.hi").alias("upper_threshold"),
+        ((error < F.col("__b.lo")) | (error > F.col("__b.hi"))).alias("alert"))

@@ -20,7 +20,7 @@ def quantile_row(df: DataFrame, cols: Sequence[str], q: float = 0.5, exact: bool
     """One-row table of the ``q`` quantile of each column (nulls ignored).
 
     ``exact`` gives the linear-interpolated quantile (pandas / DuckDB
-    ``quantile_cont``) from distributed ranks
+    ``quantile_cont``) by bracket and refine
     (:func:`lendwise.operators.ordering.rank_quantiles`), so no task ever
     holds all distinct values of a column; ``exact=False`` uses
     ``percentile_approx`` (one pass, bounded memory, approximate).
@@ -31,7 +31,7 @@ def quantile_row(df: DataFrame, cols: Sequence[str], q: float = 0.5, exact: bool
 
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
-    per_col = rank_quantiles(long, "value", [q], ["q"], by=["column"])
+    per_col = rank_quantiles(long, "value", [q], ["q"], by=["column"], few_groups=True)
     return per_col.groupBy().pivot("column", list(cols)).agg(F.first("q")).select(
         *[F.col(c).alias(f"{c}{suffix}") for c in cols])
 
@@ -119,6 +119,40 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, pr
     return out
 
 
+def frequency_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Fit of a frequency encoding: (column, category, share), the share of each category among the column's non-null rows.
+
+    A further row per column with a NULL category holds the share of its most
+    frequent category, which stands for missing values (as if they were
+    filled with the mode before). One unpivot and one aggregation, combined
+    map-side; no label is looked at.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in cols]))).where("category IS NOT NULL")
+    counts = long.groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"))
+    # one row per column name: bounded by the argument
+    totals = F.broadcast(counts.groupBy("column").agg(F.sum("n").alias("all"), F.max("n").alias("most")))
+    known = counts.join(totals, "column").select("column", "category", (F.col("n") / F.col("all")).alias("share"))
+    missing = totals.select("column", F.lit(None).cast("string").alias("category"), (F.col("most") / F.col("all")).alias("share"))
+    return known.unionByName(missing)
+
+
+def frequency_encode(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, prefix: str = "freq_") -> DataFrame:
+    """Add ``{prefix}{c}``: the fitted share of the row's category, 0 for one never seen, the mode's share for NULL.
+
+    The dictionary is broadcast only below a measured size; beyond it Catalyst plans shuffle joins.
+    """
+    from lendwise.operators.joins import broadcast_if_small
+
+    dictionary = broadcast_if_small(dictionary)
+    out = df
+    for c in cols:
+        d = dictionary.where(F.col("column") == c).select(F.col("category").alias(f"__cat_{c}"), F.col("share").alias(f"{prefix}{c}"))
+        out = out.join(d, F.col(c).cast("string").eqNullSafe(F.col(f"__cat_{c}")), "left").drop(f"__cat_{c}")
+        out = out.withColumn(f"{prefix}{c}", F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)))
+    return out
+
+
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
     """M6: one 0/1 column per named category, ``{column}_{category}``; any other value → all zeros.
 
