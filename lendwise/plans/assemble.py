@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lendwise.functions import features as X
 from lendwise.functions.columns import CLEANING_COLUMNS, align_columns, drop_columns, select_numeric
 from lendwise.functions.dates import age_floor_days, date_of
 from lendwise.operators import labels as L
-from lendwise.operators.encoders import ordinal_dictionary, ordinal_encode
+from lendwise.operators.encoders import hash_split, ordinal_dictionary, ordinal_encode
 from lendwise.operators.joins import left_join_if_keyed, left_join_latest, left_join_means, left_join_new_columns
 
 # The categorical columns the feature transformer encodes.
@@ -106,6 +107,20 @@ def credit_features(
     return out
 
 
+def split_credit_features(df: DataFrame, key: str = "id_contrato", fraction: float = 0.8, seed: int = 42,
+                          categories: Sequence[str] = ENCODED_CATEGORIES) -> DataFrame:
+    """M8 + M3: split by ``key``, category codes learned from the training side alone, then the feature block of all rows.
+
+    A category that only validation rows hold gets the code of unseen ones.
+    """
+    split = hash_split(df, key, fraction, seed)
+    present = [c for c in categories if c in df.columns]
+    dictionary = ordinal_dictionary(split.where("is_train"), present) if present else None
+    # the flag is no number, and the feature block keeps numbers only
+    feats = credit_features(split.withColumn("__train", F.col("is_train").cast("int")), dictionary, categories, keep=[key])
+    return feats.withColumn("is_train", F.col("__train") == 1).drop("__train")
+
+
 def merge_lending_tables(
     base: DataFrame,
     profile: DataFrame | None = None,
@@ -118,15 +133,3 @@ def merge_lending_tables(
     df = left_join_new_columns(base, profile, client_key)
     df = left_join_new_columns(df, contracts, contract_key)
     return left_join_means(df, instalments, contract_key)
-
-
-def with_contract_ratios(df: DataFrame) -> DataFrame:
-    """P16–P18 on a contract frame."""
-    return df.withColumns(
-        {
-            "feat_ltv": X.loan_to_value("valor_credito", "valor_bem"),
-            "feat_hora_pico_fraude": X.risk_hour_flag("hora_solicitacao"),
-            "pct_concedido": X.granted_ratio_pct("valor_credito", "valor_solicitado"),
-        }
-    )
-
