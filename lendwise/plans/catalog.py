@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendwise.functions import columns as CO
 from lendwise.functions import features as X
 from lendwise.functions.columns import LEAKAGE_COLUMNS
-from lendwise.functions.dates import age_floor_days, calendar_age, year_difference
+from lendwise.functions.dates import age_floor_days, calendar_age, strict_date, year_difference
 from lendwise.functions.decisions import decision_band, rounded_probability
 from lendwise.functions.ids import id_error, id_value
 from lendwise.operators import checks as C
@@ -29,6 +30,7 @@ from lendwise.operators import requests as R
 from lendwise.operators.ordering import chunk_numbers as _chunks
 from lendwise.plans import assemble as A
 from lendwise.plans import monitor as MON
+from lendwise.plans import preparation as PREP
 from lendwise.plans import train as T
 from lendwise.session import scratch_path
 from lendwise.sources import bindings as B
@@ -482,9 +484,9 @@ def drift_alert_summary(spark, sf):
 
 @query("reconstruction_drift")
 def reconstruction_drift(spark, sf):
-    """PCA reconstruction error per chunk (ML fit: rows-only check)."""
+    """PCA reconstruction error of numbers and categories per chunk (ML fit: rows-only check)."""
     ref, ana = B.monitoring_frames(spark, sf)
-    return D.reconstruction_drift(ref, ana, ["value", "hora"], EVENT_ORDER)
+    return D.reconstruction_drift(ref, ana, ["value", "hora", "event_type"], EVENT_ORDER)
 
 
 @query("auc_decay")
@@ -678,8 +680,7 @@ _FITTED: dict = {}
 def _model_frame(spark, sf):
     ts = A.training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf),
                         B.applications(spark, sf), application_order=APP_ORDER)
-    feats = A.credit_features(ts, keep=["id_contrato"])
-    return E.hash_split(feats, "id_contrato", 0.8, 42)
+    return A.split_credit_features(ts, "id_contrato", 0.8, 42)
 
 
 def _fit(spark, sf):
@@ -736,26 +737,91 @@ def gbt_feature_importance(spark, sf):
 def hpo_search(spark, sf):
     """5 seeded random trials × 3-fold CV over the library's ranges."""
     df = T.training_frame(_model_frame(spark, sf).where("is_train"))
-    cv = T.random_search(df, TARGET, exclude=LEAKS)
-    rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
+    search = T.random_search(df, TARGET, exclude=LEAKS)
+    rows = [(i, float(m)) for i, m in enumerate(search.avgMetrics)]
     return spark.createDataFrame(rows, "trial int, mean_auc double")
 
 
+# A logistic link with stated coefficients: what M12 ships to the executors here.
+SCORER_FEATURES = ("valor_credito", "valor_parcela", "hora_solicitacao", "feat_ltv")
+SCORER_COEFFICIENTS = (2e-06, -1e-05, 0.03, -0.4)
+SCORER_INTERCEPT = -0.25
+
+
 @query("local_model_scores")
 def local_model_scores(spark, sf):
-    """A fitted logistic link shipped to executors and applied on Arrow batches."""
-    from pyspark.ml.classification import LogisticRegression
-
-    df = T.training_frame(_model_frame(spark, sf))
-    feats = ["valor_credito", "valor_parcela", "hora_solicitacao", "feat_ltv"]
-    from pyspark.ml.feature import VectorAssembler
-
-    df = df.fillna(0.0, feats)  # as the scorer reads NULL; no row is left out of the fit
-    asm = VectorAssembler(inputCols=feats, outputCol="f", handleInvalid="error")
-    lr = LogisticRegression(featuresCol="f", labelCol=TARGET, maxIter=20).fit(asm.transform(df.where("is_train")))
-    scorer = T.LinearScorer(lr.coefficients.toArray().tolist(), float(lr.intercept))
-    scored = T.score_with_local_model(df.where(~F.col("is_train")), feats, lambda: scorer)
-    return scored.select("id_contrato", TARGET, "prediction_proba")
+    """A scoring object shipped to executors and applied on Arrow batches (missing inputs count as 0)."""
+    scorer = T.LinearScorer(SCORER_COEFFICIENTS, SCORER_INTERCEPT)
+    held = _model_frame(spark, sf).where(~F.col("is_train"))
+    scored = T.score_with_local_model(held, list(SCORER_FEATURES), lambda: scorer)
+    return _round(scored.select("id_contrato", TARGET, "prediction_proba"), 9)
+
+
+# Inputs of the preparation query: numbers with gaps, texts with gaps.
+SLOT_NUMBERS = ("valor_bem", "renda_anual", "hora_solicitacao")
+SLOT_TEXTS = ("tipo_contrato", "possui_carro", "tipo_renda")
+
+
+@query("prepared_slots")
+def prepared_slots(spark, sf):
+    """M4 + M5 + M6 + M9: preparation fitted on the train side, the validation rows' vectors slot by slot."""
+    ts = A.training_set(B.contracts(spark, sf), B.instalments(spark, sf), B.profile(spark, sf), application_order=APP_ORDER)
+    # texts take gaps, and a category that only validation rows hold
+    gaps = F.when(F.col("id_contrato") % 11 != 0, F.col("tipo_contrato"))
+    frame = E.hash_split(ts.withColumn("tipo_contrato", gaps), "id_contrato", 0.8, 42)
+    frame = T.training_frame(frame.withColumn("tipo_renda", F.when(F.col("is_train") | (F.col("id_contrato") % 7 != 0),
+                                                                   F.col("tipo_renda")).otherwise("never seen")))
+    model = PREP.preparation(SLOT_NUMBERS, SLOT_TEXTS).fit(frame.where("is_train"))
+    return _round(PREP.vector_slots(model.transform(frame.where("NOT is_train")), "id_contrato"), 6)
+
+
+@query("strict_decision_dates")
+def strict_decision_dates(spark, sf):
+    """Decision dates written as text and parsed strictly (a malformed one would fail the job)."""
+    text = B.contracts(spark, sf).select("id_contrato", F.date_format("data_decisao", "yyyy-MM-dd").alias("t"))
+    return text.select("id_contrato", strict_date("t").alias("data_decisao"))
+
+
+@query("aligned_features")
+def aligned_features(spark, sf):
+    """Contract rows in a model's column order; absent columns take their default or the fill."""
+    names = ["hora_solicitacao", "feat_unknown", "valor_credito", "canal_venda", "id_contrato"]
+    return _round(CO.align_columns(B.contracts(spark, sf), names, {"canal_venda": "Country-wide"}, fill=0))
+
+
+@query("dictionary_projection")
+def dictionary_projection(spark, sf):
+    """S16 + S17: contracts cut to the columns that a dictionary file names, and the required key."""
+    path = scratch_path(spark, "dictionary")
+    names = [(" valor_credito ", "x"), ("tipo_contrato", "y"), ("tipo_contrato", "z"), ("  ", "-"), (None, "-"), ("not_there", "-")]
+    spark.createDataFrame(names, "coluna string, descricao string").write.csv(path, sep=";", header=True)
+    keep = [r["coluna"] for r in RD.dictionary_columns(spark, path).collect()]
+    return _round(RD.project_to_columns(B.contracts(spark, sf), keep, required=["id_contrato"]))
+
+
+@query("table_sink_lifecycle")
+def table_sink_lifecycle(spark, sf):
+    """S10 + S12 + S13 + ST3: create, append, reconcile, replay, compact, replay again — every prediction once."""
+    import uuid
+
+    rows = B.predictions(spark, sf).select("event_id", "event_ts", "probability", "event_type")
+    where = scratch_path(spark, "table-sink")
+    name = f"prediction_log_{uuid.uuid4().hex}"
+    old = [("event_id", "bigint"), ("event_ts", "timestamp_ntz"), ("probability", "double")]
+
+    def batch(k):
+        return rows.where(F.col("event_id") % 5 == k)
+
+    sink = SK.TableSink(spark, name, old, where)
+    sink.append(batch(0).drop("event_type"), 0, "run-a")
+    sink = SK.TableSink(spark, name, [*old, ("event_type", "string")], where)  # a column more
+    for k in (1, 2, 2):  # batch 2 is replayed
+        sink.append(batch(k), k, "run-a")
+    sink.compact()
+    sink.append(batch(2), 2, "run-a")  # replayed after it was compacted
+    sink.append(batch(3), 0, "run-b")  # another writer's batch 0
+    sink.append(batch(4), 3, "run-a")
+    return _round(sink.read(), 10)
 
 
 # --- the monitoring job and remaining preparation queries (D8 + P33, M5) ---------------------

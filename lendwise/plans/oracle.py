@@ -976,3 +976,67 @@ ORACLE["train_split_stratified"] = with_views(
        GROUP BY 1, 2""",
     "instalments", "contracts", ctes=[LABELS_CTE],
 )
+
+_IN_TRAIN = "substr(md5(CAST({} AS VARCHAR) || ':42'), 1, 8) < 'cccccccc'"
+
+ORACLE["local_model_scores"] = with_views(
+    f"""SELECT id_contrato, target_over60mob06,
+               ROUND(1.0 / (1.0 + exp(-(2e-06 * COALESCE(valor_credito, 0) - 1e-05 * COALESCE(valor_parcela, 0)
+                     + 0.03 * COALESCE(hora_solicitacao, 0) - 0.4 * COALESCE(ltv, 0) - 0.25))), 9) AS prediction_proba
+        FROM (SELECT c.*, l.target_over60mob06,
+                     c.valor_credito / CASE WHEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) <> 0
+                       THEN COALESCE(CASE WHEN c.valor_bem <> 0 THEN c.valor_bem END, c.valor_credito) END AS ltv
+              FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato)
+        WHERE NOT ({_IN_TRAIN.format('id_contrato')})""",
+    "instalments", "contracts", ctes=[LABELS_CTE],
+)
+
+ORACLE["prepared_slots"] = with_views(
+    """SELECT id_contrato, slot, ROUND(value, 6) AS value FROM (
+         SELECT h.id_contrato, 'valor_bem' AS slot, COALESCE(h.valor_bem, m.valor_bem) AS value FROM held h, medians m
+         UNION ALL SELECT h.id_contrato, 'renda_anual', COALESCE(h.renda_anual, m.renda_anual) FROM held h, medians m
+         UNION ALL SELECT h.id_contrato, 'hora_solicitacao', COALESCE(h.hora_solicitacao, m.hora_solicitacao) FROM held h, medians m
+         UNION ALL SELECT f.id_contrato, f.name || '=' || f.category, 1.0 FROM filled f
+           WHERE EXISTS (SELECT 1 FROM seen s WHERE s.name = f.name AND s.category = f.category))
+       WHERE value <> 0""",
+    "instalments", "contracts", "profile",
+    ctes=[
+        LABELS_CTE,
+        ("frame", f"""SELECT c.id_contrato, c.valor_bem, CAST(c.hora_solicitacao AS DOUBLE) AS hora_solicitacao, p.renda_anual,
+               p.possui_carro, CASE WHEN c.id_contrato % 11 <> 0 THEN c.tipo_contrato END AS tipo_contrato,
+               CASE WHEN {_IN_TRAIN.format('c.id_contrato')} OR c.id_contrato % 7 <> 0 THEN p.tipo_renda ELSE 'never seen' END AS tipo_renda,
+               {_IN_TRAIN.format('c.id_contrato')} AS is_train
+             FROM contracts c JOIN contract_flags l ON c.id_contrato = l.id_contrato
+             LEFT JOIN profile p ON c.id_cliente = p.id_cliente"""),
+        ("held", "SELECT * FROM frame WHERE NOT is_train"),
+        ("medians", """SELECT quantile_cont(valor_bem, 0.5) AS valor_bem, quantile_cont(renda_anual, 0.5) AS renda_anual,
+             quantile_cont(hora_solicitacao, 0.5) AS hora_solicitacao FROM frame WHERE is_train"""),
+        ("texts", """SELECT id_contrato, is_train, 'tipo_contrato' AS name, tipo_contrato AS category FROM frame
+             UNION ALL SELECT id_contrato, is_train, 'possui_carro', possui_carro FROM frame
+             UNION ALL SELECT id_contrato, is_train, 'tipo_renda', tipo_renda FROM frame"""),
+        ("modes", """SELECT name, category FROM (
+             SELECT name, category, row_number() OVER (PARTITION BY name ORDER BY COUNT(*) DESC, category) AS rn
+             FROM texts WHERE is_train AND category IS NOT NULL GROUP BY 1, 2) WHERE rn = 1"""),
+        ("seen", "SELECT DISTINCT name, category FROM texts WHERE is_train AND category IS NOT NULL"),
+        ("filled", """SELECT t.id_contrato, t.name, COALESCE(t.category, m.category) AS category
+             FROM texts t LEFT JOIN modes m ON t.name = m.name WHERE NOT t.is_train"""),
+    ],
+)
+
+ORACLE["strict_decision_dates"] = with_views("SELECT id_contrato, data_decisao FROM contracts", "contracts")
+
+ORACLE["aligned_features"] = with_views(
+    """SELECT hora_solicitacao, 0 AS feat_unknown, ROUND(valor_credito, 10) AS valor_credito,
+              'Country-wide' AS canal_venda, id_contrato FROM contracts""",
+    "contracts",
+)
+
+ORACLE["dictionary_projection"] = with_views(
+    "SELECT id_contrato, tipo_contrato, ROUND(valor_credito, 10) AS valor_credito FROM contracts", "contracts"
+)
+
+ORACLE["table_sink_lifecycle"] = with_views(
+    """SELECT event_id, event_ts, ROUND(probability, 10) AS probability,
+              CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM predictions""",
+    "predictions",
+)

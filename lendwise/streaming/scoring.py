@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lendwise.operators import requests as R
-from lendwise.sources.sinks import run_identity, write_prediction_logs
+from lendwise.sources.sinks import TableSink, run_identity, write_prediction_logs
 
 # Micro-batch bounds of the scoring consumer.
 MAX_RECORDS_PER_BATCH = 512
@@ -63,13 +63,14 @@ def scored_stream(messages: DataFrame, scorer: Callable[[DataFrame], Column] = R
     return scored
 
 
-def start_scoring(scored: DataFrame, checkpoint: str, events_path: str, requests_path: str,
-                  dead_letter_path: str, trigger: dict | None = None,
+def start_scoring(scored: DataFrame, checkpoint: str, events_path: str | TableSink, requests_path: str | TableSink,
+                  dead_letter_path: str | TableSink, trigger: dict | None = None,
                   partitions: int = 0, query_name: str | None = None) -> StreamingQuery:
     """ST1 + S11 + ST3 + ST4: run the stream; each micro-batch goes to both logs and the dead letters.
 
     Rejected messages always go to the dead letters. Batches are written under the identity stored in
-    the checkpoint, so a stream with another checkpoint never replaces them.
+    the checkpoint, so a stream with another checkpoint never replaces them. Targets are folders, or
+    catalog tables (:class:`~lendwise.sources.sinks.TableSink`) that a separate job compacts.
 
     ``trigger`` defaults to a 200 ms processing-time trigger; pass
     ``{"availableNow": True}`` to drain what is there and stop.
