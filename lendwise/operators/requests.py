@@ -28,83 +28,85 @@ from lendwise.functions.payload import (
     default_text,
 )
 
+def _kind(v: Column) -> Column:
+    """The JSON kind of a variant: STRING, BIGINT, DECIMAL(…), DOUBLE, BOOLEAN, VOID (JSON null), OBJECT<…>, ARRAY<…>."""
+    return F.schema_of_variant(v)
+
+
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    return F.coalesce(F.startswith(_kind(v), F.lit("OBJECT")), F.lit(False))
+
+
+def _members(names: Sequence[str], kind: str) -> str:
+    return "struct<" + ", ".join(f"`{n}`: {kind}" for n in names) + ">"
 
 
 def decode_envelope(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``payload`` (JSON text of the application object), ``envelope`` and ``decode_error``.
+    """Add ``application`` (variant), ``payload`` (its JSON text), ``envelope`` and ``decode_error``.
 
     The value must be a JSON object; the first of payload/application/data/
     body holding an object is the application, else the whole object.
     NULL, bad JSON and non-objects get a ``decode_error`` and NULL payload.
-    The parsed variant is a column of its own so it is parsed once per row.
+    Each message is parsed once; everything later reads the variant.
     Of a key that is repeated in one object the last value counts, as in any
     lenient JSON reader (a session setting of the variant parser).
     """
     messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = messages.select("*", F.try_parse_json(F.col(value).cast("string")).alias("__v"))
     v = F.col("__v")
-    typed = parsed.select("*", *[F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).alias(f"__s_{k}")
-                                 for k in ENVELOPE_KEYS], F.schema_of_variant(v).alias("__s"))
-
-    def obj(c: str) -> Column:
-        return F.coalesce(F.startswith(F.col(c), F.lit("OBJECT")), F.lit(False))
-
-    kind = F.when(~obj("__s"), F.lit(None).cast("string"))
+    opened = parsed.select("*", _is_object(v).alias("__object"),
+                           F.try_variant_get(v, "$", _members(ENVELOPE_KEYS, "variant")).alias("__e"))
+    kind = F.when(~F.col("__object"), F.lit(None).cast("string"))
+    chosen = F.when(~F.col("__object"), F.lit(None).cast("variant"))
     for k in ENVELOPE_KEYS:
-        kind = kind.when(obj(f"__s_{k}"), F.lit(k))
-    kind = kind.otherwise(F.lit("bare"))
+        kind = kind.when(_is_object(F.col(f"__e.{k}")), F.lit(k))
+        chosen = chosen.when(F.col("__kind") == k, F.col(f"__e.{k}"))
     err = (
         F.when(F.col(value).isNull(), F.lit("empty value"))
         .when(v.isNull(), F.lit("invalid JSON"))
-        .when(~obj("__s"), F.lit("value must be a JSON object"))
+        .when(~F.col("__object"), F.lit("value must be a JSON object"))
     )
-    with_kind = typed.select(*messages.columns, "__v", kind.alias("envelope"), err.alias("decode_error"))
-    chosen = F.when(F.col("envelope") == "bare", v)
-    for k in ENVELOPE_KEYS:
-        chosen = chosen.when(F.col("envelope") == k, F.try_variant_get(v, f"$.{k}", "variant"))
-    return with_kind.select(*messages.columns, F.to_json(chosen).alias("payload"), "envelope", "decode_error")
-
+    told = opened.select("*", kind.otherwise(F.lit("bare")).alias("__kind"))
+    picked = told.select("*", chosen.otherwise(v).alias("application"), err.alias("decode_error"))
+    return picked.select(*messages.columns, "application", F.to_json("application").alias("payload"),
+                         F.col("__kind").alias("envelope"), "decode_error")
 
-def _defaults_json_body() -> str:
-    """The default payload as the inside of a JSON object (fields without a default are left out)."""
-    import json
 
-    return ",".join(f"{json.dumps(f.name)}:{json.dumps(f.default)}" for f in REQUEST_FIELDS if f.default is not None)
-
-
-def _with_defaults(payload: Column) -> Column:
-    """P21 in one JSON text: defaults first, then the payload's own members.
-
-    A JSON parser keeps the last of duplicated keys, so a key present in the
-    payload — even with an explicit ``null`` — overrides its default, and an
-    absent key keeps it.
-    """
-    body = F.substring(payload, 2, F.length(payload) - 2)
-    head = F.lit("{" + _defaults_json_body())
-    return F.when(payload.isNull() | (F.trim(body) == ""), F.concat(head, F.lit("}"))) \
-        .otherwise(F.concat(head, F.lit(","), body, F.lit("}")))
-
-
-def normalise(decoded: DataFrame, processing_date: Column | None = None, payload: str = "payload") -> DataFrame:
+def normalise(decoded: DataFrame, processing_date: Column | None = None, application: str = "application") -> DataFrame:
     """P21 + P24 + P8 + J3: typed request columns and ``reasons`` (array of rejection reasons).
 
     Absent keys take the default payload; an explicit NULL id_cliente
     becomes 0; an empty/NULL data_decisao becomes ``processing_date``
-    (default: today, UTC). Required text must be non-NULL, numbers must
-    parse, integers may not have a fractional part.
-
-    The defaults are merged into the JSON text and parsed once into a struct
-    of text fields (one parser pass, compact generated code), then typed.
+    (default: today, UTC). Text fields must be JSON strings (a number, a
+    flag or an object is no text), required ones non-NULL; numbers may come
+    as JSON numbers or as text and must parse; integers may not have a
+    fractional part.
+
+    The application is read from its variant member by member, twice as one
+    struct: as variants, which tell an absent key from a JSON null and a
+    string from any other kind, and as texts. Nothing is parsed again.
     """
     today = processing_date if processing_date is not None else F.current_date()
-    keep = [c for c in decoded.columns if c not in {f.name for f in REQUEST_FIELDS}]
-    text_schema = ", ".join(f"`{f.name}` string" for f in REQUEST_FIELDS)
-    parsed = F.from_json(_with_defaults(F.col(payload)), text_schema)
-    with_text = decoded.select(*keep, parsed.alias("__p")).select(
-        *keep, *[F.col(f"__p.{f.name}").alias(f"__t_{f.name}") for f in REQUEST_FIELDS]
-    )
+    names = [f.name for f in REQUEST_FIELDS]
+    keep = [c for c in decoded.columns if c not in {*names, application}]
+    app = F.col(application)
+    opened = decoded.select(*keep, F.try_variant_get(app, "$", _members(names, "variant")).alias("__m"),
+                            F.try_variant_get(app, "$", _members(names, "string")).alias("__s"))
+
+    def text(f) -> Column:
+        """The member as text, the default where its key is absent; NULL if a text field holds another kind."""
+        held, member = F.col(f"__s.{f.name}"), F.col(f"__m.{f.name}")
+        default = default_text(f.default)
+        if f.kind == "str":
+            held = F.when(_kind(member) == "STRING", held)
+        return held if default is None else F.when(member.isNull(), F.lit(default)).otherwise(held)
+
+    def no_text(f) -> Column:
+        return ~_kind(F.col(f"__m.{f.name}")).isin("STRING", "VOID")
+
+    texts = [f for f in REQUEST_FIELDS if f.kind == "str"]
+    wrong = F.array_compact(F.array(*[F.when(no_text(f), F.lit(f.name)) for f in texts]))
+    with_text = opened.select(*keep, wrong.alias("__wrong"), *[text(f).alias(f"__t_{f.name}") for f in REQUEST_FIELDS])
     fixes = {
         "__t_id_cliente": F.coalesce(F.col("__t_id_cliente"), F.lit("0")),
         "__t_data_decisao": F.when(F.col("__t_data_decisao").isNull() | (F.col("__t_data_decisao") == ""),
@@ -120,7 +122,8 @@ def normalise(decoded: DataFrame, processing_date: Column | None = None, payload
         elif f.kind == "str":
             cols.append(t.alias(f.name))
             if f.required:
-                reasons.append(F.when(t.isNull(), F.lit(f"{f.name}: required")))
+                missing = t.isNull() & ~F.array_contains("__wrong", f.name)
+                reasons.append(F.when(missing, F.lit(f"{f.name}: required")))
         elif f.kind == "float":
             d = lenient_double(t)
             d = F.when(~F.isnan(d), d)  # NaN is no amount: it would sort above every threshold
@@ -135,12 +138,15 @@ def normalise(decoded: DataFrame, processing_date: Column | None = None, payload
             bad = (t.isNull() & F.lit(f.required)) | (t.isNotNull() & n.isNull())
             reasons.append(F.when(bad, F.lit(f"{f.name}: integer expected")))
     decode_reason = F.when(F.col("decode_error").isNotNull(), F.col("decode_error"))
-    all_reasons = F.array_compact(F.array(decode_reason, *reasons))
+    not_text = F.transform(F.col("__wrong"), lambda n: F.concat(n, F.lit(": text expected")))
+    all_reasons = F.concat(F.array_compact(F.array(decode_reason, *reasons)), not_text)
     final = F.when(F.col("decode_error").isNotNull(), F.array(decode_reason)).otherwise(all_reasons).alias("reasons")
-    # One-element ``inline``: a generator boundary, so a later filter on ``reasons``
+    # One-element ``explode``: a generator boundary, so a later filter on ``reasons``
     # (valid / rejected split) is evaluated on the computed column instead of being
-    # pushed below with the whole validation inlined into the predicate.
-    return with_text.select(*keep, F.inline(F.array(F.struct(*cols, final))))
+    # pushed below with the whole validation inlined into the predicate. Only the
+    # reasons pass through it; the columns stay in a projection.
+    checked = with_text.select(*keep, *cols, final.alias("__reasons"))
+    return checked.select(*keep, *names, F.explode(F.array("__reasons")).alias("reasons"))
 
 
 def request_ids(df: DataFrame, key: str = "key") -> Column:
@@ -202,11 +208,10 @@ def dead_letters(scored: DataFrame) -> DataFrame:
 
 # --- monitoring-side payloads (P22, P23, D9, F7, F9) ---------------------------------------
 
-def payload_columns(decoded: DataFrame, names: Sequence[str], payload: str = "payload") -> DataFrame:
-    """The payload's raw text per field (absent key → NULL), as an analysis table would hold it."""
-    schema = ", ".join(f"`{n}` string" for n in names)
-    parsed = decoded.select("key", F.from_json(F.col(payload), schema).alias("__p"))
-    return parsed.select("key", *[F.col(f"__p.{n}").alias(n) for n in names])
+def payload_columns(decoded: DataFrame, names: Sequence[str], application: str = "application") -> DataFrame:
+    """The application's raw text per field (absent key → NULL), as an analysis table would hold it."""
+    opened = decoded.select("key", F.try_variant_get(F.col(application), "$", _members(names, "string")).alias("__p"))
+    return opened.select("key", *[F.col(f"__p.{n}").alias(n) for n in names])
 
 
 def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:

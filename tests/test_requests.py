@@ -135,3 +135,25 @@ def test_hand_written_expectations_for_bad_messages(spark):
         ["id_cliente: numeric id expected"], [], ["id_cliente: numeric id expected"], ["tipo_contrato: required"],
     ]
     assert [got[i]["id_cliente"] for i in (3, 4, 6)] == [0, 0, 0]
+
+
+def test_only_strings_are_text(spark):
+    got = _normalised(spark, [
+        json.dumps(dict(APP, tipo_contrato=123)), json.dumps(dict(APP, tipo_contrato={"a": "x"}, sexo=True)),
+        json.dumps(dict(APP, tipo_contrato=["x"], faixa_rendimento=1.5)), json.dumps(dict(APP, tipo_contrato="123", sexo=None)),
+        json.dumps(dict(APP, valor_credito={"v": 1})), json.dumps(dict(APP, valor_credito="12.5", hora_solicitacao="7")),
+        json.dumps(dict(APP, id_cliente=[7])), json.dumps({"payload": dict(APP, canal_venda=0)}),
+    ])
+    assert [sorted(r["reasons"]) for r in got] == [
+        ["tipo_contrato: text expected"], ["sexo: text expected", "tipo_contrato: text expected"],
+        ["faixa_rendimento: text expected", "tipo_contrato: text expected"], [],
+        ["valor_credito: number expected"], [], ["id_cliente: numeric id expected"], ["canal_venda: text expected"],
+    ]
+    assert got[0]["tipo_contrato"] is None and got[3]["tipo_contrato"] == "123" and got[3]["sexo"] is None
+    assert got[5]["valor_credito"] == 12.5 and got[5]["hora_solicitacao"] == 7
+
+
+def test_messages_are_parsed_once(spark):
+    n = R.normalise(R.decode_envelope(_msgs(spark, [json.dumps(APP)])))
+    plan = n.select("reasons", "tipo_contrato")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "from_json" not in plan.lower() and "to_json" not in plan.lower()
