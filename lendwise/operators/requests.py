@@ -28,6 +28,9 @@ from lendwise.functions.payload import (
     default_text,
 )
 
+ID_FIELDS = frozenset(f.name for f in REQUEST_FIELDS if f.kind == "id")
+
+
 def _kind(v: Column) -> Column:
     """The JSON kind of a variant: STRING, BIGINT, DECIMAL(…), DOUBLE, BOOLEAN, VOID (JSON null), OBJECT<…>, ARRAY<…>."""
     return F.schema_of_variant(v)
@@ -220,12 +223,14 @@ def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     Per allowed field: the row value, where NULL or '' falls back to
     ``defaults`` then to the fixed fallbacks; then int/float casts (an int
     cast of text truncates floats written as numbers but rejects other text).
-    Adds ``payload_valid`` and ``missing_fields`` (required fields NULL/''
-    in the raw row).
+    Adds ``payload_valid``, ``missing_fields`` (required fields NULL/'' in
+    the raw row) and ``api_accepts``: whether the scoring service's own id
+    rule (P8 in P24) takes the payload. The fallback of a missing client id
+    is a text, so such a payload is built but rejected when it is sent.
     """
     defaults = defaults or {}
     allowed = list(API_REQUIRED_FIELDS) + list(API_OPTIONAL_FIELDS)
-    cols, bad = [], []
+    cols, bad, refused = [], [], F.lit(False)
     for name in allowed:
         raw = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
         empty = raw.isNull() | (raw == "")
@@ -248,6 +253,8 @@ def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:
             bad.append(~ok)
         else:
             cols.append(v.alias(name))
+        if name in ID_FIELDS:
+            refused = refused | id_error(v).isNotNull()
     invalid = F.lit(False)
     for b in bad:
         invalid = invalid | b
@@ -255,7 +262,8 @@ def evaluator_payload(df: DataFrame, defaults: dict | None = None) -> DataFrame:
         F.when((F.col(n).isNull() | (F.col(n).cast("string") == "")) if n in df.columns else F.lit(True), F.lit(n))
         for n in API_REQUIRED_FIELDS
     ]))
-    out = F.struct(F.struct(*cols).alias("api_payload"), (~invalid).alias("payload_valid"), missing.alias("missing_fields"))
+    out = F.struct(F.struct(*cols).alias("api_payload"), (~invalid).alias("payload_valid"), (~refused).alias("api_accepts"),
+                   missing.alias("missing_fields"))
     # generator boundary: filters on payload_valid do not re-inline the validation
     return df.select("*", F.inline(F.array(out)))
 
@@ -267,10 +275,12 @@ def _numeric(df: DataFrame, name: str) -> bool:
 
 
 def scoring_accounting(payloads: DataFrame) -> DataFrame:
-    """Rows sent for scoring and rows dropped for an invalid payload."""
+    """Rows scored, rows dropped, and how many of these only the scoring service rejected."""
+    sent, taken = F.col("payload_valid"), F.col("payload_valid") & F.col("api_accepts")
     return payloads.agg(
-        F.count_if(F.col("payload_valid")).alias("scored"),
-        F.count_if(~F.col("payload_valid")).alias("dropped"),
+        F.count_if(taken).alias("scored"),
+        F.count_if(~taken).alias("dropped"),
+        F.count_if(sent & ~F.col("api_accepts")).alias("api_rejected"),
     )
 
 

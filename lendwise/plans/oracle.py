@@ -786,7 +786,7 @@ def _text(name: str, default) -> str:
 
 
 def _norm_select(processing_date: str) -> tuple[str, str]:
-    cols, reasons = [], []
+    cols, reasons, wrong = [], [], []
     for f in REQUEST_FIELDS:
         t = _text(f.name, f.default)
         if f.name == "id_cliente":
@@ -801,9 +801,14 @@ def _norm_select(processing_date: str) -> tuple[str, str]:
             reasons.append(f"CASE WHEN NOT ({tt} IS NULL OR {tt} = '') AND NOT (regexp_full_match({tt}, '[+-]?[0-9]+') "
                            f"AND TRY_CAST({tt} AS BIGINT) IS NOT NULL) THEN '{f.name}: numeric id expected' END")
         elif f.kind == "str":
-            cols.append(f"{t} AS {f.name}")
+            other = f"COALESCE(json_type(payload, '$.{f.name}') NOT IN ('VARCHAR', 'NULL'), false)"
+            held = f"(CASE WHEN {other} THEN NULL ELSE {t} END)"
+            if f.name == "data_decisao":
+                held = t
+            cols.append(f"{held} AS {f.name}")
             if f.required:
-                reasons.append(f"CASE WHEN {t} IS NULL THEN '{f.name}: required' END")
+                reasons.append(f"CASE WHEN {t} IS NULL AND NOT {other} THEN '{f.name}: required' END")
+            wrong.append(f"CASE WHEN {other} THEN '{f.name}: text expected' END")
         elif f.kind == "float":
             d = f"TRY_CAST({t} AS DOUBLE)"
             cols.append(f"{d} AS {f.name}")
@@ -819,7 +824,7 @@ def _norm_select(processing_date: str) -> tuple[str, str]:
             reasons.append(f"CASE WHEN ({t} IS NULL AND {req}) OR ({t} IS NOT NULL AND NOT COALESCE({whole} AND TRY_CAST({d} AS INTEGER) IS NOT NULL, false)) "
                            f"THEN '{f.name}: integer expected' END")
     rs = ("CASE WHEN decode_error IS NOT NULL THEN [decode_error] ELSE "
-          "list_filter([" + ", ".join(reasons) + "], lambda x: x IS NOT NULL) END AS reasons")
+          "list_filter([" + ", ".join(reasons + wrong) + "], lambda x: x IS NOT NULL) END AS reasons")
     return ",\n".join(cols), rs
 
 
@@ -902,21 +907,27 @@ def _evaluator_sql() -> str:
         if n in REQUIRED_FALLBACKS:
             v = f"(CASE WHEN {v} IS NULL OR {v} = '' THEN {_lit(REQUIRED_FALLBACKS[n])} ELSE {v} END)"
         if n in API_INT_FIELDS:
-            bad.append(f"NOT ({v} IS NULL OR (TRY_CAST({v} AS DOUBLE) IS NOT NULL AND regexp_full_match(trim({v}), '[+-]?[0-9]+')))")
+            bad.append(f"NOT ({v} IS NULL OR (TRY_CAST({v} AS DOUBLE) IS NOT NULL AND regexp_full_match(trim({v}), '[+-]?[0-9]+') "
+                       f"AND TRY_CAST(TRY_CAST({v} AS DOUBLE) AS INTEGER) IS NOT NULL))")
         elif n in API_FLOAT_FIELDS:
             bad.append(f"NOT ({v} IS NULL OR TRY_CAST({v} AS DOUBLE) IS NOT NULL)")
     valid = "NOT (" + " OR ".join(bad) + ")"
     missing = ("list_filter([" + ", ".join(
         f"CASE WHEN json_extract_string(payload, '$.{n}') IS NULL OR json_extract_string(payload, '$.{n}') = '' "
         f"THEN '{n}' END" for n in API_REQUIRED_FIELDS) + "], lambda x: x IS NOT NULL)")
-    return f"SELECT key, {valid} AS payload_valid, {missing} AS missing_fields FROM pl"
+    client = "trim(COALESCE(NULLIF(json_extract_string(payload, '$.id_cliente'), ''), 'unknown'))"
+    contract = "trim(COALESCE(json_extract_string(payload, '$.id_contrato'), ''))"
+    fits = " AND ".join(f"({c} = '' OR (regexp_full_match({c}, '[+-]?[0-9]+') AND TRY_CAST({c} AS BIGINT) IS NOT NULL))"
+                        for c in (client, contract))
+    return f"SELECT key, COALESCE({valid}, false) AS payload_valid, {fits} AS api_accepts, {missing} AS missing_fields FROM pl"
 
 
 EVAL_CTE = ("evaluator", _evaluator_sql())
 
 ORACLE["evaluator_accounting"] = with_views(
-    """SELECT CAST(COUNT(CASE WHEN payload_valid THEN 1 END) AS BIGINT) AS scored,
-              CAST(COUNT(CASE WHEN NOT payload_valid THEN 1 END) AS BIGINT) AS dropped FROM evaluator""",
+    """SELECT CAST(COUNT(CASE WHEN payload_valid AND api_accepts THEN 1 END) AS BIGINT) AS scored,
+              CAST(COUNT(CASE WHEN NOT (payload_valid AND api_accepts) THEN 1 END) AS BIGINT) AS dropped,
+              CAST(COUNT(CASE WHEN payload_valid AND NOT api_accepts THEN 1 END) AS BIGINT) AS api_rejected FROM evaluator""",
     *REQ_VIEWS, ctes=[DECODED_CTE, PAYLOAD_CTE, EVAL_CTE],
 )
 

@@ -10,7 +10,7 @@ no engine falls back to decimal arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -122,7 +122,11 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     The application object carries client id, amount, type, decision date
     (empty when ``event_id % 7 = 0``), the hour and the planned term as text
     (non-numeric when ``user_id % 13 = 0``); ``event_id % 5`` picks the
-    envelope (payload / application / data / body / bare).
+    envelope (payload / application / data / body / bare). ``event_id % 101``
+    below 14 makes a faulty message: no JSON, NULL, an array, a scalar, a
+    second envelope key that holds text, a NULL, numeric, nested or absent
+    member, an integer out of range or with a fraction, a NULL id, a missing
+    message key, a flag for an amount.
     """
     ev = _read(spark, sf_dir, "events", spread=True)  # JSON decoding downstream is CPU-bound
     uid = F.col("user_id")
@@ -134,7 +138,25 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.hour(F.col("ts")).alias("hora_solicitacao"),
         F.when(uid % 13 == 0, F.lit("doze")).otherwise((uid % 13 + 1).cast("string")).alias("qtd_parcelas_planejadas"),
     )
-    body = F.to_json(app)
+    fault = F.col("event_id") % 101
+    kind, hour = F.concat(F.lit('"tipo_contrato":"'), F.col("event_type"), F.lit('"')), F.concat(F.lit('"hora_solicitacao":'), F.hour("ts"))
+    client = F.concat(F.lit('"id_cliente":'), uid)
+
+    def swapped(text: Column, old: Column, new: str) -> Column:
+        return F.replace(text, old, F.lit(new))
+
+    plain = F.to_json(app)
+    body = (
+        F.when(fault == 5, swapped(plain, kind, '"tipo_contrato":null'))
+        .when(fault == 6, swapped(plain, kind, '"tipo_contrato":123'))
+        .when(fault == 7, swapped(plain, kind, '"tipo_contrato":{"a":"b"}'))
+        .when(fault == 8, swapped(plain, F.concat(kind, F.lit(",")), ""))
+        .when(fault == 9, swapped(plain, hour, '"hora_solicitacao":99999999999'))
+        .when(fault == 10, swapped(plain, hour, '"hora_solicitacao":12.5'))
+        .when(fault == 11, swapped(plain, client, '"id_cliente":null'))
+        .when(fault == 13, swapped(plain, F.lit('"valor_credito":'), '"valor_bem":true,"valor_credito":'))
+        .otherwise(plain)
+    )
     m = F.col("event_id") % 5
     value = (
         F.when(m == 0, F.concat(F.lit('{"payload":'), body, F.lit("}")))
@@ -143,8 +165,14 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 3, F.concat(F.lit('{"body":'), body, F.lit("}")))
         .otherwise(body)
     )
+    value = (
+        F.when(fault == 0, F.lit("{bad json")).when(fault == 1, F.lit(None).cast("string"))
+        .when(fault == 2, F.lit("[1, 2]")).when(fault == 3, F.lit("5"))
+        .when(fault == 4, F.concat(F.lit('{"payload":"text","body":'), body, F.lit("}")))
+        .otherwise(value)
+    )
     return ev.select(
-        F.col("event_id").cast("string").alias("key"),
+        F.when(fault != 12, F.col("event_id").cast("string")).alias("key"),
         value.alias("value"),
         F.lit("predict").alias("topic"),
         (F.col("event_id") % 4).cast("int").alias("partition"),
@@ -196,22 +224,33 @@ ORACLE_VIEWS: dict[str, str] = {
         SELECT l.doc_id, l.quality, l.toxic, CAST(d.n_chars AS DOUBLE) AS score, d.source, d.lang
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "request_messages": """
-        SELECT CAST(event_id AS VARCHAR) AS key,
-               CASE event_id % 5
-                 WHEN 0 THEN '{"payload":' || body || '}'
-                 WHEN 1 THEN '{"application":' || body || '}'
-                 WHEN 2 THEN '{"data":' || body || '}'
-                 WHEN 3 THEN '{"body":' || body || '}'
-                 ELSE body END AS value,
+        SELECT CASE WHEN fault <> 12 THEN CAST(event_id AS VARCHAR) END AS key,
+               CASE WHEN fault = 0 THEN '{bad json' WHEN fault = 1 THEN NULL WHEN fault = 2 THEN '[1, 2]' WHEN fault = 3 THEN '5'
+                    WHEN fault = 4 THEN '{"payload":"text","body":' || body || '}'
+                    WHEN event_id % 5 = 0 THEN '{"payload":' || body || '}'
+                    WHEN event_id % 5 = 1 THEN '{"application":' || body || '}'
+                    WHEN event_id % 5 = 2 THEN '{"data":' || body || '}'
+                    WHEN event_id % 5 = 3 THEN '{"body":' || body || '}'
+                    ELSE body END AS value,
                'predict' AS topic, CAST(event_id % 4 AS INTEGER) AS "partition",
                event_id AS "offset", ts AS "timestamp"
-        FROM (SELECT *, CAST(to_json({'id_cliente': user_id, 'tipo_contrato': event_type,
+        FROM (SELECT *, CASE fault
+                 WHEN 5 THEN replace(plain, '"tipo_contrato":"' || event_type || '"', '"tipo_contrato":null')
+                 WHEN 6 THEN replace(plain, '"tipo_contrato":"' || event_type || '"', '"tipo_contrato":123')
+                 WHEN 7 THEN replace(plain, '"tipo_contrato":"' || event_type || '"', '"tipo_contrato":{"a":"b"}')
+                 WHEN 8 THEN replace(plain, '"tipo_contrato":"' || event_type || '",', '')
+                 WHEN 9 THEN replace(plain, '"hora_solicitacao":' || hour(ts), '"hora_solicitacao":99999999999')
+                 WHEN 10 THEN replace(plain, '"hora_solicitacao":' || hour(ts), '"hora_solicitacao":12.5')
+                 WHEN 11 THEN replace(plain, '"id_cliente":' || user_id, '"id_cliente":null')
+                 WHEN 13 THEN replace(plain, '"valor_credito":', '"valor_bem":true,"valor_credito":')
+                 ELSE plain END AS body
+          FROM (SELECT *, event_id % 101 AS fault, CAST(to_json({'id_cliente': user_id, 'tipo_contrato': event_type,
                                       'valor_credito': value,
                                       'data_decisao': CASE WHEN event_id % 7 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END,
                                       'hora_solicitacao': hour(ts),
                                       'qtd_parcelas_planejadas': CASE WHEN user_id % 13 = 0 THEN 'doze'
-                                                                 ELSE CAST(user_id % 13 + 1 AS VARCHAR) END}) AS VARCHAR) AS body
-              FROM events)""",
+                                                                 ELSE CAST(user_id % 13 + 1 AS VARCHAR) END}) AS VARCHAR) AS plain
+              FROM events))""",
 }
 
 

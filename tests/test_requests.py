@@ -157,3 +157,13 @@ def test_messages_are_parsed_once(spark):
     n = R.normalise(R.decode_envelope(_msgs(spark, [json.dumps(APP)])))
     plan = n.select("reasons", "tipo_contrato")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1 and "from_json" not in plan.lower() and "to_json" not in plan.lower()
+
+
+def test_payloads_that_only_the_service_rejects(spark):
+    """A missing client id falls back to a text: the payload is built, sent and refused."""
+    df = spark.createDataFrame([("5", None), (None, None), ("", "3"), ("7", "x"), ("8", " 9 ")], "id_cliente string, id_contrato string")
+    got = R.evaluator_payload(df)
+    assert [(r["payload_valid"], r["api_accepts"]) for r in got.collect()] == [
+        (True, True), (True, False), (True, False), (True, False), (True, True)]
+    assert R.scoring_accounting(got).first().asDict() == {"scored": 2, "dropped": 3, "api_rejected": 3}
+    assert R.top_missing_fields(got).count() == 0  # fields are counted where no payload could be built
