@@ -7,12 +7,12 @@ its own by first-fit decreasing over a tournament tree of bin capacities.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,34 +25,57 @@ FLUSH_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
-#: The pre-tokenizer's own pattern, and characters that its normaliser only lower-cases: fixed values of the vocabulary.
-WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What a vocabulary file must say for its texts to be encoded word by word, and characters that its normaliser only
+#: lower-cases, with their letters and numbers: fixed values.
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The pre-tokenizer's own pattern over lower-cased plain words, one word a line.
+WORD_PARTS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+LINE_END = b"\xff" * 4  # no id
 UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")  # white space to str.split alone, and special tokens' strings
 
 
+def word_wise(path: str) -> bool:
+    """Whether a vocabulary file cuts texts at white space and then by ``SPLIT``, in lower case, with marked word ends."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    normalisers = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+    cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = [(c["pattern"], c["behavior"], c["invert"]) for c in cuts if c["type"] == "Split"]
+    levels = [(c["add_prefix_space"], c["use_regex"]) for c in cuts if c["type"] == "ByteLevel"]
+    return (
+        normalisers == NORMALISERS and split == [({"Regex": SPLIT}, "Removed", True)] and levels == [(False, False)]
+        and len(cuts) == 2 and told["model"]["type"] == "BPE" and told["model"].get("end_of_word_suffix") == WORD_END
+        and not told["model"].get("dropout")
+    )
+
+
 class WordTokenizer:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, by a word-wise tokenizer of ``tokenizers``.
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, by a tokenizer file of ``tokenizers``.
 
-    The vocabulary's pre-tokenizer cuts at white space and the normaliser never looks across it, so a text's ids are
-    those of its words, one after the other; words already met come from a bounded cache. Words of plain characters
-    are cut here into the pre-tokenizer's parts, and new parts go to the vocabulary's model together: a part's last
-    token, and no other, bears the end-of-word mark.
+    Where the file is word-wise, a text's ids are those of its words, one after the other: words already met come from
+    a bounded cache. New words of plain characters are cut into the pre-tokenizer's parts together, one word a line,
+    and new parts go to the vocabulary's model together: a part's last token, and no other, bears the end-of-word
+    mark. Texts of any other vocabulary go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word_wise = word_wise(path)
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": LINE_END}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -61,33 +84,33 @@ class WordTokenizer:
     def _model_ids(self, parts: list[str]) -> list[bytes]:
         ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = [0, *((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()]
-        if len(cuts) != len(parts) + 1:  # not a vocabulary with marked word ends
+        if len(cuts) != len(parts) + 1:
             return self._direct(parts)
         raw = ids.tobytes()
         return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
     def _learn(self, words: list[str]) -> None:
-        plain, rest, cut = PLAIN.fullmatch, [], []
-        for word in words:
-            if not plain(word):
-                rest.append(word)
-            elif word.isalpha():
-                cut.append((word, (word.lower(),)))
-            else:
-                cut.append((word, WORD_PARTS.findall(word.lower())))
-        new = list({p for _, parts in cut for p in parts if p not in self.parts})
-        if new:
-            self.parts.update(zip(new, self._model_ids(new)))
-        known = self.parts.__getitem__
-        for word, parts in cut:
-            self.words[word] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
+        plain = [word for word in words if PLAIN.fullmatch(word)]
+        if plain:
+            parts = WORD_PARTS.findall("\n".join(plain).lower() + "\n")
+            new = list(set(parts).difference(self.parts))
+            if new:
+                self.parts.update(zip(new, self._model_ids(new)))
+            raw = b"".join(map(self.parts.__getitem__, parts))
+            stops = np.nonzero(np.frombuffer(raw, dtype="<u4") == 0xFFFFFFFF)[0] * 4
+            starts = [0, *(stops[:-1] + 4).tolist()]
+            self.words.update(zip(plain, [raw[lo:hi] for lo, hi in zip(starts, stops.tolist())]))
+        rest = list(set(words).difference(plain)) if len(plain) < len(words) else []
         if rest:
             self.words.update(zip(rest, self._direct(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if not self.word_wise:
+            return self._direct(texts)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"\n": LINE_END}
         odd = [any(u in t for u in UNUSUAL) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
         unseen = set().union(*split).difference(self.words)

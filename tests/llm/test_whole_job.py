@@ -158,3 +158,25 @@ def test_sample_is_counted_with_documents(spark, monkeypatch):
     monkeypatch.setattr(TX, "evidence_features", seen)
     TX.train_toxicity(frame, labels, train_rows=400)
     assert sizes[0] > 280  # all rows outside the held-out fold
+
+
+# --- 7 packing ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_vocabulary_are_the_library_s(name):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lendwise.llm.packing import WordTokenizer
+
+    path = public_tokenizers.path(name)
+    ours, library, rng = WordTokenizer(path), Tokenizer.from_file(path), random.Random(1)
+    assert ours.word_wise == name.startswith("word")
+    texts = ["", "  Don't STOP\u00b2 it's 100\u00bd ok_go\n\n", "<|endoftext|> x", "a\x1cb \u0130\u00aa\u00ba \u00b5m \u00df"]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x21, 0x100), 32, rng.randrange(0x20, 0x17F), 39, 115])) for _ in range(60)) for _ in range(1500)]
+    texts += [f"{chr(c)}a {chr(c)}1{chr(c)}" for c in range(1, 0x300)]
+    got = [np.frombuffer(i, dtype="<u4").tolist() for i in ours.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
