@@ -72,6 +72,20 @@ def mean_score(events: DataFrame, prob: str = "probability", retrain_above: floa
         "probability_avg", F.coalesce(F.col("probability_avg") > retrain_above, F.lit(False)).alias("probability_above_threshold_retrain"))
 
 
+def log_checks(events: DataFrame, prob: str = "probability", threshold: float = DENIED_THRESHOLD, denominator_offset: int = 0,
+               min_rate: float = DENIED_MIN_RATE, retrain_above: float = MEAN_SCORE_RETRAIN_ABOVE) -> DataFrame:
+    """D6 + D7 from one scan of the prediction log: the columns of :func:`denied_rate` and :func:`mean_score`."""
+    if prob not in events.columns:
+        raise RuntimeError(f"prediction events are missing probability column {prob!r}; columns: {events.columns}")
+    p = F.col(prob).try_cast("double")
+    row = events.agg(F.count_if(p >= threshold).alias("negado_count"),
+                     (F.count(p) + F.lit(denominator_offset)).alias("negado_denominator"), F.avg(p).alias("probability_avg"))
+    frac = F.when(F.col("negado_denominator") > 0, F.col("negado_count") / F.col("negado_denominator"))
+    return row.select("negado_count", "negado_denominator", frac.alias("negado_fraction"),
+                      F.coalesce(frac < min_rate, F.lit(False)).alias("negado_below_threshold_retrain"), "probability_avg",
+                      F.coalesce(F.col("probability_avg") > retrain_above, F.lit(False)).alias("probability_above_threshold_retrain"))
+
+
 def retrain_decision(*checks: DataFrame, flags: tuple[str, ...] = (
         "drift_detected", "decay_detected", "negado_below_threshold_retrain", "probability_above_threshold_retrain")) -> DataFrame:
     """One row combining one-row check frames; ``should_retrain`` = OR of the present flags."""

@@ -517,8 +517,7 @@ def mean_score(spark, sf):
 def _decision(spark, sf):
     ref, ana = B.monitoring_frames(spark, sf)
     drift = D.alert_summary(D.univariate_drift(ref, ana, DRIFT_FEATURES, EVENT_ORDER))
-    return C.retrain_decision(drift, C.auc_decay(ref, ana, "target", "probability"),
-                              C.denied_rate(B.predictions(spark, sf)), C.mean_score(B.predictions(spark, sf)))
+    return C.retrain_decision(drift, C.auc_decay(ref, ana, "target", "probability"), C.log_checks(B.predictions(spark, sf)))
 
 
 @query("retrain_decision")
@@ -693,6 +692,13 @@ def _fit(spark, sf):
     return _FITTED[key]
 
 
+@query("instalments_merged")
+def instalments_merged(spark, sf):
+    """D1 with a base that knows its contract: first instalments ⟕ profile ⟕ contracts (new columns) ⟕ instalment means."""
+    base = B.instalments(spark, sf).where("numero_parcela = 1").select("id_contrato", "id_cliente", "valor_pago")
+    return _round(A.merge_lending_tables(base, B.profile(spark, sf), B.contracts(spark, sf), B.instalments(spark, sf)), 6)
+
+
 @query("labels_left_join")
 def labels_left_join(spark, sf):
     """JN7: training rows keep a NULL label where the label table has no row for the contract."""
@@ -829,14 +835,23 @@ def table_sink_lifecycle(spark, sf):
 
 @query("monitoring_job")
 def monitoring_job(spark, sf):
-    """D8 end to end: P33 feature choice, D3/D4 drift, D5 decay, D6 denied rate, drift report."""
+    """D8 end to end by the fallback detector: P33 feature choice, D3/D4 drift, D5 decay, D6 denied rate, drift report."""
     ref, ana = B.monitoring_frames(spark, sf)
     decision, _ = MON.monitoring_decision(ref, ana, B.predictions(spark, sf), EVENT_ORDER,
-                                          ignore=["event_id"], timestamp="event_ts",
+                                          ignore=["event_id"], timestamp="event_ts", multivariate=False,
                                           report_path=scratch_path(spark, "drift") + "/drift.csv")
     return _round(decision, 10)
 
 
+@query("monitoring_job_multivariate")
+def monitoring_job_multivariate(spark, sf):
+    """D8 end to end: drift decided by the reconstruction error of all features (D2), D5 to D7 beside it."""
+    ref, ana = B.monitoring_frames(spark, sf)
+    decision, _ = MON.monitoring_decision(ref, ana, B.predictions(spark, sf), EVENT_ORDER, ignore=["event_id"],
+                                          timestamp="event_ts", mean_score_check=True)
+    return _round(decision, 10)
+
+
 @query("mode_fill")
 def mode_fill(spark, sf):
     """M5: NULL car flags replaced by the most frequent flag (ties → smallest)."""

@@ -33,17 +33,25 @@ def monitoring_decision(
     mean_score_check: bool = False,
     mean_score_above: float = C.MEAN_SCORE_RETRAIN_ABOVE,
     report_path: str | None = None,
+    multivariate: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(decision row, drift table).
 
     Features are the analysis columns also in the reference, minus
     timestamp / target / prediction (P33) and ``ignore`` (ids, ordering).
-    The log checks (D6, D7) run only when ``events`` is given; the
-    mean-score check is opt-in and starts false.
+    Drift is decided by the reconstruction error of all features together
+    (D2), numbers and categories alike; with fewer than two features, which
+    have nothing to be projected on, or with ``multivariate`` off, by each
+    feature's own distance (D3). The log checks (D6, D7) share one scan and
+    run only when ``events`` is given; the mean-score check is opt-in and
+    starts false.
     """
     feats = [c for c in common_feature_columns(reference, analysis, (timestamp, target, prediction))
              if c not in set(ignore) | set(order)]
-    drift = D.univariate_drift(reference, analysis, feats, order, chunk_size)
+    if multivariate and len(feats) > 1:
+        drift = D.reconstruction_drift(reference, analysis, feats, order, chunk_size)
+    else:
+        drift = D.univariate_drift(reference, analysis, feats, order, chunk_size)
     if report_path:
         # the report and the alert summary read one materialised drift table
         from lendwise.session import ensure_checkpoint_dir
@@ -56,7 +64,6 @@ def monitoring_decision(
     checks = [D.alert_summary(drift, rate_threshold=drift_rate),
               C.auc_decay(reference, analysis, target, prediction, min_auc_drop)]
     if events is not None:
-        checks.append(C.denied_rate(events, prediction, denied_threshold, denied_offset, denied_min_rate))
-        if mean_score_check:
-            checks.append(C.mean_score(events, prediction, mean_score_above))
+        logged = C.log_checks(events, prediction, denied_threshold, denied_offset, denied_min_rate, mean_score_above)
+        checks.append(logged if mean_score_check else logged.select(*[c for c in logged.columns if c.startswith("negado")]))
     return C.retrain_decision(*checks), drift

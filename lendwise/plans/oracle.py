@@ -1051,3 +1051,19 @@ ORACLE["table_sink_lifecycle"] = with_views(
               CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM predictions""",
     "predictions",
 )
+
+ORACLE["instalments_merged"] = with_views(
+    """
+    SELECT b.id_contrato, b.id_cliente, ROUND(b.valor_pago, 6) AS valor_pago,
+           p.tipo_renda, ROUND(p.renda_anual, 6) AS renda_anual, p.qtd_membros_familia, p.possui_carro, p.data_nascimento,
+           c.data_decisao, c.tipo_contrato, c.status_contrato, ROUND(c.valor_credito, 6) AS valor_credito,
+           ROUND(c.valor_solicitado, 6) AS valor_solicitado, ROUND(c.valor_bem, 6) AS valor_bem,
+           ROUND(c.valor_parcela, 6) AS valor_parcela, c.hora_solicitacao,
+           m.id_cliente_parcelas_mean, m.numero_parcela_parcelas_mean, m.valor_pago_parcelas_mean
+    FROM instalments b LEFT JOIN profile p ON b.id_cliente = p.id_cliente
+    LEFT JOIN contracts c ON b.id_contrato = c.id_contrato
+    LEFT JOIN inst_means m ON b.id_contrato = m.id_contrato
+    WHERE b.numero_parcela = 1""",
+    "contracts", "profile", "instalments",
+    ctes=[MEANS_CTE],
+)

@@ -138,3 +138,74 @@ def test_champion_refuses_a_version_that_is_no_integer(spark):
                                  "model string, version string, stage string, valid_auc double")
     with pytest.raises(Exception, match="model version is not an integer: two"):
         C.champion(runs).collect()
+
+
+def test_decision_by_all_features_together_and_by_each(spark):
+    """Where only the mix of two categories turns, the joint detector tells; one feature alone falls back to its distance."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lendwise.plans import monitor as MON
+
+    rng = random.Random(2)
+
+    def rows(turned, n):
+        found = []
+        for i in range(n):
+            a = "x" if rng.random() < 0.8 else "y"
+            b = ("y" if a == "x" else "x") if turned else a
+            found.append((i, a, b, rng.random(), rng.randrange(2), rng.random()))
+        return spark.createDataFrame(found, "event_id long, a string, b string, amount double, target int, probability double")
+
+    ref = rows(False, 2000)
+    calm, _ = MON.monitoring_decision(ref, rows(False, 1000), None, ["event_id"], chunk_size=250)
+    loud, drift = MON.monitoring_decision(ref, rows(True, 1000), None, ["event_id"], chunk_size=250)
+    assert not calm.first()["drift_detected"] and loud.first()["drift_detected"]
+    assert "reconstruction_error" in drift.columns
+    _, single = MON.monitoring_decision(ref.drop("b", "amount"), rows(True, 500).drop("b", "amount"), None, ["event_id"], chunk_size=250)
+    assert "js_distance" in single.columns
+    both, _ = MON.monitoring_decision(ref, ref, ref.select(F.col("probability")), ["event_id"], mean_score_check=True, multivariate=False)
+    row = both.first().asDict()
+    assert row["negado_denominator"] == 2000 and row["probability_above_threshold_retrain"] is True
+
+
+def test_table_sink_survives_replays_and_an_interrupted_compaction(spark):
+    import uuid
+
+    from lendwise.session import scratch_path
+    from lendwise.sources.sinks import TableSink
+
+    name, where = f"sink_{uuid.uuid4().hex}", scratch_path(spark, "sink")
+    df = spark.range(40).selectExpr("id", "cast(id as string) as name")
+    sink = TableSink(spark, name, [("id", "bigint")], where)
+    assert sink.read().count() == 0 and sink.compact() == 0
+    sink.append(df.where("id < 10").select("id"), 0, "r")
+    sink = TableSink(spark, name, [("id", "bigint"), ("name", "string")], where)  # a column more, nothing lost
+    for batch, low in ((1, 10), (1, 10), (2, 20)):
+        sink.append(df.where(f"id >= {low} and id < {low + 10}"), batch, "r")
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(30))
+    assert sink.read().where("name is null").count() == 10
+    # a compaction that stopped after it had written its partition and before it removed theirs
+    stop = RuntimeError("stopped")
+
+    class Stopping(TableSink):
+        def _write(self, rows, part):
+            super()._write(rows, part)
+            if "compacted" in str(part):
+                raise stop
+
+    try:
+        Stopping(spark, name, [("id", "bigint"), ("name", "string")], where).compact()
+    except RuntimeError as e:
+        assert e is stop
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(30))
+    sink.append(df.where("id >= 20 and id < 30"), 2, "r")  # replayed after it was compacted
+    sink.append(df.where("id >= 30"), 0, "other")
+    assert sink.compact() >= 1 and sorted(r["id"] for r in sink.read().collect()) == list(range(40))
+    parts = spark.table(name).select("part").distinct().collect()
+    assert all(r["part"].startswith("compacted-") for r in parts)
+    import pytest
+
+    with pytest.raises(ValueError):
+        TableSink(spark, name, [("id", "string")], where)
