@@ -6,7 +6,8 @@ the diagonals on which they lie; each candidate region is aligned with its templ
 the share of matched template words and the matched span are reported.
 
 Notices of fewer than ``SHORT_WORDS`` words differ in a name, variant or version only. They are looked up by every pair
-of words that holds such a word, and a match must show their distinguishing phrases (``PHRASES``) word for word. Of
+of words that holds such a word. A match of these, and of notices of up to ``NOTICE_WORDS`` words, as files begin with,
+must show their distinguishing phrases (``PHRASES``) word for word: one wrong word in a hundred names another license. Of
 matches that overlap, the one that explains most stays: matched template words less the missing ones.
 """
 
@@ -30,6 +31,7 @@ WINNOW = 3
 BAND = 8
 MIN_COVERAGE = 0.8
 SHORT_WORDS = 20
+NOTICE_WORDS = 150
 MIN_HITS = 0.1
 MAX_TEMPLATE_BYTES = 16 << 20
 WORDS = re.compile(r"[a-z0-9]+")
@@ -74,18 +76,28 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
-        "GNU General Public License for more details."
-    ),
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: The notice that files under a license of the GNU family begin with, and who uses it how: fixed values.
+GNU_NOTICE = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License "
+    "as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+    "version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+)
+GNU_FAMILY = {
+    "GPL-2.0": ("program", "General", "2"),
+    "GPL-3.0": ("program", "General", "3"),
+    "LGPL-2.0": ("library", "Library General", "2"),
+    "LGPL-2.1": ("library", "Lesser General", "2.1"),
+    "LGPL-3.0": ("program", "Lesser General", "3"),
+    "AGPL-3.0": ("program", "Affero General", "3"),
+}
+TEMPLATES |= {name: GNU_NOTICE.format(work=work, kind=kind, version=version) for name, (work, kind, version) in GNU_FAMILY.items()}
+
 #: What a short notice says of its license, as opposed to how it says so: fixed values. A template takes all that it holds.
 PHRASES = tuple(
     "mit license;mit licensed;isc license;bsd license;2 clause;3 clause;simplified bsd;new bsd;apache license;apache 2 0;version 1;"
@@ -208,15 +220,16 @@ class Index:
         for t, name in enumerate(names):
             own = np.array([words.setdefault(w, len(words) + 1) for w in _words(templates[name].lower())], np.int64)
             tokens.append(own)
+            marked = np.zeros(len(own), bool)
+            if GRAM <= len(own) < NOTICE_WORDS:
+                told = [np.array([words.get(w, 0) for w in phrase.split()], np.int64) for phrase in PHRASES]
+                told = [ids for ids in told if len(_places(own, ids))]
+                for ids in told:
+                    for k in _places(own, ids):
+                        marked[k : k + len(ids)] = True
+                if told or len(own) < SHORT_WORDS:
+                    phrases[t] = told
             if GRAM <= len(own) < SHORT_WORDS:
-                marked = np.zeros(len(own), bool)
-                phrases[t] = []
-                for phrase in PHRASES:
-                    ids = np.array([words.get(w, 0) for w in phrase.split()], np.int64)
-                    if len(at := _places(own, ids)):
-                        phrases[t].append(ids)
-                        for k in at:
-                            marked[k : k + len(ids)] = True
                 if not marked.any():  # a template of a caller's, without a known phrase
                     marked[:] = True
                 for at, pair in enumerate(_pairs(own).tolist()):
@@ -264,13 +277,15 @@ class Index:
                 yield found[hit].tolist(), places[hit].tolist(), postings
 
     def core(self, t: int, ids: np.ndarray, first: int, last: int) -> tuple[int, int] | None:
-        """From the first to the last word of a match that tell its license: a short template's phrases, none if one
-        is not there; all of a long template."""
+        """From the first to the last word of a match that tell its license: a short template's phrases; all of a long
+        one. None if a phrase of the template is not there."""
         if t not in self.phrases:
             return first, last
         found = [(_places(ids[first : last + 1], p), len(p)) for p in self.phrases[t]]
         if not all(len(at) for at, _ in found):
             return None
+        if len(self.tokens[t]) >= SHORT_WORDS:
+            return first, last
         return (first + min(int(at[0]) for at, _ in found), first + max(int(at[0]) + n - 1 for at, n in found)) if found else (first, last)
 
 

@@ -84,6 +84,21 @@ def test_each_license_text_is_reported_as_itself():
     assert LS.scan_text(index, "The man of the house is in the city, as well as one of the others.") == []
 
 
+def test_file_notices_are_not_taken_for_each_other():
+    templates = LS.catalogue()
+    index = LS.Index.build(templates)
+    gnu = {n: templates[n] for n in LS.GNU_FAMILY}
+    assert len(gnu) == 6
+    for name, text in gnu.items():
+        assert [m[0] for m in LS.scan_text(index, f"/* {text} */ int main")] == [name]
+        assert [m[0] for m in LS.scan_text(index, text.replace("hope", "wish").replace("either", ""))] == [name]
+    apache = templates["Apache-2.0"]
+    assert [m[0] for m in LS.scan_text(index, apache)] == ["Apache-2.0"]
+    assert "Apache-2.0" not in licenses(apache.replace("Version 2.0", "Version 1.1").replace("LICENSE-2.0", "LICENSE-1.1"), templates)
+    for version in ("1", "4"):
+        assert not licenses(templates["GPL-3.0"].replace("version 3", f"version {version}"), templates) & set(gnu)
+
+
 # --- 4 page text -------------------------------------------------------------------------------------
 
 
