@@ -48,22 +48,57 @@ def broadcast_if_small(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, m
     return F.broadcast(fitted) if held <= max_bytes else fitted
 
 
+# A key that holds one in this many rows, or more, is hot; there are no more hot keys than that.
+HOT_SHARE = 1000
+HOT_PARTS = 64
+
+
+def split_left_join(left: DataFrame, right: DataFrame, key: str, hot_share: int = HOT_SHARE, parts: int = HOT_PARTS) -> DataFrame:
+    """``left`` ⟕ ``right`` on ``key`` where single keys may hold much of ``left`` (a missing client's id, say).
+
+    One aggregate counts the keys of ``left``; those with at least one in
+    ``hot_share`` of all rows — at most ``hot_share`` keys, so they are
+    broadcast — are dealt over ``parts`` buckets by a hash of the row, and
+    their rows of ``right`` are repeated in every bucket. All other rows
+    stay in bucket 0. A NULL key, which never matches, is dealt too. Rows,
+    columns and order of columns are those of the plain left join. The
+    bucket follows from the row alone, so a lost task is made again alike;
+    rows that are equal in every column share one.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("t")).select("t").scalar()
+    hot = F.broadcast(counts.where(F.col(key).isNotNull() & (F.col("__n") * hot_share >= total)).select(F.col(key).alias("__hot")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(parts))
+    dealt = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(
+        "__part", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0).cast("bigint"))).drop("__hot")
+    copies = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(
+        "__part", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+                            .otherwise(F.array(F.lit(0).cast("bigint"))))).drop("__hot")
+    return dealt.join(copies, [key, "__part"], "left").drop("__part")
+
+
+def _left_join(left: DataFrame, right: DataFrame, key: str, split_hot: bool) -> DataFrame:
+    return split_left_join(left, right, key) if split_hot else left.join(right, key, "left")
+
+
 def left_join_labels(frame: DataFrame, labels: DataFrame, key: str = "id_contrato") -> DataFrame:
     """JN7: training rows with the label columns they lack; rows without a label keep NULL."""
     new = [c for c in labels.columns if c != key and c not in frame.columns]
     return frame.join(labels.select(key, *new), key, "left")
 
 
-def left_join_if_keyed(left: DataFrame, right: DataFrame | None, key: str, suffix: str | None = None) -> DataFrame:
+def left_join_if_keyed(left: DataFrame, right: DataFrame | None, key: str, suffix: str | None = None,
+                       split_hot: bool = False) -> DataFrame:
     """JN2: left join when both sides carry ``key``; otherwise ``left`` unchanged.
 
     Right-side duplicates fan out (the profile is not deduplicated); right
     columns colliding with the left get ``suffix`` (default ``_y``).
+    ``split_hot`` deals hot keys over many tasks (:func:`split_left_join`).
     """
     if right is None or key not in left.columns or key not in right.columns:
         return left
     right = rename_collisions(right, left.columns, key, suffix or "_y")
-    return left.join(right, key, "left")
+    return _left_join(left, right, key, split_hot)
 
 
 def left_join_new_columns(left: DataFrame, right: DataFrame | None, key: str) -> DataFrame:
@@ -75,12 +110,12 @@ def left_join_new_columns(left: DataFrame, right: DataFrame | None, key: str) ->
 
 
 def left_join_latest(left: DataFrame, right: DataFrame | None, key: str, order: Sequence[str],
-                     suffix: str = "_submissao") -> DataFrame:
-    """JN4: left join of the latest right row per key, colliding columns suffixed."""
+                     suffix: str = "_submissao", split_hot: bool = False) -> DataFrame:
+    """JN4: left join of the latest right row per key, colliding columns suffixed; ``split_hot`` as in JN2."""
     if right is None or key not in left.columns or key not in right.columns:
         return left
     latest = keep_last(right, key, order)
-    return left.join(rename_collisions(latest, left.columns, key, suffix), key, "left")
+    return _left_join(left, rename_collisions(latest, left.columns, key, suffix), key, split_hot)
 
 
 def numeric_means(df: DataFrame, key: str, suffix: str = "_parcelas_mean") -> DataFrame:

@@ -43,15 +43,18 @@ def training_set(
     client_key: str = "id_cliente",
     application_order: Sequence[str] = ("data_solicitacao",),
     fpd_days: int = L.FPD_DAYS,
+    split_hot: bool = False,
 ) -> DataFrame:
     """M1: contracts ⋈ labels ⟕ profile ⟕ latest application per client (suffix ``_submissao``).
 
     ``application_order`` decides "latest"; end it with a unique tie-break.
+    ``split_hot`` is for contracts of which a few clients hold much, such as
+    the one that stands for every missing id.
     """
     lab = L.contract_labels(instalments, contract=contract_key, fpd_days=fpd_days)
     df = contracts.join(lab, contract_key, "inner")
-    df = left_join_if_keyed(df, profile, client_key)
-    return left_join_latest(df, applications, client_key, application_order, suffix="_submissao")
+    df = left_join_if_keyed(df, profile, client_key, split_hot=split_hot)
+    return left_join_latest(df, applications, client_key, application_order, suffix="_submissao", split_hot=split_hot)
 
 
 def notebook_training_set(contracts: DataFrame, instalments: DataFrame, profile: DataFrame,

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from lendwise.functions.columns import align_columns, common_feature_columns, drop_columns, rename_collisions
 from lendwise.operators.dedup import keep_first, keep_last
 from lendwise.plans import assemble as A
@@ -73,3 +75,33 @@ def test_column_helpers_and_dedup(spark):
     first = {r["id_cliente"]: r["event_id"] for r in keep_first(a, "id_cliente", ["data_solicitacao", "event_id"]).collect()}
     last = {r["id_cliente"]: r["event_id"] for r in keep_last(a, "id_cliente", ["data_solicitacao", "event_id"]).collect()}
     assert first == {10: 1, 77: 4} and last == {10: 3, 77: 4}
+
+
+def test_hot_client_is_dealt_over_tasks(spark):
+    """Half of all rows have one client and a tenth none: same rows as the plain join, no task with more than a small part."""
+    import random
+
+    from lendwise.operators import joins as J
+
+    rng = random.Random(4)
+    rows = [(i, 0 if i % 2 else None if i % 10 == 0 else rng.randrange(1, 4000), rng.random()) for i in range(20_000)]
+    left = spark.createDataFrame(rows, "id long, id_cliente long, v double")
+    right = spark.createDataFrame([(c, f"n{c}", c / 2.0) for c in range(0, 4000, 3)] + [(0, "second row", 1.0)], "id_cliente long, nome string, v double")
+    plain = J.left_join_if_keyed(left, right, "id_cliente")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        split = J.left_join_if_keyed(left, right, "id_cliente", split_hot=True)
+        assert split.columns == plain.columns
+        most = lambda df: max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        assert most(plain) > 20_000 and most(split) < 3_000  # the hot client's rows are two each
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(split.collect(), key=key) == sorted(plain.collect(), key=key)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    apps = right.withColumn("data_solicitacao", F.col("v"))
+    a, b = (J.left_join_latest(left, apps, "id_cliente", ["data_solicitacao", "nome"], split_hot=s) for s in (False, True))
+    assert a.columns == b.columns and a.exceptAll(b).count() == 0 and a.count() == b.count() == 20_000
