@@ -77,7 +77,8 @@ def read_table(
         return read_parquet(spark, uri)
     if lower.endswith(CSV_SUFFIXES) or csv_fallback:
         return read_csv(spark, uri, schema=schema)
-    raise ValueError(f"Unsupported dataset format for {uri!r}: use .csv, .parquet or .pq")
+    known = ", ".join(PARQUET_SUFFIXES + CSV_SUFFIXES)
+    raise ValueError(f"{uri!r} ends in none of {known}: no reader knows it")
 
 
 def list_files(spark: SparkSession, prefix: str) -> list[str]:
@@ -107,14 +108,16 @@ def load_prefix_tables(
     Non-parquet files are read as CSV (evaluator policy).
     """
     found: dict[str, str] = {}
+    names: list[str] = []
     for full in list_files(spark, prefix):
+        names.append(full.rstrip("/").rsplit("/", 1)[-1])
         name = full.rstrip("/").rsplit("/", 1)[-1]
         for table in LENDING_TABLES:
             if name == f"{table}{suffix}":
                 found[table] = full
     for table in required:
         if table not in found:
-            raise RuntimeError(f"Missing {table} file under {prefix} with suffix {suffix}")
+            raise RuntimeError(f"looked for {table}{suffix} in {prefix}, found {sorted(names)[:20]} ({len(names)} files)")
     return {t: read_table(spark, p, csv_fallback=True) for t, p in found.items()}
 
 
