@@ -37,3 +37,21 @@ def test_instalments_are_dealt_by_the_size_of_their_files(spark, tables):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_messages_are_dealt_over_many_tasks(spark, tables):
+    """One file of one row group used to be decoded by as many tasks as there are cores, or by one."""
+    found = B.request_messages(spark, tables)
+    assert found.rdd.getNumPartitions() >= RD.TASKS_PER_SPLIT and found.count() == 400
+
+
+def test_stream_batches_hold_a_bounded_number_of_messages(spark, tables, tmp_path, monkeypatch):
+    from lendwise.plans import catalog as C
+
+    monkeypatch.setattr(C, "MESSAGES_PER_FILE", 50)
+    monkeypatch.setattr(C, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = C.stream_prediction_events(spark, tables)
+    whole = C.prediction_events_log(spark, tables)
+    assert sorted(r["event_id"] for r in got.select("event_id").collect()) == sorted(r["event_id"] for r in whole.select("event_id").collect())
+    files = [p for p in (tmp_path / "stream" / "in").iterdir() if p.suffix == ".parquet"]
+    assert len(files) == 8 and all(spark.read.parquet(str(p)).count() < 100 for p in files)
