@@ -42,9 +42,14 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str = "predict",
 
 
 def file_messages(spark: SparkSession, path: str, max_files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """Test source with the Kafka message columns (ST2 bound by files per trigger)."""
-    return (spark.readStream.format(fmt).schema(MESSAGE_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+    """Test source with the Kafka message columns (ST2 bound by files per trigger).
+
+    The messages of a batch are dealt over as many tasks as the cluster runs at once: a file of one row group would
+    be decoded by one.
+    """
+    messages = (spark.readStream.format(fmt).schema(MESSAGE_SCHEMA)
+                .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+    return messages.repartition(spark.sparkContext.defaultParallelism)
 
 
 def scored_stream(messages: DataFrame, scorer: Callable[[DataFrame], Column] = R.default_scorer,
