@@ -38,11 +38,12 @@ class CoverTree:
         squares = np.einsum("ij,ij->i", values, values)
         augmented = np.column_stack([values, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))])
         self.largest = float(np.abs(values).max(initial=0.0))
-        self.centre: list[int] = []
+        self.centre: list[int] | np.ndarray = []
         self.radius: list[float] = []
         self.below: list[np.ndarray] = []  # children's numbers, or a leaf's rows
         self.leaf: list[bool] = []
         self._grow(augmented)
+        self.centre = np.array(self.centre)
         self.centres = values[self.centre]
         self.radii = np.array(self.radius)
 
@@ -58,6 +59,8 @@ class CoverTree:
             apart = points[rows] - points[centre]
             return np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
+        squares = np.einsum("ij,ij->i", points, points)
+        rough = 1e-9 * float(squares.max(initial=0.0))  # squared distances far above this can be told from products
         rows = np.arange(len(points))
         away = distances(rows, 0)
         level = float(away.max())  # covering radius of this level
@@ -69,15 +72,27 @@ class CoverTree:
                 continue
             level, children = level / 2, []
             centre = self.centre[node]
-            while len(rows):
-                near = away <= level  # the first centre is the node's own, so trees nest
-                child = self._node(centre, float(away[near].max()))
-                open_nodes.append((child, rows[near], away[near], level))
+            near = away <= level  # the first centre is the node's own, so trees nest
+            block, left, count = points[rows], np.ones(len(rows), bool), len(rows)
+            while True:
+                covered = rows[near]
+                away = distances(covered, centre)
+                child = self._node(centre, float(away.max()))
+                open_nodes.append((child, covered, away, level))
                 children.append(child)
-                rows = rows[~near]
-                if len(rows):
-                    centre = int(rows[0])
-                    away = distances(rows, centre)
+                left[near] = False
+                count -= len(covered)
+                if not count:
+                    break
+                if 2 * count < len(rows):
+                    rows, block, left = rows[left], block[left], np.ones(count, bool)
+                first = int(left.argmax())
+                centre = int(rows[first])
+                if level * level > rough:
+                    near = left & (squares[rows] + squares[centre] - 2.0 * (block @ points[centre]) <= level * level)
+                else:
+                    near = left & (distances(rows, centre) <= level)
+                near[first] = True
             self.below[node] = np.array(children)
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -92,33 +107,56 @@ class CoverTree:
 
 
 def best_rows(
-    trees: list[CoverTree], query_id: int, query: np.ndarray, k: int, low: float = -np.inf, high: float = np.inf
+    trees: list[CoverTree], query_id: int, query: np.ndarray, k: int, low: float = -np.inf, high: float = np.inf,
+    opened: dict | None = None,
 ) -> list[tuple[int, int]]:
     """``(score, id)`` of the ``k`` best rows of the trees with ``low <= score <= high``, ties to the smaller id; the
-    query's own id is left out."""
+    query's own id is left out. Searches of one query in the same trees may share ``opened``, the bounds of the nodes
+    that were opened so far.
+
+    The centres of a node's children are different rows, so the k-th best centre inside the window bounds what can still
+    be among the best: of a node with many children only those that reach it are kept."""
+    opened = {} if opened is None else opened
     length = float(np.sqrt(query @ query))
     slack = 1e-9 * length  # rounding of centres' products and of radii
     open_nodes: list[tuple[float, int, int]] = []
+    held: list[tuple[int, int]] = []  # a heap with the worst first: score, -id
+    least = -np.inf  # k rows are known that score this or more
 
-    def open_up(at: int, nodes: np.ndarray) -> None:
+    def bounds(at: int, node: int) -> tuple[np.ndarray, ...]:
+        """Of a node's children, which are numbered in a row (a leaf at the root stands for itself): upper and lower
+        ends, tree and number, and the ends of what their centres score, where the query's own id is none."""
         tree = trees[at]
-        middle = tree.centres[nodes] @ query
-        reach = length * tree.radii[nodes] + slack * (1.0 + tree.largest * len(query))
-        upper = middle + reach
-        for n in np.nonzero((upper >= low) & (middle - reach <= high))[0].tolist():
-            heapq.heappush(open_nodes, (-float(upper[n]), at, int(nodes[n])))
-
-    held: list[tuple[int, int]] = []  # a heap with the worst first: score, -id
-    root = np.zeros(1, np.int64)
-    for at in range(len(trees)):
-        open_up(at, root)
+        nodes = np.zeros(1, np.int64) if tree.leaf[node] else tree.below[node]
+        run = slice(int(nodes[0]), int(nodes[-1]) + 1)
+        middle = tree.centres[run] @ query
+        rounding = slack * (1.0 + tree.largest * len(query))
+        reach = length * tree.radii[run] + rounding
+        own = tree.ids[tree.centre[run]] == query_id
+        return (middle + reach, middle - reach, np.full(len(nodes), at), nodes,
+                np.where(own, -np.inf, middle - rounding), np.where(own, np.inf, middle + rounding))
+
+    def open_up(key: tuple[int, int] | None) -> None:
+        nonlocal least
+        if key not in opened:
+            ends = [bounds(*key)] if key else [bounds(at, 0) for at in range(len(trees))]  # all roots are opened together
+            opened[key] = [np.concatenate(e) for e in zip(*ends)]
+        upper, lower, owner, nodes, centre_from, centre_to = opened[key]
+        inside = centre_from[(centre_from >= max(low, least)) & (centre_to <= high)]
+        if len(inside) >= k:
+            least = max(least, float(np.partition(inside, -k)[-k]))
+        for n in np.nonzero((upper >= max(low, least)) & (lower <= high))[0].tolist():
+            heapq.heappush(open_nodes, (-float(upper[n]), int(owner[n]), int(nodes[n])))
+
+    if trees:
+        open_up(None)
     while open_nodes:
         upper, at, node = heapq.heappop(open_nodes)
-        if len(held) == k and -upper < held[0][0]:
+        if -upper < least:
             break
         tree = trees[at]
         if not tree.leaf[node]:
-            open_up(at, tree.below[node])
+            open_up((at, node))
             continue
         rows = tree.below[node]
         rows = rows[tree.ids[rows] != query_id]
@@ -132,6 +170,8 @@ def best_rows(
                 heapq.heappush(held, entry)
             elif entry > held[0]:
                 heapq.heapreplace(held, entry)
+        if len(held) == k:
+            least = max(least, held[0][0])
     return sorted(((s, -i) for s, i in held), key=lambda e: (-e[0], e[1]))
 
 
@@ -236,12 +276,13 @@ def mine_hard_negatives(
     def other_labels(trees, anchor):
         others = [t for (size, label), t in trees.items() if size == len(anchor["values"]) and label != anchor["label"]]
         by_score: dict[int, list] = {}
+        opened: dict = {}
         out = []
         for p in anchor["posed"]:
             score = p["positive_score"]
             low, high = window_of(score, low_percent, high_percent)
             if score not in by_score:
-                by_score[score] = best_rows(others, anchor["vec_id"], anchor["values"], negatives, low, high) if low <= high else []
+                by_score[score] = best_rows(others, anchor["vec_id"], anchor["values"], negatives, low, high, opened) if low <= high else []
             out += [(anchor["key"], anchor["vec_id"], p["positive_id"], i, score, s) for s, i in by_score[score]]
         return out
 

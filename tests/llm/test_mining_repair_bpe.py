@@ -93,6 +93,36 @@ def test_cover_tree_covers_and_finds_windows():
         assert [(-s, i) for s, i in HN.best_rows([tree], 7, query, 4, low, high)] == expect
 
 
+def test_search_keeps_only_nodes_that_can_matter(monkeypatch):
+    """Points far apart are all children of the root; each search used to queue every one of them."""
+    rng = np.random.default_rng(10)
+    values = np.floor(rng.normal(size=(3000, 64)) * 32)
+    values[5] = values[4]
+    ids = rng.permutation(3000)
+    trees = [HN.CoverTree(ids[at::3], values[at::3]) for at in range(3)]
+    queued, push = [], HN.heapq.heappush
+    monkeypatch.setattr(HN.heapq, "heappush", lambda heap, entry: (queued.append(entry), push(heap, entry)))
+    searches = 0
+    for n in range(0, 3000, 100):
+        scores, opened = values @ values[n], {}
+        for low, high in ((-np.inf, np.inf), (14000, 20000), (-3000, 1500)):
+            expect = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if low <= s <= high and i != ids[n])[:5]
+            assert [(-s, i) for s, i in HN.best_rows(trees, int(ids[n]), values[n], 5, low, high, opened)] == expect
+            searches += 1
+    assert len(queued) < 100 * searches
+
+
+def test_cover_tree_of_points_closer_than_rounding():
+    """Distances that products of large numbers cannot tell are taken from the differences."""
+    rng = np.random.default_rng(11)
+    values = 2.0**31 + np.floor(rng.normal(size=(400, 3)) * 20)
+    values[:100] = values[0]
+    tree = HN.CoverTree(np.arange(400), values)
+    query = np.array([2.0, -1.0, -1.0])
+    expect = sorted((-int(s), i) for i, s in enumerate(values @ query))[:7]
+    assert [(-s, i) for s, i in HN.best_rows([tree], -1, query, 7)] == expect
+
+
 def test_scores_beyond_doubles_are_exact():
     values = np.array([[2.0**31, 3.0], [2.0**31, 4.0]])
     tree = HN.CoverTree(np.array([1, 2]), values)
