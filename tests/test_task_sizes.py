@@ -55,3 +55,17 @@ def test_stream_batches_hold_a_bounded_number_of_messages(spark, tables, tmp_pat
     assert sorted(r["event_id"] for r in got.select("event_id").collect()) == sorted(r["event_id"] for r in whole.select("event_id").collect())
     files = [p for p in (tmp_path / "stream" / "in").iterdir() if p.suffix == ".parquet"]
     assert len(files) == 8 and all(spark.read.parquet(str(p)).count() < 100 for p in files)
+
+
+def test_messages_of_a_task_are_bounded(spark, tables, monkeypatch):
+    """Tasks were dealt by the splits of the scan alone, so a split of many narrow rows made long tasks."""
+    monkeypatch.setattr(RD, "ROWS_PER_TASK", 4)
+    found = B.request_messages(spark, tables)
+    assert found.rdd.getNumPartitions() == 100 and found.count() == 400
+    assert max(found.rdd.glom().map(len).collect()) <= 8
+
+
+def test_the_text_of_a_message_is_planned_once(spark, tables):
+    """The JSON text used to be written out in every branch of the faulty messages: dozens of copies in one projection."""
+    plan = B.request_messages(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
