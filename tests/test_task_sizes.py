@@ -1,9 +1,15 @@
 """What one task gets stays the same when the tables grow: tasks are dealt by the size of the input, not by a fixed number."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from lendwise.operators import encoders as E
+from lendwise.plans import assemble as A
+from lendwise.plans import catalog as C
+from lendwise.plans import train as T
 from lendwise.sources import bindings as B
 from lendwise.sources import readers as RD
 
@@ -69,3 +75,40 @@ def test_the_text_of_a_message_is_planned_once(spark, tables):
     """The JSON text used to be written out in every branch of the faulty messages: dozens of copies in one projection."""
     plan = B.request_messages(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("StructsToJsonEvaluator") == 1
+
+
+def _many_pieces(spark, rows=400, pieces=64):
+    frame = spark.range(rows).select(
+        F.col("id").alias("id_contrato"), (F.col("id") % 7).cast("double").alias("valor_credito"),
+        (F.col("id") % 2).cast("int").alias(C.TARGET))
+    return frame.repartition(pieces)
+
+
+def test_partitions_of_a_fit():
+    assert T.fit_partitions(0, 12) == 1 and T.fit_partitions(5_000, 12) == 1  # few rows: one task
+    assert T.fit_partitions(100_000, 12) == 5
+    assert T.fit_partitions(700_000, 12) == T.fit_partitions(12_000_000, 12) == 12
+    assert T.fit_partitions(42_000_000, 12) == 48  # bounded rows of a task, whole waves
+    assert T.fit_partitions(464_000, 12, 8) == 3 and T.fit_partitions(30_000_000, 12, 8) == 30
+
+
+@pytest.fixture
+def fitted(monkeypatch):
+    """Partitions and rows of the frames that a pipeline is fitted on; nothing is fitted."""
+    seen = []
+    pipe = SimpleNamespace(fit=lambda train: seen.append((train.rdd.getNumPartitions(), train.count())))
+    monkeypatch.setattr(T, "prepared_pipeline", lambda *a, **k: (pipe, []))
+    monkeypatch.setattr(T, "score", lambda model, df, out="probability_1": df.withColumn(out, F.col("valor_credito") / 7))
+    return seen
+
+
+def _train_rows(spark):
+    return E.hash_split(_many_pieces(spark), "id_contrato", 0.8, 42).where("is_train").count()
+
+
+def test_boosting_does_not_take_the_joins_partitions(spark, monkeypatch, fitted):
+    """Every level of every tree is a job over the partitions of its input: a few rows in 64 pieces are one task."""
+    monkeypatch.setattr(C, "_FITTED", {})
+    monkeypatch.setattr(C, "_model_frame", lambda *a: E.hash_split(_many_pieces(spark), "id_contrato", 0.8, 42))
+    C._fit(spark, "")
+    assert fitted == [(1, _train_rows(spark))]
