@@ -112,3 +112,9 @@ def test_boosting_does_not_take_the_joins_partitions(spark, monkeypatch, fitted)
     monkeypatch.setattr(C, "_model_frame", lambda *a: E.hash_split(_many_pieces(spark), "id_contrato", 0.8, 42))
     C._fit(spark, "")
     assert fitted == [(1, _train_rows(spark))]
+
+
+def test_training_run_does_not_take_the_joins_partitions(spark, monkeypatch, fitted):
+    monkeypatch.setattr(A, "training_set", lambda *a, **k: _many_pieces(spark))
+    T.training_run(None, None, target=C.TARGET)
+    assert fitted == [(1, _train_rows(spark))]
