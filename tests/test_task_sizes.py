@@ -118,3 +118,15 @@ def test_training_run_does_not_take_the_joins_partitions(spark, monkeypatch, fit
     monkeypatch.setattr(A, "training_set", lambda *a, **k: _many_pieces(spark))
     T.training_run(None, None, target=C.TARGET)
     assert fitted == [(1, _train_rows(spark))]
+
+
+def test_search_fits_on_few_partitions(spark, monkeypatch):
+    fits, scored = [], []
+    monkeypatch.setattr(T, "booster", lambda *a: SimpleNamespace(
+        fit=lambda train: fits.append((train.rdd.getNumPartitions(), train.count()))))
+    monkeypatch.setattr(T, "prefix_aucs", lambda model, frame, label, counts: scored.append(
+        (frame.rdd.getNumPartitions(), frame.count())) or dict.fromkeys(counts, 0.5))
+    found = T.random_search(T.training_frame(_many_pieces(spark)), C.TARGET, exclude=["id_contrato"], trials=1, folds=2)
+    assert found.avgMetrics == [0.5]
+    for side in (fits, scored):  # each row is once on either side of the two folds
+        assert [n for n, _ in side] == [1, 1] and sum(rows for _, rows in side) == 400
