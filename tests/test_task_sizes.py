@@ -106,6 +106,12 @@ def _train_rows(spark):
     return E.hash_split(_many_pieces(spark), "id_contrato", 0.8, 42).where("is_train").count()
 
 
+def test_two_waves_of_tasks_are_kept(spark):
+    cores = spark.sparkContext.defaultParallelism
+    kept = T.fitting_frame(T.training_frame(_many_pieces(spark, pieces=2 * cores)))
+    assert kept.rdd.getNumPartitions() == 2 * cores and kept.count() == 400
+
+
 def test_boosting_does_not_take_the_joins_partitions(spark, monkeypatch, fitted):
     """Every level of every tree is a job over the partitions of its input: a few rows in 64 pieces are one task."""
     monkeypatch.setattr(C, "_FITTED", {})
